@@ -80,7 +80,7 @@ def bill_number(c: Column) -> Column:
 
 def int_with_commas(c: Column) -> Column:
     """P-19: whole number written with thousands commas."""
-    return F.expr("null") if c is None else F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("int")
+    return F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("int")
 
 
 def years_between(start: Column, end: Column) -> Column:

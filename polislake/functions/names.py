@@ -29,7 +29,7 @@ def _ascii_folding() -> tuple[str, str, dict[str, str]]:
                 src.append(ch)
                 dst.append(folded)
             elif folded:
-                many[ch] = folded
+                many[ch] = folded.replace("|", " ")
     return "".join(src), "".join(dst), many
 
 
@@ -47,7 +47,7 @@ def to_ascii(c: Column) -> Column:
             ranges.append((start, a))
             start = b
     klass = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    table = F.map_from_arrays(F.split(F.lit("".join(many)), ""), F.split(F.lit("|".join(many.values())), r"\|"))
     spread = F.array_join(
         F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(klass), F.element_at(table, ch)).otherwise(ch)), ""
     )

@@ -33,6 +33,7 @@ def local_session(cpus: str | int = "*", app: str = "polislake", **extra: str) -
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("POLISLAKE_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", "8")
     )
