@@ -28,3 +28,15 @@ def batch_outcome(batches: DataFrame) -> DataFrame:
         | ((F.col("attempted") >= 5) & (F.col("failed") * 100 >= F.col("attempted") * 80))
     )
     return batches.withColumn("outcome", F.when(lost, "failed").when(F.col("failed") > 0, "partial").otherwise("ok"))
+
+
+def finalise_stuck(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """U-16: runs still running after ``hours`` become failed, with a note."""
+    limit = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {hours} hours")
+    stuck = (F.col("status") == "running") & (F.col("started_at") < limit)
+    return runs.withColumns(
+        {
+            "finalised": stuck, "status": F.when(stuck, "failed").otherwise(F.col("status")),
+            "error_summary": F.when(stuck, F.lit(f"Marked failed: still running after {hours} hours.")),
+        }
+    )

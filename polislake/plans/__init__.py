@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars", "browse")
+_MODULES = ("scalars", "browse", "entities")
 
 
 def load_all():
