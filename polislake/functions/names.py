@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from polislake import vocab
-from polislake.functions.text import blank_to_null, clean_display, collapse, keyword_case, strip_chars, title_case
+from polislake.functions.text import blank_to_null, clean_display, collapse, keyword_case, let, strip_chars, title_case
 
 
 @lru_cache(maxsize=1)
@@ -48,11 +48,18 @@ def to_ascii(c: Column) -> Column:
             start = b
     klass = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
     table = F.map_from_arrays(F.split(F.lit("".join(many)), ""), F.split(F.lit("|".join(many.values())), r"\|"))
-    spread = F.array_join(
-        F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(klass), F.element_at(table, ch)).otherwise(ch)), ""
+
+    def spread(v: Column) -> Column:
+        return F.array_join(
+            F.transform(F.split(v, ""), lambda ch: F.when(ch.rlike(klass), F.element_at(table, ch)).otherwise(ch)), ""
+        )
+
+    return let(
+        c,
+        lambda v: F.when(v.rlike(r"^[\x00-\x7F]*$"), v).otherwise(
+            F.regexp_replace(F.translate(F.when(v.rlike(klass), spread(v)).otherwise(v), src, dst), r"[^\x00-\x7F]", "")
+        ),
     )
-    folded = F.translate(F.when(c.rlike(klass), spread).otherwise(c), src, dst)
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
 
 
 def slug(c: Column) -> Column:
@@ -79,32 +86,33 @@ def party(c: Column) -> Column:
     """P-04: party as ``struct(name, short_name)``."""
     clean = strip_chars(collapse(F.coalesce(c, F.lit(""))), " .,-")
     pattern = r"^(.+?)\s*\(([^)]+)\)\s*$"
-    paired = clean.rlike(pattern)
-    long = F.when(paired, F.trim(F.regexp_extract(clean, pattern, 1))).otherwise(clean)
-    short = F.when(paired, F.trim(F.regexp_extract(clean, pattern, 2))).otherwise(clean)
-    known = F.create_map(
-        *[
-            x
-            for key, (name, abbr) in vocab.PARTY_ALIASES.items()
-            for x in (F.lit(key), F.struct(F.lit(name).alias("name"), F.lit(abbr).alias("short_name")))
-        ]
+    known = F.map_from_arrays(
+        F.array(*[F.lit(k) for k in vocab.PARTY_ALIASES]),
+        F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("short_name")) for n, a in vocab.PARTY_ALIASES.values()]),
     )
 
+    def split(v: Column) -> Column:
+        paired = v.rlike(pattern)
+        return F.struct(
+            F.when(paired, F.trim(F.regexp_extract(v, pattern, 1))).otherwise(v).alias("long"),
+            F.when(paired, F.trim(F.regexp_extract(v, pattern, 2))).otherwise(v).alias("short"),
+        )
+
     def key(v: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(v), "[^a-z0-9+]+", " "))
 
-    shown = F.when(
-        (F.length(short) <= 20) & (F.upper(short) == short) & (F.lower(short) != short), short
-    ).otherwise(F.left(F.upper(slug(short)), F.lit(20)))
-    return F.when(
-        clean == "", F.struct(F.lit("Unknown").alias("name"), F.lit("UNKNOWN").alias("short_name"))
-    ).otherwise(
-        F.coalesce(
-            F.try_element_at(known, key(short)),
-            F.try_element_at(known, key(long)),
-            F.struct(collapse(long).alias("name"), shown.alias("short_name")),
+    def named(x: Column) -> Column:
+        short = x["short"]
+        shown = F.when((F.length(short) <= 20) & (F.upper(short) == short) & (F.lower(short) != short), short)
+        made = F.struct(
+            collapse(x["long"]).alias("name"), F.coalesce(shown, F.left(F.upper(slug(short)), F.lit(20))).alias("short_name")
         )
-    )
+        blank = F.struct(F.lit("Unknown").alias("name"), F.lit("UNKNOWN").alias("short_name"))
+        return F.when(x["long"] == "", blank).otherwise(
+            F.coalesce(F.try_element_at(known, key(short)), F.try_element_at(known, key(x["long"])), made)
+        )
+
+    return let(let(clean, split), named)
 
 
 def role(c: Column, strict: bool = False) -> Column:
@@ -125,30 +133,31 @@ def strip_honorific(c: Column) -> Column:
 def attendee_name(c: Column) -> Column:
     """P-07: a person's name from an attendance line, NULL when it names no person."""
     edge = " ,.;:-"
-    first = strip_chars(collapse(c), edge)
-    clean = strip_chars(collapse(F.regexp_replace(first, r"\([^)]*\)", " ")), edge)
-    low = F.lower(clean)
+    clean = strip_chars(collapse(F.regexp_replace(strip_chars(collapse(c), edge), r"\([^)]*\)", " ")), edge)
     titles = F.array(*[F.lit(h) for h in vocab.HONORIFICS])
 
     def words(v: Column) -> Column:
         parts = F.transform(F.split(v, " "), lambda p: strip_chars(p, "()[]{}.,;:"))
         return F.array_join(F.filter(parts, lambda p: (p != "") & ~F.array_contains(titles, F.lower(p))), " ")
 
-    comma = F.instr(clean, ",")
-    surname = F.trim(F.substring_index(clean, ",", 1))
-    given = words(collapse(F.substr(clean, comma + 1)))
-    flipped = F.trim(F.concat_ws(" ", F.when(given != "", given), surname))
-    name = strip_chars(collapse(F.when(comma > 0, flipped).otherwise(words(clean))), edge)
-    skip = low.isin(vocab.NON_PERSON_NAMES) | low.rlike(r"\b(" + "|".join(vocab.NON_PERSON_WORDS) + r")\b")
-    return F.when((clean != "") & ~skip & (F.length(name) >= 3) & name.rlike("[A-Za-z]"), title_case(name))
+    def arranged(v: Column) -> Column:
+        given = words(collapse(F.substr(v, F.instr(v, ",") + 1)))
+        flipped = F.trim(F.concat(given, F.lit(" "), F.trim(F.substring_index(v, ",", 1))))
+        return strip_chars(collapse(F.when(F.instr(v, ",") > 0, flipped).otherwise(words(v))), edge)
+
+    def accepted(v: Column) -> Column:
+        low = F.lower(v)
+        skip = low.isin(vocab.NON_PERSON_NAMES) | low.rlike(r"\b(" + "|".join(vocab.NON_PERSON_WORDS) + r")\b")
+        return F.when((v != "") & ~skip, arranged(v))
+
+    name = let(clean, accepted)
+    return let(name, lambda n: F.when((F.length(n) >= 3) & n.rlike("[A-Za-z]"), title_case(n)))
 
 
 def display_name(c: Column) -> Column:
     """P-08: first and last word when there are more than two."""
     parts = F.split(collapse(c), " ")
-    return F.when(F.size(parts) <= 2, c).otherwise(
-        F.concat_ws(" ", F.element_at(parts, 1), F.element_at(parts, -1))
-    )
+    return F.when(F.size(parts) <= 2, c).otherwise(let(parts, lambda p: F.concat_ws(" ", F.element_at(p, 1), F.element_at(p, -1))))
 
 
 def name_tokens(c: Column) -> Column:
@@ -165,52 +174,61 @@ def last_word(c: Column) -> Column:
 
 def alias_forms(full: Column, display: Column) -> Column:
     """P-10: ``array<struct(alias, alias_type)>``; the first type wins for a repeated form."""
-    parts = F.split(collapse(full), " ")
-    surname = F.when(F.coalesce(F.trim(display), F.lit("")) != "", last_word(display)).otherwise(F.element_at(parts, -1))
-    given = F.when(F.size(parts) > 1, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(
-        F.array().cast("array<string>")
-    )
-    initials = F.transform(given, lambda p: F.upper(F.left(p, F.lit(1))))
-    has_initials = F.size(initials) > 0
-
     def form(value: Column, kind: str) -> Column:
-        return F.struct(collapse(value).alias("alias"), F.lit(kind).alias("alias_type"))
-
-    first_initial = F.when(has_initials, F.get(initials, F.lit(0)))
-    joined = F.when(has_initials, F.array_join(initials, ""))
-    dotted = F.when(has_initials, F.concat(F.array_join(initials, ". "), F.lit(".")))
-    forms = F.array(
-        form(full, "FULL_NAME"),
-        form(display, "DISPLAY_NAME"),
-        form(F.concat(first_initial, F.lit(" "), surname), "INITIAL_SURNAME"),
-        form(F.concat(joined, F.lit(" "), surname), "INITIAL_SURNAME"),
-        form(F.concat(dotted, F.lit(" "), surname), "INITIAL_SURNAME"),
-        *[form(F.concat(F.lit(f"{t} "), surname), "TITLE_SURNAME") for t in ("Hon", "Mr", "Ms", "Dr")],
-        form(surname, "SURNAME_ONLY"),
+        return F.struct(value.alias("alias"), F.lit(kind).alias("alias_type"))
+
+    def build(x: Column) -> Column:
+        parts, shown, surname = x["parts"], x["display"], x["surname"]
+        given = F.filter(parts, lambda p, i: i < F.size(parts) - 1)
+        initials = F.transform(given, lambda p: F.upper(F.left(p, F.lit(1))))
+        return F.struct(initials.alias("initials"), F.array_join(parts, " ").alias("full"), shown.alias("display"), surname.alias("surname"))
+
+    def forms(x: Column) -> Column:
+        initials, surname = x["initials"], x["surname"]
+        has = F.size(initials) > 0
+        return F.array(
+            form(x["full"], "FULL_NAME"),
+            form(x["display"], "DISPLAY_NAME"),
+            form(F.when(has, F.concat(F.get(initials, F.lit(0)), F.lit(" "), surname)), "INITIAL_SURNAME"),
+            form(F.when(has, F.concat(F.array_join(initials, ""), F.lit(" "), surname)), "INITIAL_SURNAME"),
+            form(F.when(has, F.concat(F.array_join(initials, ". "), F.lit(". "), surname)), "INITIAL_SURNAME"),
+            *[form(F.concat(F.lit(f"{t} "), surname), "TITLE_SURNAME") for t in ("Hon", "Mr", "Ms", "Dr")],
+            form(surname, "SURNAME_ONLY"),
+        )
+
+    shown = F.coalesce(collapse(display), F.lit(""))
+    base = F.struct(
+        F.split(collapse(full), " ").alias("parts"), shown.alias("display"),
+        F.when(shown != "", last_word(display)).otherwise(last_word(full)).alias("surname"),
     )
-    kept = F.filter(forms, lambda f: F.coalesce(f["alias"], F.lit("")) != "")
-    seen = F.transform(kept, lambda f: f["alias"])
-    return F.filter(kept, lambda f, i: F.array_position(seen, f["alias"]) == i + 1)
+    kept = F.filter(let(let(base, build), forms), lambda f: F.coalesce(f["alias"], F.lit("")) != "")
+
+    def first_of_each(fs: Column) -> Column:
+        return let(
+            F.transform(fs, lambda f: f["alias"]),
+            lambda seen: F.filter(fs, lambda f, i: F.array_position(seen, f["alias"]) == i + 1),
+        )
+
+    return let(kept, first_of_each)
 
 
 def asker_candidates(c: Column) -> Column:
     """P-11: spellings to try for an asker, best first."""
-    raw = clean_person_value(c)
     comma = r"^([^,]+),\s*(.+)$"
-    surname = F.trim(F.regexp_extract(raw, comma, 1))
-    given = F.trim(F.regexp_extract(raw, comma, 2))
-    flipped = raw.rlike(comma)
-    parts = F.split(raw, " ")
-    forms = F.array(
-        raw,
-        F.trim(F.regexp_replace(raw, r"(?i)^(hon|mr|ms|mrs|dr|adv|prof)\.?\s+", "")),
-        F.when(flipped, F.concat_ws(" ", given, surname)),
-        F.when(flipped, surname),
-        F.when(F.size(parts) > 1, F.element_at(parts, -1)),
-    )
-    return F.coalesce(
-        F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & (f != ""))), F.array().cast("array<string>")
-    )
+
+    def forms(raw: Column) -> Column:
+        surname = F.trim(F.regexp_extract(raw, comma, 1))
+        given = F.trim(F.regexp_extract(raw, comma, 2))
+        return F.array(
+            raw,
+            F.trim(F.regexp_replace(raw, r"(?i)^(hon|mr|ms|mrs|dr|adv|prof)\.?\s+", "")),
+            F.when(raw.rlike(comma), F.concat_ws(" ", given, surname)),
+            F.when(raw.rlike(comma), surname),
+            F.when(F.contains(raw, F.lit(" ")), F.substring_index(raw, " ", -1)),
+        )
+
+    kept = F.filter(let(clean_person_value(c), forms), lambda f: f.isNotNull() & (f != ""))
+    return F.array_distinct(kept)
 
 
 def clean_person_value(c: Column) -> Column:

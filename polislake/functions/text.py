@@ -16,6 +16,15 @@ WORD = r"[\p{L}\p{N}_]"
 BEFORE, AFTER = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Column expressions are trees: a value used ten times is ten copies. Bound
+    to a lambda variable it is planned and evaluated a single time.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(c: Column) -> Column:
     """Runs of whitespace become one space, ends are trimmed."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
@@ -27,14 +36,12 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     """P-22: trimmed value, NULL when nothing is left."""
-    t = F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
-    return F.when(t != "", t)
+    return F.nullif(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
 
 
 def limit_string(c: Column, limit: int) -> Column:
     """P-22: collapsed and cut to ``limit`` characters, blank becomes NULL."""
-    t = collapse(c)
-    return F.when(t != "", F.left(t, F.lit(limit)))
+    return F.nullif(F.left(collapse(c), F.lit(limit)), F.lit(""))
 
 
 def is_blank(c: Column) -> Column:
@@ -80,10 +87,12 @@ def code_map(c: Column, codes: Mapping[str, str], default: str, upper: bool = Tr
 
 def excerpt(c: Column, limit: int = vocab.MAX_EXCERPT) -> Column:
     """P-24: collapsed text, cut with an ellipsis beyond ``limit``."""
-    t = collapse(c)
-    return F.when(
-        F.length(t) > limit, F.concat(F.regexp_replace(F.left(t, F.lit(limit)), SPACE + "+$", ""), F.lit("..."))
-    ).otherwise(F.when(t != "", t))
+    return let(
+        collapse(c),
+        lambda t: F.when(
+            F.length(t) > limit, F.concat(F.regexp_replace(F.left(t, F.lit(limit)), SPACE + "+$", ""), F.lit("..."))
+        ).otherwise(F.when(t != "", t)),
+    )
 
 
 def snippet(text: Column, start: Column, length: Column, radius: int = vocab.SNIPPET_RADIUS) -> Column:

@@ -38,10 +38,10 @@ def e01(t):
 
 @query("E02_resolve_askers", rf"""with {DICT_SQL},
   c0 as (select distinct asked_by_name as asker, nullif(trim(regexp_replace(trim(regexp_replace(asked_by_name, '\s+', ' ', 'g')), '\s*\([^)]{{1,80}}\)\s*$', '')), '') as raw from questions),
-  f as (select asker, [raw, trim(regexp_replace(raw, '^(hon|mr|ms|mrs|dr|adv|prof)\.?\s+', '', 'i')),
+  fa as (select asker, [raw, trim(regexp_replace(raw, '^(hon|mr|ms|mrs|dr|adv|prof)\.?\s+', '', 'i')),
      case when contains(raw, ',') then concat(trim(split_part(raw, ',', 2)), ' ', trim(split_part(raw, ',', 1))) end, case when contains(raw, ',') then trim(split_part(raw, ',', 1)) end,
      case when contains(raw, ' ') then split_part(raw, ' ', -1) end] as v from c0),
-  e as (select asker, unnest(v) as cand, unnest(range(5)) as pos from f), d as (select asker, cand, lower(trim(cand)) as k, pos from e where coalesce(cand, '') <> ''),
+  e as (select asker, unnest(v) as cand, unnest(range(5)) as pos from fa), d as (select asker, cand, lower(trim(cand)) as k, pos from e where coalesce(cand, '') <> ''),
   s as (select asker, cand, pos, coalesce(strong.id, slugs.id, al.id, sur.id) as person_id, case when strong.id is not null then strong.c when slugs.id is not null then 0.93 when al.id is not null then 0.9 else 0.72 end::double as confidence
      from d left join strong using (k) left join slugs on slugs.k = {_SLUG.format(c='d.k')} left join al on al.k = d.k left join sur on sur.k = d.k),
   b as (select asker, arg_min(person_id, pos) as person_id, arg_min(confidence, pos) as confidence, arg_min(cand, pos) as matched_text from s where person_id is not null group by 1)
@@ -137,8 +137,8 @@ def _mentions_sql(body: str, src: str) -> str:
     head, tail = base.split(",\n  rn as", 1)
     return rf"""with {head}, {_FORMS},
   rn as{tail},
-  w as (select id, regexp_extract_all(lower({body}), '[\p{{L}}\p{{N}}_]+') as w from {src} where {body} is not null),
-  g as (select distinct id, unnest(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))))) as k from w),
+  tw as (select id, regexp_extract_all(lower({body}), '[\p{{L}}\p{{N}}_]+') as w from {src} where {body} is not null),
+  g as (select distinct id, unnest(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))))) as k from tw),
   spelled as (select lower(raw) as k, arg_min(raw, raw) as form, arg_min(person_id, raw) as person_id, arg_min(confidence, raw) as confidence, arg_min(reason, raw) as reason from solved where person_id is not null group by 1),
   hit as (select id, person_id, form, confidence, reason, row_number() over (partition by id, person_id order by length(form) desc, form) as rn from g join spelled using (k))
   select h.id, h.person_id, h.form, h.confidence, h.reason, strpos(lower({body}), lower(form)) > 0 as in_text from hit h join {src} d using (id) where rn = 1 and contains(lower({body}), lower(form))"""
@@ -150,7 +150,7 @@ def e10(t):
     return m.select("id", "person_id", "form", "confidence", "reason", F.contains(F.lower("snippet"), F.lower("form")).alias("in_text"))
 
 
-_BENCH_PEOPLE = "select item_id as id, array_to_string(string_split(text, ' ')[1:4], ' ') as full_name, array_to_string(string_split(text, ' ')[1:2], ' ') as display_name from benchmark"
+_BENCH_PEOPLE = r"select item_id as id, regexp_replace(array_to_string(string_split(text, ' ')[1:4], ' '), '[^\p{L}\p{N}]+$', '') as full_name from benchmark"
 
 
 @query("E10_mentions_in_documents", rf"""with b as ({_BENCH_PEOPLE}), f as (select full_name as form, 0.99::double as confidence, 'exact_full_name' as reason from b),
@@ -159,7 +159,7 @@ _BENCH_PEOPLE = "select item_id as id, array_to_string(string_split(text, ' ')[1
    where regexp_matches(lower(d.text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(lower(o.form)) || '($|[^\p{{L}}\p{{N}}_])')""")
 def e10b(t):
     words = F.split("text", " ")
-    people = t.benchmark.select(F.col("item_id").alias("id"), F.array_join(F.slice(words, 1, 4), " ").alias("full_name"))
+    people = t.benchmark.select(F.col("item_id").alias("id"), F.regexp_replace(F.array_join(F.slice(words, 1, 4), " "), r"[^\p{L}\p{N}]+$", "").alias("full_name"))
     people = people.withColumn("display_name", F.col("full_name")).withColumn("slug", F.concat(F.lit("item-"), F.col("id").cast("string")))
     none = people.select(F.col("id").alias("person_id"), F.col("full_name").alias("alias"), F.lit("FULL_NAME").alias("alias_type"))
     m = mentions.detect(t.documents, "doc_id", "text", people, none)
