@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polislake.functions.text import is_blank
+from polislake.functions.text import blank_to_null, is_blank
 
 
 def identifier_rollup(totals: DataFrame, id_col: str, name_col: str, extra: Sequence[str] = (), require_present: bool = True) -> DataFrame:
@@ -16,3 +16,77 @@ def identifier_rollup(totals: DataFrame, id_col: str, name_col: str, extra: Sequ
     return src.groupBy(*extra, id_col, name_col).agg(
         F.count("*").alias("n"), F.sum("vote_total").alias("votes"), F.min("manifest_key").alias("manifest"), F.min("source_url").alias("url")
     )
+
+
+def validate(rows: DataFrame) -> DataFrame:
+    """V-01: verdict per raw result row; ``vote_total`` is set on valid rows only."""
+    contest, party = blank_to_null(F.col("contest_id")), blank_to_null(F.col("party_id"))
+    digits = F.replace(F.coalesce(blank_to_null(F.col("votes")), F.lit("")), F.lit(","), F.lit(""))
+    failure = F.when(contest.isNull() | party.isNull(), "Contest_ID and Party_ID are required").when(~digits.rlike(r"^\d+$"), "Votes must be a non-negative integer")
+    df = rows.withColumns({"contest_id": contest, "party_id": party, "candidate_id": blank_to_null(F.col("candidate_id")), "failure": failure, "_d": digits})
+    return df.withColumn("vote_total", F.when(F.col("failure").isNull(), F.col("_d").try_cast("bigint"))).drop("_d")
+
+
+def keyed_totals(valid: DataFrame) -> DataFrame:
+    """V-01/P-27: valid rows with their identity key and row checksum."""
+    from polislake.functions import keys
+
+    raw = ["contest_id", "contest_name", "province_id", "province_name", "party_id", "party_name", "candidate_id", "candidate_name", "votes"]
+    return valid.where("failure is null").withColumns(
+        {
+            "result_key": keys.result_key(F.col("manifest_key"), F.col("contest_id"), F.col("province_id"), F.col("party_id"), F.col("candidate_id")),
+            "row_checksum": keys.row_checksum({c: F.col(c) for c in raw}),
+        }
+    )
+
+
+def ingest_report(checked: DataFrame, stored_keys: DataFrame) -> DataFrame:
+    """V-02: counters of one ingestion in one row."""
+    good = keyed_totals(checked)
+    per_key = good.groupBy("result_key").agg(F.sum("vote_total").alias("votes")).join(stored_keys.select("result_key").distinct().withColumn("_old", F.lit(True)), "result_key", "left")
+    changes = per_key.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old").isNotNull()).alias("updated"), F.coalesce(F.sum("votes"), F.lit(0)).alias("vote_sum"))
+    base = checked.agg(F.count("*").alias("input_rows"), F.count_if(F.col("failure").isNull()).alias("valid_rows"), F.count_if(F.col("failure").isNotNull()).alias("failed_rows"))
+
+    def pairs(id_col: str, name_col: str, out: str) -> DataFrame:
+        return good.where(F.col(id_col).isNotNull() | F.col(name_col).isNotNull()).select(id_col, name_col).distinct().agg(F.count("*").alias(out))
+
+    rows = [base, changes, pairs("party_id", "party_name", "unresolved_parties"), pairs("candidate_id", "candidate_name", "unresolved_candidates")]
+    return one_row(rows).withColumn("exit_code", F.when(F.col("valid_rows") == 0, 1).otherwise(0))
+
+
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """Several one-row results side by side, by an equi-join on a constant key."""
+    out = None
+    for p in parts:
+        p = p.withColumn("_one", F.lit(1))
+        out = p if out is None else out.join(p, "_one")
+    return out.drop("_one")
+
+
+def coverage_report(manifests: DataFrame, totals: DataFrame) -> DataFrame:
+    """V-03: counters on manifests and vote totals, one row."""
+    m = manifests.agg(
+        F.count("*").alias("manifests"), F.count_if("reachable").alias("reachable"), F.count_if(F.col("source_type").isin("csv", "json", "xlsx")).alias("structured"),
+        F.count_if(is_blank(F.col("source_url"))).alias("manifests_without_url"),
+    )
+    v = totals.agg(F.count("*").alias("totals"), F.coalesce(F.sum("vote_total"), F.lit(0)).alias("vote_sum"), F.count_if(is_blank(F.col("source_url"))).alias("totals_without_url"), F.count_if(is_blank(F.col("manifest_key"))).alias("totals_without_key"))
+    used = totals.select("manifest_key").distinct()
+    lonely = manifests.join(used, "manifest_key", "left_anti").agg(F.count("*").alias("manifests_without_totals"))
+    orphan = totals.join(manifests.select("manifest_key"), "manifest_key", "left_anti").agg(F.count("*").alias("totals_without_manifest"))
+    dup = totals.groupBy("id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_keys"))
+    return one_row([m, v, lonely, orphan, dup])
+
+
+def traffic_light(report: DataFrame) -> DataFrame:
+    """V-04: red on integrity failures, yellow on gaps, else green."""
+    broken = F.col("totals_without_manifest") + F.col("manifests_without_url") + F.col("totals_without_url") + F.col("totals_without_key") + F.col("duplicate_keys")
+    gaps = (F.col("manifests") == 0) | (F.col("totals") == 0) | (F.col("manifests_without_totals") > 0)
+    return report.withColumn("readiness", F.when(broken > 0, "red").when(gaps, "yellow").otherwise("green"))
+
+
+def unresolved_identifiers(totals: DataFrame) -> DataFrame:
+    """V-05: identifiers still without an internal match, per kind, in one pass over grouping sets."""
+    kinds = {"party": "party_id", "candidate": "candidate_id", "geography": "geography_id", "contest": "contest_id"}
+    ids = F.array(*[F.struct(F.lit(k).alias("kind"), blank_to_null(F.col(c)).alias("identifier")) for k, c in kinds.items()])
+    long = totals.select("vote_total", "manifest_key", F.explode(ids).alias("i")).where("i.identifier is not null")
+    return long.groupBy("i.kind", "i.identifier").agg(F.count("*").alias("n"), F.sum("vote_total").alias("votes"), F.min("manifest_key").alias("manifest"))

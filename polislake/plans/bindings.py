@@ -260,6 +260,51 @@ VIEWS: dict[str, str] = {
         case when l_orderkey % 9 % 3 = 0 then 'csv' when l_orderkey % 9 % 3 = 1 then 'html' else 'json' end as source_type,
         case when l_orderkey % 9 % 4 = 0 then null else concat('https://records.example.org/results/', cast(l_orderkey % 9 as string)) end as source_url
       from {lineitem}""",
+    # Pages built from one row each --------------------------------------------------------------
+    "vote_pages": f"""select o_orderkey as page_id, concat('https://records.example.org/vote/', cast(o_orderkey as string), '/') as url,
+        concat('<html><h1>Division ', cast(o_orderkey as string), '</h1><table><tr><th>Party</th><th>Yes</th><th>No</th></tr>',
+          '<tr><td>Party ', cast(o_custkey % 5 as string), '</td><td>', cast(o_custkey % 90 as string), '</td><td>1,0', cast(o_orderkey % 9 as string), '0</td></tr>',
+          '<tr><td>Party X</td><td>n/a</td><td> ', cast(o_orderkey % 7 as string), ' </td></tr>',
+          '<tr><td>', {_display('o_custkey')}, '</td><td>', case o_orderkey % 4 when 0 then 'Aye' when 1 then 'NO' when 2 then 'abstain' else 'maybe' end, '</td></tr></table></html>') as html
+      from {{orders}}""",
+    "bill_pages": """select p_partkey as page_id, concat('https://records.example.org/bills/', cast(p_partkey as string)) as url,
+        concat('<table><tr><th>Bill</th><th>Year</th><th>Status</th></tr><tr><td><a href="/bill/', cast(p_partkey as string), '/">', p_name, ' Bill [B ', cast(p_size as string), ']</a></td><td>',
+          cast(1990 + p_size % 30 as string), '</td><td>', case p_size % 4 when 0 then 'Signed into law' when 1 then 'Passed by NCOP' when 2 then 'Withdrawn' else 'Pending' end, '</td></tr></table><ul>',
+          '<li>Introduced on ', cast(1 + p_size % 28 as string), ' March ', cast(1990 + p_size % 30 as string), '</li><li>Second reading ', cast(1990 + p_size % 30 as string), '-06-1', cast(p_size % 10 as string), '</li>',
+          '<li>Second reading ', cast(1990 + p_size % 30 as string), '-06-1', cast(p_size % 10 as string), '</li><li>No news</li>',
+          '<li><b>National Assembly</b>: <a href="https://laws.example.org/bill/', cast(p_partkey as string), '">', p_name, ' Act B', cast(p_size as string), 'A</a> introduced 20', cast(10 + p_size % 10 as string), '</li></ul>') as html
+      from {part}""",
+    "member_pages": f"""select o_orderkey as page_id, 'https://www.example.org/committees/' as url, o_custkey % 10 as committee_id,
+        concat('<html><h1>Portfolio Committee on ', {_committee('(o_custkey % 10)')}, ' :: Register</h1><ul><li><a href="/person/p', cast(o_custkey as string), '/">Hon ', {_display('o_custkey')}, '</a> (Chairperson)</li>',
+          '<li>Whip: <a href="http://www.example.org/person/p', cast(o_custkey + 1 as string), '">', upper({_display('(o_custkey + 1)')}), '</a></li><li><a href="/person/q/">Profile</a></li>',
+          '<li><a href="/place/x/">Somewhere</a></li><li><a href="/person/p', cast(o_custkey as string), '/">Hon ', {_display('o_custkey')}, '</a> chairperson</li>',
+          '<li><a href="/person/unknown-', {_letters('o_orderkey')}, '">Ms Visitor ', {_letters('o_orderkey')}, '</a></li></ul></html>') as html
+      from {{orders}}""",
+    "profile_pages": f"""select c_custkey as page_id, concat('https://www.example.org/person/p', cast(c_custkey as string), '/') as url,
+        concat('<html><head><title>', {_display('c_custkey')}, ' :: Register</title>', case when c_custkey % 3 = 0 then concat('<meta property="profile:first_name" content="', {_pick(_FIRST, 'c_custkey')}, '"><meta property="profile:last_name" content="', {_surname('c_custkey')}, '">') else '' end,
+          '<meta property="og:image" content="https://img.example.org/', cast(c_custkey as string), '.png"></head><body><h1 class="mp-name">Dr ', upper({_display('c_custkey')}), '</h1>',
+          case when c_custkey % 2 = 0 then '<img class="mp-image" src="/media/p.jpg">' else '' end,
+          '<div class="mp-block"><h3 class="mp-block__title">Political Party</h3><a href="/party/">', c_mktsegment, ' Front (', substr(c_mktsegment, 1, 3), ')</a></div><div class="current-mp-positions">',
+          '<div class="text-link"><span class="text-link__text">Chairperson at <a href="/c/1/">Portfolio Committee on ', {_committee('(c_custkey % 10)')}, '</a></span><span class="text-link__date">since 3rd May 20', cast(10 + c_custkey % 10 as string), '</span></div>',
+          '<div class="text-link"><span class="text-link__text">Member at <a href="/c/2/">', c_mktsegment, ' Front</a></span></div></div><p>',
+          case c_custkey % 4 when 0 then 'Member of Parliament' when 1 then 'The member resigned' when 2 then 'Nothing here' else 'Current positions: none' end, '</p></body></html>') as html
+      from {{customer}}""",
+    "meeting_html": f"""select o_orderkey as page_id, concat('https://records.example.org/committee-meeting/', cast(o_orderkey as string), '/') as url,
+        concat('<html><head><meta property="og:title" content="Social title | PMG">', case when o_orderkey % 3 = 0 then concat('<meta property="article:published_time" content="', cast(cast(o_orderdate as date) as string), 'T08:00:00+02:00">') else '' end, '</head><body>',
+          case when o_orderkey % 4 = 0 then '' else concat('<h1>Meeting &amp; vote ', cast(o_orderkey as string), '</h1>') end,
+          '<p class="date">', cast(1 + o_custkey % 28 as string), ' March ', cast(1995 + o_custkey % 20 as string), '</p>', case when o_orderkey % 2 = 0 then concat('<a class="committee-name" href="/committee/1">', {_committee('(o_custkey % 10)')}, '</a>') else '' end,
+          '<div class="summary">Portfolio Committee on ', {_pick(_TOPIC, 'o_custkey')}, '; notes <b>of</b> the day. <a href="/files/minutes-', cast(o_orderkey as string), '.pdf">minutes</a> <a href="/question-papers/x">paper</a></div>',
+          '<h3>Members present</h3><ul><li>', {_display('o_custkey')}, '</li><li>Mr ', {_surname('(o_custkey + 1)')}, '</li></ul><h3>Apologies</h3><table><tr><td>', {_display('(o_custkey + 2)')}, '</td><td></td></tr><tr><td>Ms ', {_surname('(o_custkey + 3)')}, '</td><td>Absent</td></tr></table></body></html>') as html
+      from {{orders}}""",
+    "question_texts": """select id, source_url, concat('Question Number: ', question_number, ' Asked By: ', trim(asked_by_name), ' (XY) Department: ', department, ' Minister - ', minister, ' Question Date: ',
+          cast(asked_date as string), case when id % 3 = 0 then ' Status: Pending' else '' end, case when id % 4 = 0 then '' else concat(' Question: ', replace(replace(question_text, ':', ' '), '-', ' ')) end,
+          case when answer_text is null or id % 4 = 0 then '' else concat(' Reply: ', replace(replace(answer_text, ':', ' '), '-', ' ')) end) as body, question_text, answer_text, question_number, asked_by_name, department, minister, asked_date
+      from {questions}""",
+    "listing_json": f"""select o_orderkey as page_no, concat('{{{{"count": 9, "next": null, "results": [{{{{"id": ', cast(o_orderkey as string), ', "title": "Title ', cast(o_orderkey as string), '", "date": "', cast(cast(o_orderdate as date) as string), 'T10:00", "code": "B', cast(o_orderkey % 50 as string), '-2020", "number": ',
+          case when o_orderkey % 3 = 0 then 'null' else cast(o_orderkey % 50 as string) end, ', "year": 2020, "status": {{{{"name": "', case o_orderkey % 3 when 0 then 'Signed by President' when 1 then 'Passed' else 'new' end, '"}}}}, "events": [{{{{"type": "introduced", "date": "2020-01-0', cast(1 + o_orderkey % 9 as string),
+          '", "title": "Tabled"}}}}, {{{{"type": null, "date": "bad", "title": ""}}}}], "attendance": [{{{{"attendance": "', case o_orderkey % 5 when 0 then 'P' when 1 then 'ap' when 2 then 'LDE' when 3 then 'A' else 'ZZ' end, '", "member": {{{{"name": "', {_surname('o_custkey')}, ', Ms ', {_pick(_FIRST, 'o_custkey')},
+          '", "party": {{{{"name": "ANC"}}}}}}}}}}}}, {{{{"attendance": "P", "member": {{{{"name": null}}}}}}}}]}}}}]}}}}') as payload
+      from {{orders}}""",
     # Pages and listings ------------------------------------------------------------------------
     "links": """select page_id, url, html from {pages}""",
     "asks": f"""select conv_id * 1000 + turn as question_id,
