@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polislake.functions.text import let
+
 _MONTHS = (
     "January|February|March|April|May|June|July|August|September|October|November|December"
     "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -32,9 +34,12 @@ def _american(c: Column) -> Column:
 
 def parse(c: Column) -> Column:
     """P-16: the formats seen in records, ordinals removed, then the first date inside the text."""
-    t = F.regexp_replace(F.trim(c), r"(?i)(\d+)(st|nd|rd|th)", "$1")
-    inner = F.regexp_extract(t, r"\b(\d{1,2} [A-Z][a-z]+ \d{4})\b", 1)
-    return F.coalesce(_iso(F.left(t, F.lit(10))), _written(t), _american(t), _written(inner))
+    return let(
+        F.regexp_replace(F.trim(c), r"(?i)(\d+)(st|nd|rd|th)", "$1"),
+        lambda t: F.coalesce(
+            _iso(F.left(t, F.lit(10))), _written(t), _american(t), _written(F.regexp_extract(t, r"\b(\d{1,2} [A-Z][a-z]+ \d{4})\b", 1))
+        ),
+    )
 
 
 def first_in_text(c: Column) -> Column:

@@ -101,7 +101,7 @@ def publication_date(html_col: Column, visible: Column) -> Column:
     """T-04: date of the meta tags, else the first written date of the text."""
     metas = [dates.parse(F.left(html.meta_content(html_col, k), F.lit(10))) for k in ("article:published_time", "date", "DC.date")]
     inner = F.regexp_extract(visible, r"\b(\d{1,2} [A-Z][a-z]+ \d{4})\b", 1)
-    return F.coalesce(*metas, dates.parse(inner))
+    return F.coalesce(*metas, text.let(inner, dates.parse))
 
 
 def committee_of(html_col: Column, visible: Column) -> Column:

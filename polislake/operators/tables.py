@@ -77,28 +77,34 @@ def first_by_alternatives(facts: DataFrame, fact_keys: Sequence[Column], dim: Da
     return df.withColumn(out, F.coalesce(*ids)).select(*facts.columns, out)
 
 
-def longest_contained(texts: DataFrame, text_id: str, text: str, dictionary: DataFrame, entity: str, name: str, min_length: int) -> DataFrame:
-    """J-10/O-05: the longest dictionary name occurring inside each text, as a substring.
-
-    No nested loop. The first ``min_length`` letters of every name are its
-    anchor; anchors found among the letter grams of a text tell at which
-    positions and lengths a name could sit, and only those substrings are
-    joined to the names by equality. The result is exactly that of testing
-    every name against every text.
+def contained(texts: DataFrame, text_id: str, text: str, names: DataFrame, min_length: int) -> DataFrame:
+    """All lower-case ``_name`` values occurring inside each short text, as ``(text_id, _name)``.
+
+    No nested loop. The first ``min_length`` letters of a name are its anchor;
+    anchors found among the letter grams of a text tell at which places and
+    lengths a name could sit, and only those substrings are joined to the names
+    by equality. The result is exactly that of testing every name against
+    every text. Meant for titles and words; rows carry the window of the
+    longest name, not the text.
     """
-    low = dictionary.select(F.col(entity).alias("_entity"), F.lower(F.col(name)).alias("_name")).where(F.length("_name") >= min_length)
-    names = low.groupBy("_name").agg(F.min("_entity").alias("_entity"))
     anchors = names.groupBy(F.left("_name", F.lit(min_length)).alias("_gram")).agg(F.collect_set(F.length("_name")).alias("_lengths"))
+    # One number that describes the dictionary: its longest name.
+    width = names.agg(F.max(F.length("_name")).alias("w")).first()["w"] or min_length
     base = texts.select(F.col(text_id).alias("_tid"), F.lower(F.col(text)).alias("_text")).where(F.length("_text") >= min_length)
-    grams = base.select(
-        "_tid", "_text", F.explode(F.sequence(F.lit(1), F.length("_text") - min_length + 1)).alias("_pos")
-    ).withColumn("_gram", F.substr("_text", F.col("_pos"), F.lit(min_length)))
-    spots = grams.join(anchors, "_gram").select("_tid", "_text", "_pos", F.explode("_lengths").alias("_len"))
-    fits = spots.where(F.col("_pos") + F.col("_len") - 1 <= F.length("_text"))
-    cand = fits.select("_tid", F.substr("_text", F.col("_pos"), F.col("_len")).alias("_name"))
-    hits = cand.join(names, "_name")
-    best = hits.groupBy("_tid").agg(F.min(F.struct((-F.length("_name")).alias("l"), F.col("_name").alias("n"), F.col("_entity").alias("e"))).alias("b"))
-    return best.select(F.col("_tid").alias(text_id), F.col("b.e").alias(entity), F.col("b.n").alias("matched_name"))
+    places = F.transform(F.sequence(F.lit(1), F.length("_text") - min_length + 1), lambda p: F.substr(F.col("_text"), p, F.lit(width)))
+    windows = base.select("_tid", F.explode(places).alias("_w")).withColumn("_gram", F.left("_w", F.lit(min_length)))
+    spots = windows.join(anchors, "_gram").select("_tid", "_w", F.explode("_lengths").alias("_len")).where(F.length("_w") >= F.col("_len"))
+    cand = spots.select("_tid", F.left("_w", F.col("_len")).alias("_name"))
+    return cand.join(names.select("_name"), "_name", "left_semi").withColumnRenamed("_tid", text_id)
+
+
+def longest_contained(texts: DataFrame, text_id: str, text: str, dictionary: DataFrame, entity: str, name: str, min_length: int) -> DataFrame:
+    """J-10/O-05: the longest dictionary name occurring inside each text, as a substring."""
+    low = dictionary.select(F.col(entity).alias("_entity"), F.lower(F.col(name)).alias("_name")).where(F.length("_name") >= min_length)
+    names = low.groupBy("_name").agg(F.min("_entity").alias("_entity"))
+    hits = contained(texts, text_id, text, names, min_length)
+    best = hits.groupBy(text_id).agg(F.min(F.struct((-F.length("_name")).alias("l"), F.col("_name").alias("n"))).alias("b")).select(text_id, F.col("b.n").alias("_name"))
+    return best.join(names, "_name").select(text_id, F.col("_entity").alias(entity), F.col("_name").alias("matched_name"))
 
 
 def new_first(urls: DataFrame, known: DataFrame, limit: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars", "browse", "entities", "extraction")
+_MODULES = ("scalars", "browse", "entities", "extraction", "reports")
 
 
 def load_all():

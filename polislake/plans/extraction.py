@@ -166,7 +166,7 @@ def t10(t):
     return ex.question_records(safe.select("id", "body"), "body").select("id", "question_text", "answer_text")
 
 
-@query("T11_question_record", r"""select id, question_number, trim(regexp_replace(trim(regexp_replace(asked_by_name, '\s+', ' ', 'g')), '\s*\(XY\)$', '')) as asked_by_name, department, minister, asked_date,
+@query("T11_question_record", r"""select id, nullif(regexp_extract(question_number, '\b([A-Z]{0,4}\s*\d{1,6}(?:/\d{1,6})?)\b', 1, 'i'), '') as question_number, trim(regexp_replace(trim(regexp_replace(asked_by_name, '\s+', ' ', 'g')), '\s*\(XY\)$', '')) as asked_by_name, department, minister, asked_date,
    case when id % 3 = 0 then 'Pending' when answer_text is null or id % 4 = 0 then 'UNANSWERED' else 'ANSWERED' end as status, 'PARSED' as parse_status from question_texts""")
 def t11(t):
     r = ex.question_records(t.question_texts.select("id", "body"), "body")
