@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from polislake import vocab
-from polislake.functions.text import blank_to_null, clean_display, collapse, keyword_case, let, strip_chars, title_case
+from polislake.functions.text import blank_to_null, clean_display, collapse, constant_words, keyword_case, let, strip_chars, title_case
 
 
 @lru_cache(maxsize=1)
@@ -134,7 +134,7 @@ def attendee_name(c: Column) -> Column:
     """P-07: a person's name from an attendance line, NULL when it names no person."""
     edge = " ,.;:-"
     clean = strip_chars(collapse(F.regexp_replace(strip_chars(collapse(c), edge), r"\([^)]*\)", " ")), edge)
-    titles = F.array(*[F.lit(h) for h in vocab.HONORIFICS])
+    titles = constant_words(vocab.HONORIFICS)
 
     def words(v: Column) -> Column:
         parts = F.transform(F.split(v, " "), lambda p: strip_chars(p, "()[]{}.,;:"))

@@ -30,6 +30,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
+def constant_words(words: Sequence[str]) -> Column:
+    """A constant array of words, planned as one literal."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 
@@ -157,9 +162,9 @@ def search_terms(question: Column, limit: int = vocab.MAX_SOURCES) -> Column:
     A question of nothing but stop words is searched for as a whole.
     """
     words = F.regexp_extract_all(F.lower(question), F.lit(r"([a-zA-Z][a-zA-Z0-9+-]{2,})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in vocab.SEARCH_STOP_WORDS])
+    stop = constant_words(vocab.SEARCH_STOP_WORDS)
     kept = F.slice(F.filter(words, lambda w: ~F.array_contains(stop, w)), 1, limit)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.trim(question)))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.trim(question))))
 
 
 def sentences(text: Column) -> Column:

@@ -115,8 +115,8 @@ def topic_terms(q: Column) -> Column:
     """I-06: terms of the about clause, else all terms but the asker's words."""
     about = F.regexp_replace(F.regexp_extract(q, r"(?i)\babout\s+(.+?)(?:\?|$)", 1), r"\([^)]+\)", " ")
     who = F.transform(F.flatten(F.transform(asker_terms(q), lambda a: F.split(a, " "))), F.lower)
-    rest = F.filter(text.search_terms(q), lambda w: ~F.array_contains(who, F.lower(w)))
-    return F.when(about != "", text.search_terms(about)).otherwise(rest)
+    words = text.let(about, lambda a: text.search_terms(F.when(a != "", a).otherwise(q)))
+    return text.let(words, lambda ws: F.when(about != "", ws).otherwise(text.let(who, lambda w: F.filter(ws, lambda x: ~F.array_contains(w, F.lower(x))))))
 
 
 def hearing_terms(q: Column) -> Column:

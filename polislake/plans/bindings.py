@@ -189,8 +189,8 @@ VIEWS: dict[str, str] = {
         concat('Written question ', cast(conv_id as string)) as title,
         case when conv_id % 3 = 0 then null else conv_id % 150 end as politician_id,
         {_spelled('(conv_id % 150)', 'conv_id')} as asked_by_name,
-        {_pick('Health,Finance,Water,Energy', 'conv_id')} as department,
-        concat('Minister of ', {_pick('Health,Finance,Water,Energy', 'conv_id')}) as minister,
+        {_pick('Finance,Health,Water,Energy', 'conv_id')} as department,
+        concat('Minister of ', {_pick('Finance,Health,Water,Energy', 'conv_id')}) as minister,
         question_text, answer_text,
         date_add(cast('2020-01-01' as date), cast(conv_id % 900 as int)) as asked_date,
         case when answer_text is null then 'UNANSWERED' else 'ANSWERED' end as status,

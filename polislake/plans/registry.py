@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from polislake.plans.bindings import BASE_TABLES, VIEWS, Tables
+from polislake.session import configure
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ def oracle(sql: str) -> str:
 
 def spark_callable(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return q.build(Tables(spark, sf_dir))
+        return q.build(Tables(configure(spark), sf_dir))
 
     run.__name__ = q.name
     return run
