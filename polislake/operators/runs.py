@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from polislake.operators.tables import top_k
 
 # Error types that mean the source could not be reached.
-ACCESS_ERRORS = ["HTTPError", "Timeout", "ConnectionError", "RequestException", "EmptyResponse"]
+ACCESS_ERRORS = [
+    "ConnectionError", "ConnectTimeout", "HTTPError", "ReadTimeout", "RequestException", "Timeout", "EmptyResponse", "SourceAccessError",
+]
 
 
 def error_histogram(errors: DataFrame, samples: int = 3) -> DataFrame:
