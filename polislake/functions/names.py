@@ -118,11 +118,11 @@ def party(c: Column) -> Column:
 def role(c: Column, strict: bool = False) -> Column:
     """P-05: role by the first keyword contained; anything else is kept (100 characters)."""
     clean = strip_chars(collapse(F.replace(F.coalesce(c, F.lit("")), F.lit(":"), F.lit(" "))), " .,-")
-    return (
-        F.when(F.coalesce(c, F.lit("")) == "", F.lit("Member"))
-        .when(clean == "", F.lit("Unknown"))
-        .otherwise(F.coalesce(keyword_case(clean, vocab.ROLE_KEYWORDS, strict=strict), F.left(clean, F.lit(100))))
+    named = let(
+        clean,
+        lambda v: F.when(v == "", F.lit("Unknown")).otherwise(F.coalesce(keyword_case(v, vocab.ROLE_KEYWORDS, strict=strict), F.left(v, F.lit(100)))),
     )
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("Member")).otherwise(named)
 
 
 def strip_honorific(c: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,10 +66,7 @@ def title_case(c: Column) -> Column:
 
 def contains_any(c: Column, needles: Sequence[str]) -> Column:
     """``c`` holds at least one of the literal ``needles``."""
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(c, F.lit(n))
-    return out
+    return let(c, lambda v: reduce(or_, [F.contains(v, F.lit(n)) for n in needles]))
 
 
 def keyword_case(c: Column, rules: Sequence[tuple[str, object]], default: object = None, strict: bool = False) -> Column:
@@ -75,12 +74,15 @@ def keyword_case(c: Column, rules: Sequence[tuple[str, object]], default: object
 
     Plain containment by default; ``strict`` asks for whole words.
     """
-    low = F.lower(c)
-    out = None
-    for keyword, value in rules:
-        hit = low.rlike(BEFORE + keyword + AFTER) if strict else F.contains(low, F.lit(keyword))
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(F.lit(default)) if default is not None else out
+
+    def chain(low: Column) -> Column:
+        out = None
+        for keyword, value in rules:
+            hit = low.rlike(BEFORE + keyword + AFTER) if strict else F.contains(low, F.lit(keyword))
+            out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
+        return out.otherwise(F.lit(default)) if default is not None else out
+
+    return let(F.lower(c), chain)
 
 
 def code_map(c: Column, codes: Mapping[str, str], default: str, upper: bool = True) -> Column:
@@ -147,8 +149,10 @@ def fingerprint(c: Column, base: int = 31, modulus: int = 1_000_000_007) -> Colu
 def unique_values(values: Column) -> Column:
     """D-06: order-keeping distinct that ignores case and spacing."""
     clean = F.filter(F.transform(values, collapse), lambda v: v.isNotNull() & (v != ""))
-    lows = F.transform(clean, F.lower)
-    return F.filter(clean, lambda v, i: F.array_position(lows, F.lower(v)) == i + 1)
+    marked = F.array_sort(F.transform(clean, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("v"))))
+    # Sorted by key and place, the first of every run of equal keys is the one to keep.
+    first = let(marked, lambda m: F.filter(m, lambda x, i: (i == 0) | (x["low"] != F.get(m, F.greatest(i - 1, F.lit(0)))["low"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"], x["v"]))), lambda x: x["v"])
 
 
 def count_of(c: Column, needle: str) -> Column:

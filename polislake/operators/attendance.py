@@ -32,7 +32,7 @@ def by_committee(attendance: DataFrame, meetings: DataFrame, committees: DataFra
 def recent(attendance: DataFrame, meetings: DataFrame, committees: DataFrame, k: int = 10) -> DataFrame:
     """O-02: the ``k`` latest meetings of every person."""
     joined = at_meetings(attendance, meetings, committees)
-    order = [F.desc_nulls_last("date"), F.desc("meeting_id"), F.desc("id")]
+    order = [F.desc_nulls_last("date"), F.desc("meeting_id"), F.desc("id"), F.col("attendance_status"), F.col("name_raw")]
     out = top_k(joined, ["politician_id"], order, k, rank="position")
     return out.withColumn("source_url", F.coalesce("source_url", "_meeting_url")).drop("_meeting_url")
 

@@ -349,8 +349,7 @@ def is_faithful(answer: Column, required: Column) -> Column:
 
 def cache_lookup(asked: DataFrame, cache: DataFrame, snapshot: DataFrame) -> DataFrame:
     """I-18: a cached answer counts only for the same wording and the same data snapshot."""
-    version = snapshot.select(F.sha2(F.to_json(F.struct(*sorted(snapshot.columns))), 256).alias("_v"))
-    q = asked.withColumn("normalized_question", normalize_question(F.col("question"))).withColumn("_one", F.lit(1)).join(version.withColumn("_one", F.lit(1)), "_one")
-    c = cache.select("normalized_question", F.col("snapshot").alias("_s"), F.col("answer").alias("cached_answer"))
-    out = q.join(c, "normalized_question", "left").withColumn("hit", F.coalesce(F.col("_s") == F.col("_v"), F.lit(False)))
-    return out.withColumn("cached_answer", F.when(F.col("hit"), F.col("cached_answer"))).drop("_one", "_s").withColumnRenamed("_v", "snapshot")
+    version = snapshot.select(F.sha2(F.to_json(F.struct(*sorted(snapshot.columns))), 256).alias("snapshot"))
+    valid = cache.join(version, "snapshot", "left_semi").select("normalized_question", F.col("answer").alias("cached_answer"), F.lit(True).alias("_hit"))
+    q = asked.withColumn("normalized_question", normalize_question(F.col("question")))
+    return q.join(valid, "normalized_question", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -253,7 +253,9 @@ def launch_coverage(counts: DataFrame, sweep_totals: DataFrame, fallback: Mappin
     fb = None
     for label, total in fallback.items():
         fb = F.when(F.col("label") == label, F.lit(total)) if fb is None else fb.when(F.col("label") == label, F.lit(total))
-    df = counts.join(sweep_totals.select("label", F.col("source_total").alias("_s")), "label", "left").withColumn("source_total", F.coalesce(F.nullif("_s", F.lit(0)), fb).cast("long"))
+    both = counts.select("label", "n").unionByName(sweep_totals.select("label", F.col("source_total").alias("_s")), allowMissingColumns=True)
+    df = both.groupBy("label").agg(F.max("n").alias("n"), F.max("_s").alias("_s")).where("n is not null")
+    df = df.withColumn("source_total", F.coalesce(F.nullif("_s", F.lit(0)), fb).cast("long"))
     share = pct(F.col("n"), F.col("source_total"), 2)
     return df.select("label", "n", "source_total", share.alias("coverage_pct")).withColumn("launch_status", F.when(F.col("coverage_pct") >= vocab.LAUNCH_COVERAGE_PCT, "pass").otherwise("blocker"))
 
@@ -278,11 +280,11 @@ def link_coverage(specs: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def unreachable(values: DataFrame, found: DataFrame, key: str, path: str) -> DataFrame:
     """R-10: how many stored values one lookup path fails to reach."""
-    n = values.agg(F.count("*").alias("checked"))
-    miss = values.join(found.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("unreachable"))
-    both = n.withColumn("_k", F.lit(1)).join(miss.withColumn("_k", F.lit(1)), "_k")
+    miss = values.join(found.select(key).distinct(), key, "left_anti")
+    rows = values.select(F.lit(1).alias("c"), F.lit(0).alias("u")).unionByName(miss.select(F.lit(0).alias("c"), F.lit(1).alias("u")))
+    n = rows.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("checked"), F.coalesce(F.sum("u"), F.lit(0)).alias("unreachable"))
     status = F.when(F.col("checked") == 0, "SKIP").when(F.col("unreachable") == 0, "PASS").when(F.col("unreachable") == F.col("checked"), "FAIL").otherwise("WARN")
-    return both.select(F.lit(path).alias("path"), "checked", "unreachable", status.alias("status"))
+    return n.select(F.lit(path).alias("path"), "checked", "unreachable", status.alias("status"))
 
 
 def classify_runs(stages: DataFrame, red_errors: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +56,9 @@ def ingest_report(checked: DataFrame, stored_keys: DataFrame) -> DataFrame:
 
 
 def one_row(parts: Sequence[DataFrame]) -> DataFrame:
-    """Several one-row results side by side, by an equi-join on a constant key."""
-    out = None
-    for p in parts:
-        p = p.withColumn("_one", F.lit(1))
-        out = p if out is None else out.join(p, "_one")
-    return out.drop("_one")
+    """Several one-row results side by side: stacked, then each column's only value is taken."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def coverage_report(manifests: DataFrame, totals: DataFrame) -> DataFrame:

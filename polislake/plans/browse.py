@@ -428,7 +428,7 @@ def o01(t):
     return t.docs.orderBy(F.desc_nulls_last("committee_name"), "title", "id").offset(25).limit(25).select("id", "title", "committee_name")
 
 
-@query("O02_recent_attendance", f"""select politician_id, position, meeting_id, attendance_status, committee_name, source_url from (select a.politician_id, row_number() over (partition by politician_id order by date desc nulls last, m.id desc, a.id desc) as position,
+@query("O02_recent_attendance", f"""select politician_id, position, meeting_id, attendance_status, committee_name, source_url from (select a.politician_id, row_number() over (partition by politician_id order by date desc nulls last, m.id desc, a.id desc, a.attendance_status, a.name_raw) as position,
    m.id as meeting_id, a.attendance_status, coalesce(c.name, m.committee_name) as committee_name, coalesce(a.source_url, m.source_url) as source_url from {_AT}) where position <= 10""")
 def o02(t):
     return att.recent(t.attendance, t.meetings, t.committees).select("politician_id", "position", "meeting_id", "attendance_status", "committee_name", "source_url")

@@ -270,10 +270,10 @@ def i17(t):
 @query("I18_answer_cache", r"""select question_id, question_id % 2 = 0 and question_id % 3 <> 0 as hit, case when question_id % 2 = 0 and question_id % 3 <> 0 then 'cached' end as cached_answer from asks""")
 def i18(t):
     snapshot = ev.data_snapshot({"politicians": t.people, "bills": t.bills})
-    version = snapshot.select(F.sha2(F.to_json(F.struct("bills", "politicians")), 256).alias("v"))
+    version = snapshot.select(F.sha2(F.to_json(F.struct("bills", "politicians")), 256)).first()[0]  # one value, the key of this data state
     marked = t.asks.withColumn("question", F.concat("question", F.lit(" #"), F.col("question_id").cast("string")))
-    old = marked.where("question_id % 2 = 0").withColumn("_one", F.lit(1)).join(version.withColumn("_one", F.lit(1)), "_one")
-    cache = old.select(ev.normalize_question(F.col("question")).alias("normalized_question"), F.when(F.col("question_id") % 3 == 0, "stale").otherwise(F.col("v")).alias("snapshot"), F.lit("cached").alias("answer"))
+    old = marked.where("question_id % 2 = 0")
+    cache = old.select(ev.normalize_question(F.col("question")).alias("normalized_question"), F.when(F.col("question_id") % 3 == 0, "stale").otherwise(F.lit(version)).alias("snapshot"), F.lit("cached").alias("answer"))
     return ev.cache_lookup(marked, cache, snapshot).select("question_id", "hit", "cached_answer")
 
 
