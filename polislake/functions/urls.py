@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polislake import vocab
 from polislake.functions.names import slug
-from polislake.functions.text import contains_any
+from polislake.functions.text import contains_any, let
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -30,29 +30,35 @@ def query_string(c: Column) -> Column:
 
 def absolute(href: Column, base: Column) -> Column:
     """A link as seen from the page at ``base``."""
-    h = F.trim(href)
-    root = F.concat(scheme(base), F.lit("://"), netloc(base))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(scheme(base), F.lit(":"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(root, h))
-        .when(h == "", base)
-        .when(h.rlike(r"^[?#]"), F.concat(root, path(base), h))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), h))
-    )
+    parts = F.struct(scheme(base).alias("scheme"), netloc(base).alias("host"), path(base).alias("path"), F.trim(href).alias("h"))
+
+    def joined(x: Column) -> Column:
+        h, root = x["h"], F.concat(x["scheme"], F.lit("://"), x["host"])
+        folder = F.regexp_replace(x["path"], r"[^/]*$", "")
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(F.startswith(h, F.lit("//")), F.concat(x["scheme"], F.lit(":"), h))
+            .when(F.startswith(h, F.lit("/")), F.concat(root, h))
+            .when(h == "", base)
+            .when(h.rlike(r"^[?#]"), F.concat(root, x["path"], h))
+            .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), h))
+        )
+
+    return let(parts, joined)
 
 
 def canonical(c: Column) -> Column:
     """P-12: https, lower-case host, single slashes, trailing slash, only ``page`` kept of the query."""
-    u = F.trim(c)
-    p = F.regexp_replace(path(u), "/+", "/")
-    p = F.when(F.endswith(p, F.lit("/")), p).otherwise(F.concat(p, F.lit("/")))
-    pairs = F.array_sort(
-        F.filter(F.split(query_string(u), "&"), lambda kv: F.lower(F.substring_index(kv, "=", 1)) == "page")
-    )
-    q = F.array_join(F.transform(pairs, lambda kv: F.when(F.contains(kv, F.lit("=")), kv).otherwise(F.concat(kv, F.lit("=")))), "&")
-    return F.concat(F.lit("https://"), F.lower(netloc(u)), p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+    def built(u: Column) -> Column:
+        p = F.regexp_replace(F.concat(path(u), F.lit("/")), "/+", "/")
+        pairs = F.array_sort(
+            F.filter(F.split(query_string(u), "&"), lambda kv: F.lower(F.substring_index(kv, "=", 1)) == "page")
+        )
+        q = F.array_join(F.transform(pairs, lambda kv: F.when(F.contains(kv, F.lit("=")), kv).otherwise(F.concat(kv, F.lit("=")))), "&")
+        return F.regexp_replace(F.concat(F.lit("https://"), F.lower(netloc(u)), p, F.lit("?"), q), r"\?$", "")
+
+    return let(F.trim(c), built)
 
 
 def stable(c: Column) -> Column:

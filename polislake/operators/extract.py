@@ -300,7 +300,7 @@ def infer_asker(body: Column) -> Column:
 def committee_members(pages: DataFrame) -> DataFrame:
     """T-22: members listed on a committee page with the role shown next to them."""
     items = pages.select("page_id", "url", F.posexplode(html.list_items(F.col("html"))).alias("pos", "item"))
-    one = items.withColumn("l", F.get(html.links(F.col("item")), F.lit(0))).where("l is not null")
+    one = items.select("page_id", "url", "pos", "item", F.explode(F.slice(html.links(F.col("item")), 1, 1)).alias("l"))
     one = one.where(urls.path(urls.canonical(urls.absolute(F.col("l.href"), F.col("url")))).rlike(r"^/person/[a-z0-9-]+/$"))
     rest = F.replace(html.strip_tags(F.col("item")), F.col("l.label"), F.lit(" "))
     near = F.regexp_extract(rest, r"(?i)\b(chairperson|chair|alternate member|alternate|whip|minister|deputy minister|member)\b", 1)

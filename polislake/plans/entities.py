@@ -10,6 +10,7 @@ from polislake.operators import tables as tb
 from polislake.plans.bindings import _committee
 from polislake.plans.registry import query
 from polislake.plans.scalars import _COMMITTEE, ALIAS_SQL, ATTENDEE_SQL
+from polislake.session import cut_lineage
 
 _SLUG = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-')"
 
@@ -74,7 +75,7 @@ ASSESS_SQL = CAND_SQL + r""",
 
 
 def _assessed(t):
-    found = resolve.candidates(t.unresolved, t.people, resolve.alias_table(t.people), "raw_value")
+    found = cut_lineage(resolve.candidates(t.unresolved, t.people, resolve.alias_table(t.people), "raw_value"))
     return resolve.assess(t.unresolved.select("id", "raw_value"), found, "raw_value")
 
 

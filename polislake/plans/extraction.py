@@ -13,6 +13,7 @@ from polislake.plans.bindings import _FIRST, _TOPIC, _committee, _display, _pick
 from polislake.plans.registry import query
 from polislake.plans.scalars import FORMAT_SQL, READY_SQL, RESULT_KEY_SQL, STABLE_URL_SQL
 from polislake.plans.sqltext import case_contains
+from polislake.session import cut_lineage
 from polislake.sources import readers
 
 _ENT = "&lt;,<|&gt;,>|&quot;,\"|&#39;,''|&nbsp;, |&copy;,©|&middot;,·|&amp;,&"
@@ -421,7 +422,7 @@ def e22(t):
     from polislake.operators import resolve
 
     members = ex.committee_members(t.member_pages).join(t.member_pages.select("page_id", "committee_id"), "page_id")
-    r = resolve.resolve(members, t.people, resolve.alias_table(t.people), "name")
+    r = cut_lineage(resolve.resolve(members, t.people, resolve.alias_table(t.people), "name"))
     linked = r.where("person_id is not null")
     parts = {
         "memberships": linked.select("person_id", "committee_id", "role").distinct(), "mentions": linked.select("page_id", "person_id").distinct(),
