@@ -58,3 +58,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a real column: evaluated once per row, never again inside a lambda that names it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
