@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polislake.llm import chat_format, line_dedup
+from polislake.llm import chat_format, line_dedup, secret_scan, url_filter
 from polislake.llm.common import table
 from polislake.llm.near_dedup import near_duplicates
 
@@ -37,5 +37,32 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op5_line_dedup, op7_chat_format)}
+#: Host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the listed rules, and by rules mined from the URLs that those decide."""
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select(F.col("_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def known_format() -> Column:
+    """Labels of candidates in a known format: provider keys and assigned hex strings; others are words."""
+    assigned = F.regexp_like(F.concat_ws(" ", "before", "word"), F.lit(r"(?i)(passw(or)?d|token|secret|api_?key)\s*=")) & F.regexp_like("value", F.lit("^[0-9a-f]{16,}$"))
+    return (F.regexp_like("value", F.lit("^AKIA[0-9A-Z]{16}$")) | assigned).cast("int")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the candidates, those the forest removes, and the places of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secret_scan.scan_secrets(docs, label=known_format())
+    place = F.concat_ws(":", F.col("start"), F.col("start") + F.col("length"))
+    each = found.groupBy("_id").agg(F.count("*").alias("n"), F.count_if("secret").alias("s"), F.array_sort(F.collect_list(F.when(F.col("secret"), F.struct("start", place.alias("at"))))).alias("places"))
+    out = docs.select("doc_id").distinct().join(each, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select("doc_id", F.coalesce("n", zero).alias("n_candidates"), F.coalesce("s", zero).alias("n_secrets"), F.coalesce(F.array_join("places.at", ","), F.lit("")).alias("places"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op5_line_dedup, op6_url_filter, op7_chat_format)}
 ORACLE |= {"op5_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE}
