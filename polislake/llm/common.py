@@ -63,3 +63,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``value`` as a real column: evaluated once per row, never again inside a lambda that names it."""
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def annotate(docs: DataFrame, text_col: str, made: list[tuple[str, str]], make) -> DataFrame:
+    """``docs`` plus the columns ``made`` (name, type), which ``make(text array)`` returns as Arrow arrays.
+
+    The other columns pass through as they are, whatever their names.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = pick(docs, _text=(text_col, "string")).schema[0].dataType.simpleString()
+    at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
+    flat = docs.toDF(*names).withColumn("_text", F.col(f"_c{at}").cast(text))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in flat.drop("_text").schema] + [f"`{n}` {t}" for n, t in made]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            new = make(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*names, *[n for n, _ in made]])
+
+    out = flat.mapInArrow(run, ", ".join(fields))
+    return out.toDF(*docs.columns, *[n for n, _ in made])

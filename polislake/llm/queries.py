@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polislake.llm import chat_format, line_dedup, secret_scan, url_filter
+from polislake.llm import chat_format, decontaminate, html_extract, line_dedup, packing, quality_rules, secret_scan, url_filter
 from polislake.llm.common import table
 from polislake.llm.near_dedup import near_duplicates
 
@@ -64,5 +64,30 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("n", zero).alias("n_candidates"), F.coalesce("s", zero).alias("n_secrets"), F.coalesce(F.array_join("places.at", ","), F.lit("")).alias("places"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op5_line_dedup, op6_url_filter, op7_chat_format)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 4,096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.tokenizer_path())
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, edits of up to 5 % of its length included."""
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict of the line labels for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(docs, model)
+    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in quality_rules.COUNTS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_content_share").alias("content_share"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("_main_text").alias("text"), F.col("_n_chars").alias("n_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op2_secret_scan, op3_html_extraction, op4_quality_rules, op5_line_dedup, op6_url_filter, op7_chat_format, op9_best_fit_packing, op10_benchmark_decontamination)}
 ORACLE |= {"op5_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE}
