@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polislake.llm import chat_format, decontaminate, html_extract, line_dedup, packing, quality_rules, secret_scan, url_filter
+from polislake.llm import chat_format, decontaminate, html_extract, line_dedup, packing, pii, quality_rules, secret_scan, url_filter
 from polislake.llm.common import table
 from polislake.llm.near_dedup import near_duplicates
 
@@ -88,6 +88,13 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("_main_text").alias("text"), F.col("_n_chars").alias("n_chars"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base patterns, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    return found.select("doc_id", *[F.col(f"_n_{k}").alias(f"n_{k}") for k in pii.KINDS], F.col("_base_sha256").alias("base_sha256"), F.col("_spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_secret_scan, op3_html_extraction, op4_quality_rules, op5_line_dedup, op6_url_filter, op7_chat_format, op9_best_fit_packing, op10_benchmark_decontamination)}
+    op1_minhash_near_dedup, op2_secret_scan, op3_html_extraction, op4_quality_rules, op5_line_dedup, op6_url_filter, op7_chat_format, op8_pii, op9_best_fit_packing, op10_benchmark_decontamination)}
 ORACLE |= {"op5_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE}
