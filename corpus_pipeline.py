@@ -37,8 +37,7 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import LOWER, UPPER, pick
+from polislake.llm.common import LOWER, UPPER, annotate, pick
 
 BLOCK = 4_000_000
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -149,3 +149,17 @@ def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
         return docs.sparkSession.createDataFrame([], _FOUND)
     order = F.struct("distance", "start", "length")
     return out.groupBy("doc_id", "item_id").agg(F.min(order).alias("best")).select("doc_id", "item_id", "best.*")
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05) -> DataFrame:
+    """``docs`` without the rows that hold an item; row by row, nothing is shuffled."""
+    bench = pick(bench, _item=(item_col, "bigint"), _text=(item_text_col, "string")).distinct()
+    names = docs.columns
+    for block in blocks(bench):
+
+        def make(column: pa.Array, block=block) -> list[pa.Array]:
+            items = Items(block, rate)
+            return [pa.array([x.is_valid and bool(items.find(fold(x.as_py()))) for x in column], pa.bool_())]
+
+        docs = annotate(docs, text_col, [("_leaked", "boolean")], make).filter("not _leaked").select(*[f"`{c}`" for c in names])
+    return docs

@@ -6,13 +6,15 @@
    the XOR of two sketches counts the samples in which two documents differ.
 2. Documents of equal sets are one class from here on, so thousands of copies
    cost one row.
-3. Within a bucket of equal band keys, three members chosen by hash are paired
-   with all others (never all with all). Pairs whose sketches differ in more
-   bits than ``sketch_bound`` allows cannot reach the similarity and fall away;
-   the others are confirmed on the full sets.
+3. Within a bucket of equal band keys, one member is paired with all others
+   (never all with all): the one whose buckets hold the most members, which in
+   a group of copies is the text that the others were made from. Pairs whose
+   sketches differ in more bits than ``sketch_bound`` allows cannot reach the
+   similarity and fall away; the others are confirmed on the full sets.
 4. Buckets that still hold several components get the exact rest: every member
-   outside the bucket's largest component meets all members of other
-   components, again sifted by sketch and confirmed on the full sets.
+   outside the bucket's largest component meets the members of other
+   components, if their sketches and the shingles that they share with nobody
+   leave a link possible; what is left is confirmed on the full sets.
 
 A pair of similarity 0.8 shares no bucket with probability 1.5e-5, and the
 sketch loses one with probability 1e-6.
@@ -36,7 +38,7 @@ from polislake.llm import words
 from polislake.llm.common import pick, stored
 from polislake.llm.components import components
 
-ROWS, BANDS, BITS, PIVOTS = 5, 28, 1024, 3
+ROWS, BANDS, BITS = 5, 28, 1024
 _SIGNED = "_id bigint, n int, f1 bigint, f2 bigint, sketch array<bigint>, bands array<bigint>"
 
 
@@ -130,19 +132,28 @@ def _differing() -> F.Column:
     return F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``(_id, grams)`` of the documents named; the one step that shuffles texts, by the same plan at every size."""
+    some = docs.join(ids.hint("merge"), "_id", "left_semi").select("_id", "_text")
+    sets = some.mapInArrow(_sets(n), "_id bigint, grams array<bigint>")
+    return sets.groupBy("_id").agg(F.max_by("grams", F.size("grams")).alias("grams"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets reach the similarity, as edges ``(u, v)``."""
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    sets = docs.join(nodes, "_id", "left_semi").select("_id", "_text").mapInArrow(_sets(n), "_id bigint, grams array<bigint>")
-    sets = sets.groupBy("_id").agg(F.max_by("grams", F.size("grams")).alias("grams"))
     left = sets.select(F.col("_id").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("_id").alias("b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b")).cast("bigint")
-    found = pairs.join(left, "a").join(right, "b").withColumn("both", both)
+    found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("both", both)
     return found.filter(100 * F.col("both") >= percent * (F.size("grams_a") + F.size("grams_b") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _reachable(percent: int) -> F.Column:
+    """Whether two sets can be that similar, given how many shingles of each (``lone``) no other set has."""
+    most = F.least(F.col("n_a") - F.col("lone_a"), F.col("n_b") - F.col("lone_b"))
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``(_id, n_shingles, component_id, kept)``: the component of every document.
 
@@ -151,35 +162,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
     signed = stored(signatures(docs, n), "signatures")
     known = signed.filter("_id is not null and n > 0")
-    classes = stored(known.groupBy("f1", "f2").agg(F.min("_id").alias("class"), F.count("*").alias("copies")), "classes")
-    of = known.select("_id", "f1", "f2").join(classes.filter("copies > 1").select("f1", "f2", "class"), ["f1", "f2"]).filter("_id <> class").select("_id", "class")
-    copies = stored(of, "copies")
+    reps = known.groupBy("f1", "f2").agg(F.min(F.struct("_id", "n", "sketch", "bands")).alias("r"), F.count("*").alias("copies"))
+    reps = stored(reps.select("f1", "f2", "copies", "r.*"), "classes")
+    several = reps.filter("copies > 1").select("f1", "f2", F.col("_id").alias("class"))
+    copies = stored(known.select("_id", "f1", "f2").join(several, ["f1", "f2"]).filter("_id <> class").select("_id", "class"), "copies")
 
-    reps = known.join(copies.select("_id"), "_id", "left_anti").select("_id", "sketch", "bands")
     keyed = reps.select("_id", F.explode("bands").alias("key"))
-    chosen = [F.min(F.struct(F.xxhash64("_id", F.lit(i)).alias("h"), F.col("_id").alias("p"))).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = keyed.groupBy("key").agg(F.count("*").alias("size"), *chosen).filter("size > 1")
-    pivots = stored(pivots.select("key", "size", F.array_distinct(F.array(*[f"p{i}.p" for i in range(PIVOTS)])).alias("pivots")), "pivots")
-    members = stored(keyed.join(pivots.select("key"), "key"), "members")
-    sketches = stored(reps.select("_id", "sketch").join(members.select("_id").distinct(), "_id"), "sketches")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stored(keyed.join(sizes.hint("merge"), "key"), "members")
+    scores = members.groupBy("_id").agg(F.sum("size").alias("score"))
+    near = stored(reps.select("_id", "n", "sketch").join(scores.hint("merge"), "_id"), "near")
+    sets = stored(shingle_sets(docs, near.select("_id"), n), "sets")
     bound = sketch_bound(percent)
 
-    stars = members.join(pivots.select("key", "pivots"), "key").select(F.col("_id"), F.explode("pivots").alias("p")).filter("_id <> p")
+    scored = members.select("key", "_id").join(near.select("_id", "score"), "_id")
+    pivots = scored.groupBy("key").agg(F.max_by("_id", F.struct("score", -F.col("_id"))).alias("p"))
+    stars = members.select("key", "_id").join(pivots, "key").filter("_id <> p")
     stars = stars.select(F.least("_id", "p").alias("a"), F.greatest("_id", "p").alias("b")).distinct()
-    close = stars.join(sketches.select(F.col("_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("_id").alias("b"), F.col("sketch").alias("sketch_b")), "b").filter(_differing() <= bound)
-    edges = stored(confirm(close.select("a", "b"), docs, n, percent), "links")
+    sketch_a, sketch_b = (near.select(F.col("_id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    stars = stored(stars.join(sketch_a, "a").join(sketch_b, "b").filter(_differing() <= bound).select("a", "b"), "stars")
+    edges = stored(confirm(stars, sets, percent), "links")
     roots = stored(components(edges), "roots")
 
     # Buckets of several components: whoever is outside the largest one meets the others.
     placed = members.join(roots, members["_id"] == roots["node"], "left").select("key", "_id", F.coalesce("root", "_id").alias("root"))
     groups = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
     mixed = groups.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).filter("roots > 1")
-    open_ = stored(placed.join(mixed.select("key", "main"), "key").join(sketches, "_id"), "open")
-    rest = open_.filter("root <> main").select("key", F.col("_id").alias("a"), F.col("root").alias("root_a"), F.col("sketch").alias("sketch_a"))
-    every = open_.select("key", F.col("_id").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"), (F.col("root") == F.col("main")).alias("in_main"))
-    again = rest.join(every, "key").filter("root_a <> root_b and (in_main or a < b)").filter(_differing() <= bound)
-    again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(close.select("a", "b"), ["a", "b"], "left_anti")
-    edges = edges.unionByName(confirm(again, docs, n, percent))
+    open_ = stored(placed.join(mixed.select("key", "main"), "key"), "open")
+    held = open_.select("_id").distinct().join(sets, "_id").select("_id", F.explode("grams").alias("gram"))
+    lone = held.groupBy("gram").agg(F.count("*").alias("c"), F.min("_id").alias("_id")).filter("c = 1").groupBy("_id").agg(F.count("*").cast("int").alias("lone"))
+    facts = open_.select("_id").distinct().join(near, "_id").join(lone, "_id", "left").select("_id", "n", "sketch", F.coalesce("lone", F.lit(0)).alias("lone"))
+    facts = stored(facts.filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")), "facts")
+    open_ = stored(open_.join(facts, "_id"), "open")
+    side = lambda x: [F.col("_id").alias(x), F.col("root").alias(f"root_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "lone")]]
+    rest = open_.filter("root <> main").select("key", *side("a"))
+    every = open_.select("key", *side("b"), (F.col("root") == F.col("main")).alias("in_main"))
+    again = rest.join(every, "key").filter("root_a <> root_b and (in_main or a < b)").filter(_reachable(percent)).filter(_differing() <= bound)
+    again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    edges = edges.unionByName(confirm(stored(again, "pairs"), sets, percent))
     roots = stored(components(edges), "roots")
 
     judged = signed.select("_id", "n").join(copies, "_id", "left").withColumn("class", F.coalesce("class", "_id"))
