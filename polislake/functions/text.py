@@ -46,9 +46,10 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
 
 
-def limit_string(c: Column, limit: int) -> Column:
-    """P-22: collapsed and cut to ``limit`` characters, blank becomes NULL."""
-    return F.nullif(F.left(collapse(c), F.lit(limit)), F.lit(""))
+def limit_string(c: Column, limit: int | None = None) -> Column:
+    """P-22: collapsed, cut to ``limit`` characters if there is a limit, blank becomes NULL."""
+    whole = collapse(c)
+    return F.nullif(whole if limit is None else F.left(whole, F.lit(limit)), F.lit(""))
 
 
 def is_blank(c: Column) -> Column:
@@ -160,7 +161,7 @@ def count_of(c: Column, needle: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))
 
 
-def search_terms(question: Column, limit: int = vocab.MAX_SOURCES) -> Column:
+def search_terms(question: Column, limit: int = vocab.MAX_TERMS) -> Column:
     """I-05: words of three letters or more, stop words removed, repeats kept.
 
     A question of nothing but stop words is searched for as a whole.

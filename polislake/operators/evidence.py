@@ -47,9 +47,15 @@ def merge_party_members(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------- understanding the question
 
 
-def normalize_question(q: Column) -> Column:
-    """I-01: collapsed, lower case, 500 characters."""
-    return F.left(F.regexp_replace(F.lower(F.trim(q)), r"\s+", " "), F.lit(500))
+def normalize_question(q: Column, shown: int | None = 500) -> Column:
+    """I-01: collapsed, lower case, the first ``shown`` characters."""
+    whole = F.regexp_replace(F.lower(F.trim(q)), r"\s+", " ")
+    return whole if shown is None else F.left(whole, F.lit(shown))
+
+
+def question_key(q: Column) -> Column:
+    """Key of a question in the answer cache: a hash of its whole normal form."""
+    return F.sha2(normalize_question(q, None), 256)
 
 
 def intent(q: Column) -> Column:
@@ -202,14 +208,21 @@ def question_sources(asked: DataFrame, askers: DataFrame, corpus: DataFrame, hit
     return top_k(pairs, ["question_id"], [*order, F.col(key)], k, rank="position")
 
 
-def meeting_scores(asked: DataFrame, hits: DataFrame, corpus: DataFrame, key: str, order: Sequence[Column], among: Sequence[str], prefilter: int = 32, k: int = vocab.MAX_SOURCES) -> DataFrame:
-    """I-12: relevance of the newest matching meetings; strong hits if any, else all hits, the best ``k``."""
-    pool = newest_sources(asked, hits, corpus, key, order, prefilter, among)
+def meeting_scores(asked: DataFrame, hits: DataFrame, corpus: DataFrame, key: str, order: Sequence[Column], among: Sequence[str], k: int = vocab.MAX_SOURCES) -> DataFrame:
+    """I-12: relevance of all matching meetings; strong hits if any, else all hits, the best ``k``, newer ones first.
+
+    Questions of the same terms are scored once; a meeting's score is a sum
+    that combines before the shuffle. The strongest hit comes first, so the
+    best ``k`` tell whether there is a strong one.
+    """
+    sets = asked.groupBy("question_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     weight = F.when(F.col("exact") & (F.length("term") >= 6), 3).otherwise(1)
-    scored = pool.join(asked.select("question_id", "term"), "question_id").join(hits, ["term", key]).groupBy("question_id", key, "position").agg(F.sum(weight).alias("score"))
-    strong = scored.groupBy("question_id").agg(F.max("score").alias("_top"))
-    kept = scored.join(strong, "question_id").where((F.col("score") >= 2) | (F.col("_top") < 2)).drop("_top")
-    return top_k(kept, ["question_id"], [F.desc("score"), F.col("position")], k, rank="rank").drop("position")
+    wanted = sets.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
+    scored = wanted.join(hits.withColumn("_w", weight), "term").groupBy("terms", key).agg(F.sum("_w").alias("score")).join(corpus.select(key, *among), key)
+    best = top_k(scored, ["terms"], [F.desc("score"), *order, F.col(key)], k, rank="rank")
+    strong = best.where("rank = 1 and score >= 2").select("terms").withColumn("_strong", F.lit(True))
+    kept = best.join(strong, "terms", "left").where((F.col("score") >= 2) | F.col("_strong").isNull())
+    return sets.join(kept, "terms").select("question_id", key, "score", "rank")
 
 
 def committee_matches(asked: DataFrame, committees: DataFrame) -> DataFrame:
@@ -350,6 +363,6 @@ def is_faithful(answer: Column, required: Column) -> Column:
 def cache_lookup(asked: DataFrame, cache: DataFrame, snapshot: DataFrame) -> DataFrame:
     """I-18: a cached answer counts only for the same wording and the same data snapshot."""
     version = snapshot.select(F.sha2(F.to_json(F.struct(*sorted(snapshot.columns))), 256).alias("snapshot"))
-    valid = cache.join(version, "snapshot", "left_semi").select("normalized_question", F.col("answer").alias("cached_answer"), F.lit(True).alias("_hit"))
-    q = asked.withColumn("normalized_question", normalize_question(F.col("question")))
-    return q.join(valid, "normalized_question", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    valid = cache.join(version, "snapshot", "left_semi").select("question_key", F.col("answer").alias("cached_answer"), F.lit(True).alias("_hit"))
+    q = asked.withColumn("question_key", question_key(F.col("question")))
+    return q.join(valid, "question_key", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")

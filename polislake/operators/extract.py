@@ -108,8 +108,8 @@ def committee_of(html_col: Column, visible: Column) -> Column:
     """T-05: committee shown on the page, else named in its text."""
     named = F.regexp_extract(visible, r"\b((?:Portfolio|Standing) Committee on [A-Za-z ,&-]+)\b", 1)
     return F.coalesce(
-        F.nullif(F.left(html.class_text(html_col, r"\bcommittee(?:-name)?\b"), F.lit(255)), F.lit("")),
-        F.nullif(F.left(F.regexp_replace(named, r"(?i)\s+(meeting|briefing|report)\s*$", ""), F.lit(255)), F.lit("")),
+        F.nullif(html.class_text(html_col, r"\bcommittee(?:-name)?\b"), F.lit("")),
+        F.nullif(F.regexp_replace(named, r"(?i)\s+(meeting|briefing|report)\s*$", ""), F.lit("")),
     )
 
 
@@ -155,10 +155,9 @@ def bill_history(pages: DataFrame) -> DataFrame:
     """T-08: life-cycle events of table rows and list items, repeats dropped."""
     parts = F.transform(F.concat(html.table_rows(F.col("html")), html.list_items(F.col("html"))), html.strip_tags)
     rows = pages.select("page_id", F.explode(parts).alias("t")).where("t <> ''")
-    ev = rows.select("page_id", text.keyword_case(F.col("t"), vocab.BILL_EVENT_KEYWORDS, "unknown").alias("event_type"), dates.first_in_text(F.col("t")).alias("event_date"), F.left("t", F.lit(1000)).alias("description"))
+    ev = rows.select("page_id", text.keyword_case(F.col("t"), vocab.BILL_EVENT_KEYWORDS, "unknown").alias("event_type"), dates.first_in_text(F.col("t")).alias("event_date"), F.col("t").alias("description"))
     kept = ev.where("event_type <> 'unknown' or event_date is not null")
-    head = F.left("description", F.lit(100))
-    return kept.groupBy("page_id", "event_type", "event_date", head.alias("_head")).agg(F.min("description").alias("description")).drop("_head")
+    return kept.distinct()
 
 
 def label_fields(body: Column) -> Column:
@@ -167,17 +166,16 @@ def label_fields(body: Column) -> Column:
     marked = F.regexp_replace(F.replace(body, F.lit("\x00"), F.lit("")), rf"(?i)\b({names_})\s*[:\-]\s*", "\x01$1\x02")
     parts = F.filter(F.split(marked, "\x01"), lambda p: F.contains(p, F.lit("\x02")))
 
-    def entry(p: Column, i: Column) -> Column:
+    def entry(p: Column) -> Column:
         value = F.substring_index(p, "\x02", -1)
-        cut = F.when(i == F.size(parts) - 1, F.left(value, F.lit(4000))).otherwise(value)
-        return F.struct(F.lower(F.substring_index(p, "\x02", 1)).alias("k"), text.strip_chars(text.collapse(cut), " :-").alias("v"))
+        return F.struct(F.lower(F.substring_index(p, "\x02", 1)).alias("k"), text.strip_chars(text.collapse(value), " :-").alias("v"))
 
     return F.map_from_entries(F.filter(F.transform(parts, entry), lambda e: e["v"] != ""))
 
 
 def _first(fields: Column, *labels: str) -> Column:
     picks = [F.try_element_at(fields, F.lit(k)) for k in labels]
-    return F.coalesce(*[p if k in ("question", "answer", "reply") else F.left(p, F.lit(500)) for k, p in zip(labels, picks)])
+    return F.coalesce(*picks)
 
 
 def question_records(docs: DataFrame, body: str) -> DataFrame:
@@ -188,7 +186,7 @@ def question_records(docs: DataFrame, body: str) -> DataFrame:
     q, a = _first(f, "question"), _first(f, "answer", "reply")
     split_q, split_a = F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 4)
     none = q.isNull() & a.isNull()
-    question = F.when(~none, q).when(split_q != "", text.collapse(split_q)).when(t != "", F.left(t, F.lit(4000)))
+    question = F.when(~none, q).when(split_q != "", text.collapse(split_q)).when(t != "", t)
     answer = F.when(~none, a).when(split_q != "", text.collapse(split_a))
     labelled = _first(f, "question number", "question no", "number", "no")
     free = F.regexp_extract(t, r"(?i)\b(?:question|parliamentary question)\s+(?:number|no\.?|num)?\s*[:#]?\s*([A-Z]{0,4}\s*\d+/?\d*)", 1)
@@ -196,13 +194,13 @@ def question_records(docs: DataFrame, body: str) -> DataFrame:
     df = df.withColumns({"question_text": question, "answer_text": answer})
     return df.withColumns(
         {
-            "question_number": text.limit_string(number, 100),
-            "asked_by_name": text.limit_string(names.clean_person_value(_first(f, "asked by", "member", "mp", "question by")), 255),
-            "department": text.limit_string(_first(f, "department", "portfolio", "to department"), 255),
-            "minister": text.limit_string(names.clean_person_value(_first(f, "minister", "answered by", "reply by")), 255),
+            "question_number": text.limit_string(number),
+            "asked_by_name": text.limit_string(names.clean_person_value(_first(f, "asked by", "member", "mp", "question by"))),
+            "department": text.limit_string(_first(f, "department", "portfolio", "to department")),
+            "minister": text.limit_string(names.clean_person_value(_first(f, "minister", "answered by", "reply by"))),
             "asked_date": dates.parse(_first(f, "asked date", "date asked", "question date", "asked on")),
             "answered_date": dates.parse(_first(f, "answered date", "date answered", "reply date", "answered on")),
-            "status": text.limit_string(F.coalesce(_first(f, "status"), F.when(F.col("answer_text").isNotNull(), "ANSWERED").otherwise("UNANSWERED")), 100),
+            "status": text.limit_string(F.coalesce(_first(f, "status"), F.when(F.col("answer_text").isNotNull(), "ANSWERED").otherwise("UNANSWERED"))),
             "parse_status": F.when(t != "", "PARSED").otherwise("PARTIAL"),
         }
     ).drop("_t", "_f")
@@ -360,7 +358,7 @@ def meeting_pages(pages: DataFrame) -> DataFrame:
     h = F.col("html")
     return pages.select(
         "page_id", html.element_text(h, "h1").alias("title"), dates.first_in_text(html.class_text(h, "date|meta")).alias("date"),
-        F.nullif(F.left(html.class_text(h, "summary|content|body"), F.lit(2000)), F.lit("")).alias("summary"),
+        F.nullif(html.class_text(h, "summary|content|body"), F.lit("")).alias("summary"),
     ).where("title <> ''")
 
 

@@ -68,14 +68,17 @@ def quality_summary(x: Mapping[str, DataFrame]) -> DataFrame:
     ])
 
 
-def quality_issues(x: Mapping[str, DataFrame], limit: int = 100) -> DataFrame:
-    """Q-02: the first rows of every issue list, ordered by their label."""
+def quality_issues(x: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
+    """Q-02: every issue list, whole, or its first ``limit`` rows by label."""
 
     def listed(issue: str, df: DataFrame, label: str, *order: Column) -> DataFrame:
-        return df.orderBy(*(order or (F.col(label),)), "id").limit(limit).select(F.lit(issue).alias("issue"), F.col("id").cast("string").alias("item"), F.col(label).alias("label"))
+        first = df if limit is None else df.orderBy(*(order or (F.col(label),)), "id").limit(limit)
+        return first.select(F.lit(issue).alias("issue"), F.col("id").cast("string").alias("item"), F.col(label).alias("label"))
 
     people, memb = x["people"], x["memberships"]
-    dup = duplicate_groups(people, "slug").orderBy(F.desc("n"), "slug").limit(limit)
+    dup = duplicate_groups(people, "slug")
+    if limit is not None:
+        dup = dup.orderBy(F.desc("n"), "slug").limit(limit)
     return union_all([
         listed("politicians_without_party", people.where("party is null"), "display_name"),
         listed("active_politicians_without_committees", without_child(people.where("is_active"), memb, "id", "politician_id"), "display_name"),

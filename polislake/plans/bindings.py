@@ -168,7 +168,7 @@ VIEWS: dict[str, str] = {
         cast(l_quantity as int) as n_votes
       from {lineitem}""",
     # Documents, questions --------------------------------------------------------------
-    "docs": """select doc_id as id, substr(text, 1, 80) as title,
+    "docs": """select doc_id as id, split_part(text, chr(10), 1) as title,
         case cast(replace(source, 'src', '') as int) % 5 when 0 then 'PMG_REPORT' when 1 then 'PMG_BRIEFING'
              when 2 then 'PMG_COMMITTEE_MEETING' when 3 then 'MP_PROFILE' else 'COMMITTEE_PAGE' end as document_type,
         source, lang, concat('https://records.example.org/document/', cast(doc_id as string), '/') as source_url,

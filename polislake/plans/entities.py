@@ -327,7 +327,7 @@ def u04(t):
 
 
 @query("U05_unresolved_upsert", """with k as (select raw_value, entity_type, source_name, source_url, min(case status when 'RESOLVED' then '1RESOLVED' when 'IGNORED' then '2IGNORED' else '3OPEN' end) as st from unresolved where id % 2 = 0 group by all),
-   o as (select raw_value, entity_type, source_name, source_url, substr(st, 2) as status, 0.5::double as confidence from k), u as (select distinct raw_value, entity_type, source_name, source_url, 0.25::double as confidence from unresolved where id % 3 = 0)
+   o as (select raw_value, entity_type, source_name, source_url, substr(st, 2) as status, 0.5::double as confidence from k), u as (select distinct raw_value, entity_type, source_name, source_url, 0.25::double as confidence from unresolved where (id % 3 = 0 or id % 2 = 1))
    select coalesce(o.raw_value, u.raw_value) as raw_value, coalesce(o.source_name, u.source_name) as source_name, coalesce(o.source_url, u.source_url) as source_url, coalesce(o.status, 'OPEN') as status,
      case when o.status is null then u.confidence when u.confidence is not null and o.status = 'IGNORED' then u.confidence else o.confidence end as confidence,
      case when o.status is null then 'created' when u.confidence is null then 'unchanged' else 'updated' end as change
@@ -336,17 +336,17 @@ def u05(t):
     keys = ["raw_value", "entity_type", "source_name", "source_url"]
     rank = F.when(F.col("status") == "RESOLVED", "1RESOLVED").when(F.col("status") == "IGNORED", "2IGNORED").otherwise("3OPEN")
     old = t.unresolved.where("id % 2 = 0").groupBy(*keys).agg(F.min(rank).alias("s")).select(*keys, F.expr("substr(s, 2)").alias("status"), F.lit(0.5).alias("confidence"))
-    new = t.unresolved.where("id % 3 = 0").select(*keys).distinct().select(*keys, F.lit("OPEN").alias("status"), F.lit(0.25).alias("confidence"))
+    new = t.unresolved.where("id % 3 = 0 or id % 2 = 1").select(*keys).distinct().select(*keys, F.lit("OPEN").alias("status"), F.lit(0.25).alias("confidence"))
     conf = F.when(F.col("_o_status") == "IGNORED", F.col("_n_confidence")).otherwise(F.col("_o_confidence"))
     return merge.merge_upsert(old, new, keys, {"status": "never", "confidence": conf}).select("raw_value", "source_name", "source_url", "status", "confidence", "change")
 
 
-@query("U06_mention_upsert", """with o as (select document_id, politician_id, max(confidence_score) as c from mentions where id % 2 = 0 group by 1, 2), u as (select document_id, politician_id, arg_min(confidence_score, id) as c from mentions where id % 3 = 0 group by 1, 2)
+@query("U06_mention_upsert", """with o as (select document_id, politician_id, max(confidence_score) as c from mentions where id % 2 = 0 group by 1, 2), u as (select document_id, politician_id, arg_min(confidence_score, id) as c from mentions where (id % 3 = 0 or id % 2 = 1) group by 1, 2)
    select coalesce(o.document_id, u.document_id) as document_id, coalesce(o.politician_id, u.politician_id) as politician_id, greatest(coalesce(o.c, u.c), coalesce(u.c, o.c)) as confidence_score,
      case when o.c is null then 'created' when u.c is null then 'unchanged' else 'updated' end as change from o full join u on o.document_id = u.document_id and o.politician_id = u.politician_id""")
 def u06(t):
     old = t.mentions.where("id % 2 = 0").groupBy("document_id", "politician_id").agg(F.max("confidence_score").alias("confidence_score"))
-    new = t.mentions.where("id % 3 = 0").select("document_id", "politician_id", "confidence_score", "id")
+    new = t.mentions.where("id % 3 = 0 or id % 2 = 1").select("document_id", "politician_id", "confidence_score", "id")
     return merge.merge_upsert(old, new, ["document_id", "politician_id"], {"confidence_score": "greatest"}, order=[F.col("id")])
 
 
@@ -384,7 +384,7 @@ def u08(t):
 _VK = "vote_event_id, record_level, politician_id, party_id, case when politician_id is null then vote_value end as value_key"
 
 
-@query("U09_vote_record_upsert", f"""with o as (select {_VK}, min(vote_value) as vote_value, min(n_votes) as n_votes from vote_records where id % 2 = 0 group by all), u as (select {_VK}, min(vote_value) as vote_value, max(n_votes) + 100 as n_votes from vote_records where id % 3 = 0 group by all)
+@query("U09_vote_record_upsert", f"""with o as (select {_VK}, min(vote_value) as vote_value, min(n_votes) as n_votes from vote_records where id % 2 = 0 group by all), u as (select {_VK}, min(vote_value) as vote_value, max(n_votes) + 100 as n_votes from vote_records where (id % 3 = 0 or id % 2 = 1) group by all)
    select coalesce(o.vote_event_id, u.vote_event_id) as vote_event_id, coalesce(o.record_level, u.record_level) as record_level, coalesce(u.vote_value, o.vote_value) as vote_value, coalesce(u.n_votes, o.n_votes) as n_votes,
      case when o.vote_event_id is null then 'created' when u.vote_event_id is null then 'unchanged' else 'updated' end as change
    from o full join u on o.vote_event_id = u.vote_event_id and o.record_level = u.record_level and o.politician_id is not distinct from u.politician_id and o.party_id is not distinct from u.party_id and o.value_key is not distinct from u.value_key""".replace("group by all", "group by 1, 2, 3, 4, 5"))
@@ -392,22 +392,22 @@ def u09(t):
     keys = ["vote_event_id", "record_level", "politician_id", "party_id", "value_key"]
     v = t.vote_records.withColumn("value_key", F.when(F.col("politician_id").isNull(), F.col("vote_value")))
     old = v.where("id % 2 = 0").groupBy(*keys).agg(F.min("vote_value").alias("vote_value"), F.min("n_votes").alias("n_votes"))
-    new = v.where("id % 3 = 0").groupBy(*keys).agg(F.min("vote_value").alias("vote_value"), (F.max("n_votes") + 100).alias("n_votes"))
+    new = v.where("id % 3 = 0 or id % 2 = 1").groupBy(*keys).agg(F.min("vote_value").alias("vote_value"), (F.max("n_votes") + 100).alias("n_votes"))
     return merge.merge_upsert(old, new, keys, {}).select("vote_event_id", "record_level", "vote_value", "n_votes", "change")
 
 
-@query("U10_meeting_upsert", """with u as (select source_url, case when id % 2 = 0 then '' else concat('Minutes ', cast(id as varchar)) end as summary, concat('Committee ', cast(id % 9 as varchar)) as committee_name, id % 10 as committee_id from meetings where id % 5 < 3)
+@query("U10_meeting_upsert", """with u as (select source_url, case when id % 2 = 0 then '' else concat('Minutes ', cast(id as varchar)) end as summary, concat('Committee ', cast(id % 9 as varchar)) as committee_name, id % 10 as committee_id from meetings)
    select m.id, case when coalesce(trim(u.summary), '') = '' then m.summary else u.summary end as summary, coalesce(m.committee_name, u.committee_name) as committee_name, coalesce(m.committee_id, u.committee_id) as committee_id,
      case when u.source_url is null then 'unchanged' else 'updated' end as change from meetings m left join u using (source_url)""")
 def u10(t):
     old = t.meetings.select("id", "source_url", "summary", "committee_name", "committee_id")
-    new = t.meetings.where("id % 5 < 3").select("source_url", F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("Minutes "), F.col("id").cast("string"))).alias("summary"),
+    new = t.meetings.select("source_url", F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("Minutes "), F.col("id").cast("string"))).alias("summary"),
                                                F.concat(F.lit("Committee "), (F.col("id") % 9).cast("string")).alias("committee_name"), (F.col("id") % 10).alias("committee_id"))
     rules = {"summary": "keep_if_null_new", "committee_name": "fill_if_null_old", "committee_id": "fill_if_null_old"}
     return merge.merge_upsert(old, new, ["source_url"], rules).drop("source_url")
 
 
-@query("U11_attendance_upsert", """with u as (select meeting_id, name_raw, arg_min(attendance_status, id) as s, min(id) as id from attendance where id % 3 = 0 group by 1, 2),
+@query("U11_attendance_upsert", """with u as (select meeting_id, name_raw, arg_min(attendance_status, id) as s, min(id) as id from attendance where (id % 3 = 0 or id % 2 = 1) group by 1, 2),
    o as (select meeting_id, name_raw, arg_min(attendance_status, id) as s, arg_min(coalesce(politician_id, -1), id) as p from attendance where id % 2 = 0 group by 1, 2)
    select coalesce(o.meeting_id, u.meeting_id) as meeting_id, coalesce(o.name_raw, u.name_raw) as name_raw, coalesce(u.s, o.s) as attendance_status, case when o.meeting_id is null then 7 when u.meeting_id is not null and o.p = -1 then 7 else nullif(o.p, -1) end as politician_id,
      case when o.meeting_id is null then 'created' when u.meeting_id is null then 'unchanged' else 'updated' end as change from o full join u on o.meeting_id = u.meeting_id and o.name_raw = u.name_raw""")
@@ -415,15 +415,15 @@ def u11(t):
     cols = ["meeting_id", "name_raw", "attendance_status", "politician_id"]
     a = t.attendance.select(*cols, "id")
     old = tb.first_per_key(a.where("id % 2 = 0"), cols[:2], [F.col("id")]).select(*cols)
-    new = a.where("id % 3 = 0").withColumn("politician_id", F.lit(7).cast("long"))
+    new = a.where("id % 3 = 0 or id % 2 = 1").withColumn("politician_id", F.lit(7).cast("long"))
     return merge.merge_upsert(old, new, cols[:2], {"politician_id": "fill_if_null_old"}, order=[F.col("id")])
 
 
-@query("U12_question_upsert", f"""with {_resolved('questions', 'asked_by_name')}, q as (select id, asked_by_name, politician_id as old_id, status from questions where id % 2 = 0)
+@query("U12_question_upsert", f"""with {_resolved('questions', 'asked_by_name')}, q as (select id, asked_by_name, politician_id as old_id, status from questions)
    select q.id, coalesce(s.person_id, q.old_id) as politician_id, case when s.person_id is null then q.asked_by_name end as unresolved_name, 'ANSWERED' as status from q left join solved s on s.raw = q.asked_by_name""")
 def u12(t):
-    old = t.questions.where("id % 2 = 0").select("id", "source_url", "politician_id", "asked_by_name", "status")
-    new = resolve.resolve(t.questions.where("id % 2 = 0").select("source_url", "asked_by_name"), t.people, resolve.alias_table(t.people), "asked_by_name")
+    old = t.questions.select("id", "source_url", "politician_id", "asked_by_name", "status")
+    new = resolve.resolve(t.questions.select("source_url", "asked_by_name"), t.people, resolve.alias_table(t.people), "asked_by_name")
     new = new.select("source_url", "asked_by_name", F.col("person_id").alias("politician_id"), F.lit("ANSWERED").alias("status"))
     merged = merge.merge_upsert(old, new, ["source_url"], {"politician_id": "keep_if_null_new"})
     open_ = new.where("politician_id is null").select("source_url", F.col("asked_by_name").alias("unresolved_name"))

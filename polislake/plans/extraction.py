@@ -294,7 +294,7 @@ def v01(t):
 
 
 @query("U13_vote_total_upsert", f"""with g as (select row_number, contest_id, party_id, candidate_id, province_id, manifest_key, cast(replace(votes, ',', '') as bigint) as v from vote_csv where {_V_FAIL} is null),
-   n as (select contest_id, party_id, candidate_id, province_id, manifest_key, arg_max(v, row_number) as v from g where row_number % 3 = 0 group by 1, 2, 3, 4, 5), o as (select contest_id, party_id, candidate_id, province_id, manifest_key, arg_max(v, row_number) as v from g where row_number % 2 = 0 group by 1, 2, 3, 4, 5)
+   n as (select contest_id, party_id, candidate_id, province_id, manifest_key, arg_max(v, row_number) as v from g where (row_number % 3 = 0 or row_number % 2 = 1) group by 1, 2, 3, 4, 5), o as (select contest_id, party_id, candidate_id, province_id, manifest_key, arg_max(v, row_number) as v from g where row_number % 2 = 0 group by 1, 2, 3, 4, 5)
    select coalesce(o.manifest_key, n.manifest_key) as manifest_key, coalesce(o.contest_id, n.contest_id) as contest_id, coalesce(o.party_id, n.party_id) as party_id, coalesce(n.v, o.v) as vote_total, case when o.v is null then 'created' when n.v is null then 'unchanged' else 'updated' end as change
    from o full join n on (o.contest_id, o.party_id, o.candidate_id, o.province_id, o.manifest_key) = (n.contest_id, n.party_id, n.candidate_id, n.province_id, n.manifest_key)""")
 def u13(t):
@@ -303,7 +303,7 @@ def u13(t):
 
     good = votes.keyed_totals(votes.validate(t.vote_csv)).select("result_key", "manifest_key", "contest_id", "party_id", "vote_total", "row_number")
     old = first_per_key(good.where("row_number % 2 = 0"), ["result_key"], [F.desc("row_number")]).drop("row_number")
-    return merge_upsert(old, good.where("row_number % 3 = 0"), ["result_key"], {}, order=[F.desc("row_number")]).drop("result_key")
+    return merge_upsert(old, good.where("row_number % 3 = 0 or row_number % 2 = 1"), ["result_key"], {}, order=[F.desc("row_number")]).drop("result_key")
 
 
 @query("V02_ingest_report", f"""with g as (select *, cast(replace(votes, ',', '') as bigint) as v, concat_ws('~', manifest_key, trim(contest_id), province_id, trim(party_id), coalesce(nullif(trim(candidate_id), ''), '-')) as k from vote_csv where {_V_FAIL} is null),

@@ -170,9 +170,8 @@ def i11b(t):
 _HT = r"trim(regexp_replace(regexp_replace(question, '\b(what|did|does|ask|asked|question|questions|in|during|at|the|hearing|hearings|enquiry|inquiry|testimony|testified|briefing|lieutenant|general)\b', ' ', 'gi'), '\s+', ' ', 'g'))"
 _MEET = f"""hq as (select question_id, {_HT} as s from asks where contains(question, 'hearing')), asked as (select distinct question_id, unnest({_terms('s')}) as term from hq),
    c as (select id, date, lower(concat_ws(chr(10), title, committee_name, summary)) as b from meetings), terms as (select distinct term from asked), hits as (select term, id, date, list_contains(regexp_extract_all(b, '[a-z0-9+-]+'), lower(term)) as exact from terms join c on contains(c.b, lower(term))),
-   pool as (select question_id, id, position from (select question_id, id, row_number() over (partition by question_id order by date desc nulls last, id) as position from (select distinct question_id, id, date from asked join hits using (term))) where position <= 32),
-   sc as (select question_id, id, position, sum(case when exact and length(term) >= 6 then 3 else 1 end)::bigint as score from pool join asked using (question_id) join hits using (term, id) group by 1, 2, 3),
-   mt as (select question_id, id, score, rank from (select *, row_number() over (partition by question_id order by score desc, position) as rank from (select *, max(score) over (partition by question_id) as top from sc) where score >= 2 or top < 2) where rank <= 8)"""
+   sc as (select question_id, id, date, sum(case when exact and length(term) >= 6 then 3 else 1 end)::bigint as score from asked join hits using (term) group by 1, 2, 3),
+   mt as (select question_id, id, score, rank from (select *, row_number() over (partition by question_id order by score desc, date desc nulls last, id) as rank from (select *, max(score) over (partition by question_id) as top from sc) where score >= 2 or top < 2) where rank <= 8)"""
 
 
 def _meeting_matches(t):
@@ -198,7 +197,7 @@ def i13(t):
 
 PROFILE_SQL = ALIAS_SQL + r""",
    toks as (select distinct id, list_filter(list_transform(regexp_extract_all(regexp_replace(n, '\b(?:Mr|Ms|Mrs|Dr|Adv|Prof|Hon)\b', ' ', 'gi'), '[A-Za-z][A-Za-z''-]*'), lambda w: lower(w)), lambda w: length(w) > 1) as t from (select id, unnest([full_name, display_name, replace(slug, '-', ' ')]) as n from people union all select person_id, alias from aliases)),
-   subj as (select distinct display_name as subject, list_transform(string_split(display_name, ' '), lambda w: lower(w)) as q from people where id % 3 = 0 union select concat(substr(display_name, 1, 1), 'xx ', split_part(display_name, ' ', 2)), [lower(substr(display_name, 1, 1)) || 'xx', lower(split_part(display_name, ' ', 2))] from people where id % 7 = 0),
+   subj as (select distinct display_name as subject, list_transform(string_split(display_name, ' '), lambda w: lower(w)) as q from people union select concat(substr(display_name, 1, 1), 'xx ', split_part(display_name, ' ', 2)), [lower(substr(display_name, 1, 1)) || 'xx', lower(split_part(display_name, ' ', 2))] from people),
    sc as (select subject, id, max(case when t = q then 100 when list_has_all(t, q) then 90 when list_contains(t, q[len(q)]) and substr(q[1], 1, 1) = substr(t[1], 1, 1) then 80 when list_contains(t, q[len(q)]) then 65 else 0 end) as score
      from subj join (select id, t, unnest(t) as w from toks) x on x.w = q[len(q)] group by 1, 2)"""
 
@@ -206,8 +205,8 @@ PROFILE_SQL = ALIAS_SQL + r""",
 @query("I14_profile_match", f"with {PROFILE_SQL} select subject, id as person_id, score from (select *, row_number() over (partition by subject order by score desc, id) as rn from sc where score >= 50) where rn = 1")
 def i14(t):
     p = t.people
-    subjects = p.where("id % 3 = 0").select(F.col("display_name").alias("subject")).union(
-        p.where("id % 7 = 0").select(F.concat(F.left("display_name", F.lit(1)), F.lit("xx "), F.substring_index("display_name", " ", -1))))
+    subjects = p.select(F.col("display_name").alias("subject")).union(
+        p.select(F.concat(F.left("display_name", F.lit(1)), F.lit("xx "), F.substring_index("display_name", " ", -1))))
     return ev.profile_matches(subjects, p, alias_table(p))
 
 
@@ -273,7 +272,7 @@ def i18(t):
     version = snapshot.select(F.sha2(F.to_json(F.struct("bills", "politicians")), 256)).first()[0]  # one value, the key of this data state
     marked = t.asks.withColumn("question", F.concat("question", F.lit(" #"), F.col("question_id").cast("string")))
     old = marked.where("question_id % 2 = 0")
-    cache = old.select(ev.normalize_question(F.col("question")).alias("normalized_question"), F.when(F.col("question_id") % 3 == 0, "stale").otherwise(F.lit(version)).alias("snapshot"), F.lit("cached").alias("answer"))
+    cache = old.select(ev.question_key(F.col("question")).alias("question_key"), F.when(F.col("question_id") % 3 == 0, "stale").otherwise(F.lit(version)).alias("snapshot"), F.lit("cached").alias("answer"))
     return ev.cache_lookup(marked, cache, snapshot).select("question_id", "hit", "cached_answer")
 
 

@@ -41,7 +41,7 @@ def q01(t):
 
 
 def _issue(name, body, label, order):
-    return f"(select '{name}' as issue, cast(id as varchar) as item, {label} as label from {body} order by {order}, id limit 100)"
+    return f"(select '{name}' as issue, cast(id as varchar) as item, {label} as label from {body})"
 
 
 _Q02 = " union all ".join([
@@ -50,7 +50,7 @@ _Q02 = " union all ".join([
     _issue("committees_without_memberships", "committees where id not in (select committee_id from memberships)", "name", "name"),
     _issue("documents_without_mentions", "docs where id not in (select document_id from mentions)", "title", "title"),
     _issue("unresolved_entities_open", "unresolved where status = 'OPEN'", "raw_value", "created_at desc"),
-    "(select 'duplicate_politician_slugs' as issue, slug as item, cast(count(*) as varchar) as label from people group by slug having count(*) > 1 order by count(*) desc, slug limit 100)",
+    "(select 'duplicate_politician_slugs' as issue, slug as item, cast(count(*) as varchar) as label from people group by slug having count(*) > 1)",
 ])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,19 +47,22 @@ def local_session(cpus: str | int = "*", app: str = "polislake", **extra: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; a folder is
-    only made up where that setting is absent, as in tests on one machine.
+    Uses the folder the cluster names in ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if configured is None:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -20,8 +20,13 @@ def write_changes(
     A batch is folded to one row per key and written to its own partition
     folder with overwrite, so a batch that runs again after a lost executor or
     a restart replaces itself. Rows failing ``valid`` go to the quarantine
-    folder. The run ends when the backlog present at its start is done.
+    folder. The run ends when the backlog present at its start is done; an
+    empty backlog leaves an empty table.
     """
+    spark = stream.sparkSession
+    none = parse(spark.createDataFrame([], stream.schema))
+    for kind in ("records",) if valid is None else ("records", "rejects"):
+        none.write.mode("overwrite").parquet(f"{out}/{kind}/batch_id=-1")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = parse(batch).persist()
@@ -64,9 +69,34 @@ def current_rows(changes: DataFrame, keys: Sequence[str], rules: Mapping[str, st
     return changes.groupBy(*keys).agg(*out)
 
 
-def deduplicated(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
-    """ST-08: first arrival of every key; state older than the watermark is dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Store every micro-batch of a (stateful) stream under its batch id; an empty backlog leaves an empty table."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compacted(changes: DataFrame, keys: Sequence[str], rules: Mapping[str, str], upto: int, version: str = "batch_id") -> DataFrame:
+    """The changes with all batches up to ``upto`` folded into one.
+
+    Folding a prefix and then the rest gives what folding all gives, by every
+    rule, so closed batches can be replaced by this table.
+    """
+    closed = current_rows(changes.where(F.col(version) <= upto), keys, rules, version).withColumn(version, F.lit(upto))
+    return closed.select(changes.columns).unionByName(changes.where(F.col(version) > upto))
+
+
+def deduplicated(changes: DataFrame, keys: Sequence[str], version: str = "batch_id") -> DataFrame:
+    """ST-08: every key once, from its first batch, however far apart its arrivals are.
+
+    Batches are stored folded to one row per key; the repeats between batches
+    fall away when they are read, so no state has to be kept or dropped.
+    """
+    rest = [c for c in changes.columns if c not in (*keys, version)]
+    return changes.groupBy(*keys).agg(F.min(version).alias(version), *[F.min_by(F.struct(F.col(c).alias("x")), version)["x"].alias(c) for c in rest])
 
 
 def failure_rates(runs: DataFrame, width: str = "7 days", delay: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def life_cycle(events: DataFrame) -> DataFrame:
     """
     fin = F.col("kind") == "finish"
     g = events.groupBy("run_id").agg(
-        F.min(F.when(~fin, F.col("ts"))).alias("started_at"), F.max(F.when(fin, F.col("ts"))).alias("finished_at"),
+        F.min(F.when(F.col("kind") == "start", F.col("ts"))).alias("started_at"), F.max(F.when(fin, F.col("ts"))).alias("finished_at"),
         F.coalesce(F.sum(F.when(fin, F.col("processed"))), F.lit(0)).alias("processed"), F.coalesce(F.sum(F.when(fin, F.col("failed"))), F.lit(0)).alias("failed"),
     )
     status = F.when(F.col("finished_at").isNull(), "running").when((F.col("failed") > 0) & (F.col("processed") == 0), "failed").otherwise("completed")

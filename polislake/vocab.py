@@ -161,4 +161,6 @@ UNRESOLVED_FAIL_ABOVE, ORPHAN_WARN_PCT, ORPHAN_FAIL_PCT = 50, 10, 50
 FAILED_RUN_DAYS, STALE_DAYS, STUCK_HOURS = 7, 7, 24
 LAUNCH_COVERAGE_PCT = 80
 MAX_SOURCES, MAX_EXCERPT, SNIPPET_RADIUS = 8, 260, 250
+#: Most words of a question that are searched for; the published rule, apart from the number of sources shown.
+MAX_TERMS = 8
 # ---------------------------------------------------------------------------
