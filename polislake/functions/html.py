@@ -14,7 +14,18 @@ ENTITIES = [
 ]
 
 
+def _numeric(part: Column) -> Column:
+    """What follows an ``&#``, its number turned into the character."""
+    digits, hexed = (F.regexp_extract(part, r"^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?", i) for i in (1, 2))
+    code = F.when(digits != "", digits.try_cast("bigint")).when(hexed != "", F.conv(hexed, 16, 10).try_cast("bigint"))
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(good, F.concat(char, F.regexp_replace(part, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+
 def unescape(c: Column) -> Column:
+    parts = F.split(c, "&#")
+    c = F.when(F.contains(c, F.lit("&#")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _numeric), ""))).otherwise(c)
     for mark, plain in ENTITIES:
         c = F.replace(c, F.lit(mark), F.lit(plain))
     return c
@@ -37,28 +48,51 @@ def element_text(c: Column, tag: str) -> Column:
 
 
 def class_text(c: Column, pattern: str) -> Column:
-    """Text of the first element whose class matches ``pattern``."""
-    return strip_tags(F.regexp_extract(c, rf"(?is)<([a-z0-9]+)\b[^>]*\bclass=[\"'][^\"']*(?:{pattern})[^\"']*[\"'][^>]*>(.*?)</\1\s*>", 2))
+    """Text of the first element whose class matches ``pattern``, nested elements of its own kind included."""
+    opened = rf"(?is)<([a-z0-9]+)\b[^>]*\bclass=(?:[\"'][^\"'>]*(?:{pattern})[^\"'>]*[\"']|[^\s\"'>]*(?:{pattern})[^\s\"'>]*)[^>]*>(.*)"
+    return strip_tags(_balanced(F.regexp_extract(c, opened, 2), F.regexp_extract(c, opened, 1)))
+
+
+def _balanced(rest: Column, name: Column) -> Column:
+    """The head of ``rest`` up to the end tag that closes an element ``name`` opened before it."""
+    pieces = F.regexp_extract_all(rest, F.concat(F.lit("(?is).*?(?:</?"), name, F.lit(r"\b[^>]*>|\z)")), F.lit(0))
+
+    def step(acc: Column, piece: Column) -> Column:
+        move = F.when(F.regexp_like(piece, F.concat(F.lit("(?is)</"), name, F.lit(r"\b[^>]*>\z"))), -1).when(F.regexp_like(piece, F.concat(F.lit("(?is)<"), name, F.lit(r"\b[^>]*>\z"))), 1).otherwise(0)
+        open_ = acc["depth"] > 0
+        return F.struct(F.when(open_, acc["depth"] + move).otherwise(0).alias("depth"), F.when(open_, F.concat(acc["text"], piece)).otherwise(acc["text"]).alias("text"))
+
+    return F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")), step, lambda acc: acc["text"])
 
 
 def meta_content(c: Column, key: str) -> Column:
     """Content of a meta tag named by ``property`` or ``name``, NULL if absent or empty."""
-    found = F.regexp_extract(c, rf"(?is)<meta\b[^>]*\b(?:property|name)=[\"']\Q{key}\E[\"'][^>]*\bcontent=[\"']([^\"']*)[\"']", 1)
+    tag = rf"(?is)<meta\b(?=[^>]*\b(?:property|name)\s*=\s*[\"']?\Q{key}\E[\"'\s/>])[^>]*?\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    found = F.concat(*[F.regexp_extract(c, tag, i) for i in (1, 2, 3)])
     return F.nullif(F.trim(unescape(found)), F.lit(""))
 
 
 def links(c: Column) -> Column:
     """``array<struct(href, label)>`` in page order."""
-    pattern = r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
-    return F.zip_with(
-        F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)),
-        lambda h, t: F.struct(F.trim(unescape(h)).alias("href"), strip_tags(t).alias("label")),
-    )
+    tags = F.regexp_extract_all(c, F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0))
+    href = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.transform(tags, lambda a: F.struct(
+        F.trim(unescape(F.concat(*[F.regexp_extract(a, href, i) for i in (1, 2, 3)]))).alias("href"), strip_tags(a).alias("label"),
+    ))
 
 
 def list_items(c: Column) -> Column:
-    """Inner HTML of every list item."""
-    return F.regexp_extract_all(c, F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1))
+    """Inner HTML of every list item; one that holds a nested list has its items inside as well."""
+    rests = F.filter(F.transform(F.split(c, r"(?i)(?=<li\b)"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.regexp_like(x["p"], F.lit(r"(?i)^<li\b")))
+    parts = F.split(c, r"(?i)(?=<li\b)")
+
+    def inner(x: Column) -> Column:
+        head = F.regexp_replace(x["p"], r"(?is)^<li\b[^>]*>", "")
+        # Items without nested ones, nearly all, need only their own part.
+        whole = F.when(F.regexp_like(x["p"], F.lit(r"(?i)</li\s*>")), head).otherwise(F.regexp_replace(F.array_join(F.slice(parts, x["i"] + 1, F.size(parts) - x["i"]), ""), r"(?is)^<li\b[^>]*>", ""))
+        return _balanced(whole, F.lit("li"))
+
+    return F.transform(rests, inner)
 
 
 def table_rows(c: Column) -> Column:

@@ -38,11 +38,23 @@ def recent(attendance: DataFrame, meetings: DataFrame, committees: DataFrame, k:
 
 
 def summary(attendance: DataFrame, meetings: DataFrame, committees: DataFrame) -> DataFrame:
-    """A-05: per person, totals, number of committees, busiest committee and latest meeting."""
-    per = by_committee(attendance, meetings, committees)
-    busiest = per.groupBy("politician_id").agg(
-        F.count("*").alias("committees"),
-        F.min(F.struct((-F.col("total")).alias("t"), F.coalesce("committee_name", F.lit("")).alias("n"))).alias("b"),
-    ).select("politician_id", "committees", F.col("b.n").alias("busiest_committee"), (-F.col("b.t")).alias("busiest_total"))
-    last = recent(attendance, meetings, committees, 1).select("politician_id", F.col("meeting_title").alias("latest_meeting"), F.col("date").alias("latest_date"))
-    return totals(attendance).join(busiest, "politician_id", "left").join(last, "politician_id", "left")
+    """A-05: per person, totals, number of committees, busiest committee and latest meeting.
+
+    One join and one aggregate by person and committee, then one roll-up.
+    """
+    m = meetings.select(F.col("id").alias("meeting_id"), "committee_id", F.col("committee_name").alias("_raw"), "title", "date", F.lit(True).alias("_met"))
+    named = m.join(committees.select(F.col("id").alias("committee_id"), F.col("name").alias("_name")), "committee_id", "left").withColumn("_n", F.coalesce("_name", "_raw"))
+    joined = attendance.where("politician_id is not null").join(named, "meeting_id", "left")
+    # The latest meeting has the greatest of these; a NULL date sorts below all others.
+    place = F.struct(F.col("date"), F.col("meeting_id"), F.col("id"))
+    met = F.col("_met").isNotNull()
+    latest = F.max(F.when(met, F.struct(place.alias("p"), F.col("title").alias("t")))).alias("_last")
+    per = status_pivot(joined, ["politician_id", "_met", "committee_id", "_n"], "attendance_status", vocab.ATTENDANCE_STATUSES, latest)
+    busiest = F.min(F.when(met, F.struct((-F.col("total")).alias("t"), F.coalesce("_n", F.lit("")).alias("n"))))
+    people = per.groupBy("politician_id").agg(
+        *[F.sum(s).alias(s) for s in vocab.ATTENDANCE_STATUSES], F.sum("total").alias("recorded_meetings"), F.nullif(F.count_if(met), F.lit(0)).alias("committees"), busiest.alias("_b"), F.max("_last").alias("_l")
+    )
+    return people.select(
+        "politician_id", *vocab.ATTENDANCE_STATUSES, "recorded_meetings", "committees", F.col("_b.n").alias("busiest_committee"), (-F.col("_b.t")).alias("busiest_total"),
+        F.col("_l.t").alias("latest_meeting"), F.col("_l.p.date").alias("latest_date"),
+    )

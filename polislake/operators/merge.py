@@ -1,7 +1,6 @@
 """Idempotent keyed merges (U-*).
 
-``merge_upsert`` is one full outer join on the natural key with a rule per
-column. The batch is folded to one row per key first, so repeated keys, even
+``merge_upsert`` joins on the natural key with a rule per column. The batch is folded to one row per key first, so repeated keys, even
 one that fills a third of the batch, cannot multiply.
 """
 
@@ -53,7 +52,9 @@ def merge_upsert(
     old = target.select(*[F.col(c).alias(f"_o_{c}") for c in target.columns], F.lit(True).alias("_in_old"))
     new = batch.select(*[F.col(c).alias(f"_n_{c}") for c in batch.columns], F.lit(True).alias("_in_new"))
     on = reduce(and_, [F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys])
-    df = old.join(new, on, "full_outer")
+    # A full outer join cannot be split when a key (a NULL, say) is hot; these two can.
+    stored = old.select(*[f"_o_{k}" for k in keys]).distinct()
+    df = old.join(new, on, "left").unionByName(new.join(stored, on, "left_anti"), allowMissingColumns=True)
     both = F.col("_in_old").isNotNull() & F.col("_in_new").isNotNull()
     out = []
     for c in target.columns:

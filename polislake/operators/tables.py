@@ -140,11 +140,11 @@ def counts_by(df: DataFrame, *cols: str, name: str = "n", missing: str = "unknow
     return df.groupBy(key.alias("key")).agg(F.count("*").alias(name))
 
 
-def status_pivot(df: DataFrame, by: Sequence[str], status: str, domain: Sequence[str]) -> DataFrame:
+def status_pivot(df: DataFrame, by: Sequence[str], status: str, domain: Sequence[str], *more: Column) -> DataFrame:
     """A-03: one counter per status; anything outside the domain counts as unknown."""
     known = [s for s in domain if s != "unknown"]
     folded = F.when(F.col(status).isin(known), F.col(status)).otherwise(F.lit("unknown"))
-    return df.groupBy(*by).agg(*[F.count_if(folded == s).alias(s) for s in domain], F.count("*").alias("total"))
+    return df.groupBy(*by).agg(*[F.count_if(folded == s).alias(s) for s in domain], F.count("*").alias("total"), *more)
 
 
 # --------------------------------------------------------------------------- duplicates
@@ -156,6 +156,12 @@ def duplicate_groups(df: DataFrame, *cols: str, count_null: bool = True) -> Data
     return src.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def duplicate_texts(df: DataFrame, key: str, col: str) -> DataFrame:
+    """D-03 for long values: hashes are counted, the value of one row is fetched for the repeated ones."""
+    n = df.groupBy(F.sha2(col, 256).alias("_h")).agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n > 1")
+    return n.join(df.select(key, col), key).select(col, "n")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """D-07: the first row of every key under a total order (filtered before the shuffle)."""
     return top_k(df, keys, order, 1)

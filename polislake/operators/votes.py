@@ -23,7 +23,7 @@ def validate(rows: DataFrame) -> DataFrame:
     """V-01: verdict per raw result row; ``vote_total`` is set on valid rows only."""
     contest, party = blank_to_null(F.col("contest_id")), blank_to_null(F.col("party_id"))
     digits = F.replace(F.coalesce(blank_to_null(F.col("votes")), F.lit("")), F.lit(","), F.lit(""))
-    failure = F.when(contest.isNull() | party.isNull(), "Contest_ID and Party_ID are required").when(~digits.rlike(r"^\d+$"), "Votes must be a non-negative integer")
+    failure = F.when(contest.isNull() | party.isNull(), "Contest_ID and Party_ID are required").when(~digits.rlike(r"^\d+$") | digits.try_cast("bigint").isNull(), "Votes must be a non-negative integer")
     df = rows.withColumns({"contest_id": contest, "party_id": party, "candidate_id": blank_to_null(F.col("candidate_id")), "failure": failure, "_d": digits})
     return df.withColumn("vote_total", F.when(F.col("failure").isNull(), F.col("_d").try_cast("bigint"))).drop("_d")
 

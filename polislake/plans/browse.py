@@ -346,7 +346,7 @@ def d02(t):
 
 @query("D03_duplicate_values", "select text as value, count(*) as n from documents group by 1 having count(*) > 1 order by n desc, value limit 100")
 def d03(t):
-    return tb.duplicate_groups(t.documents, "text").orderBy(F.desc("n"), "text").limit(100).select(F.col("text").alias("value"), "n")
+    return tb.duplicate_texts(t.documents, "doc_id", "text").orderBy(F.desc("n"), "text").limit(100).select(F.col("text").alias("value"), "n")
 
 
 @query("D04_duplicate_tuples", "select meeting_id, politician_id, attendance_status, count(*) as n from attendance group by 1, 2, 3 having count(*) > 1")

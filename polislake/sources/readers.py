@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,16 +21,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def read_vote_csv(spark: SparkSession, path: str, columns: Sequence[str] = tuple(vocab.VOTE_CSV_COLUMNS)) -> DataFrame:
     """S-02: result files as text columns with file and row number; malformed lines are kept aside.
 
+    Files are read by the names in their own headers, whatever their order.
+
     Raises on a missing header column. The first data row of a file is row 2.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    seen = {h.lstrip("﻿") for h in header}
-    missing = sorted(set(columns) - seen)
-    if missing:
-        raise ValueError("MissingColumns: " + ", ".join(missing))
-    schema = T.StructType([T.StructField(h.lstrip("﻿"), T.StringType()) for h in header] + [T.StructField("_corrupt", T.StringType())])
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    placed = df.withColumns({"source_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_mid": F.monotonically_increasing_id()})
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    firsts = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "id").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    df = None
+    for row in firsts.orderBy("head").collect():  # one row per spelling of the header
+        header = next(csv.reader([row["head"].lstrip("\ufeff")]))
+        missing = sorted(set(columns) - set(header))
+        if missing:
+            raise ValueError("MissingColumns: " + ", ".join(missing))
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField("_corrupt", T.StringType())])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        part = reader.csv(row["files"]).select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    if df is None:
+        raise ValueError("MissingColumns: " + ", ".join(sorted(columns)))
+    placed = df.withColumns({"_mid": F.monotonically_increasing_id()})
     # Rows keep their order inside a file block, so a row's number is its place
     # in the block plus the rows of the earlier blocks: one small table per file.
     blocks = placed.groupBy("source_file", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))

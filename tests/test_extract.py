@@ -57,3 +57,21 @@ def test_field_presence_and_status(spark):
     assert one(spark, "<p>Full name and Political party, province</p>", ex.field_presence) == ["person name", "party", "province"]
     df = spark.createDataFrame([("Former member", "u"), ("x", "https://e.org/position/member/parliament/"), ("x", "u")], "h string, u string")
     assert [r[0] for r in df.select(ex.source_status(F.col("h"), F.col("u"))).collect()] == ["FORMER", "CURRENT", "UNKNOWN"]
+
+
+def test_html_as_it_comes(spark):
+    """Nested elements, any attribute order, unquoted values, numeric references."""
+    from polislake.functions import html
+
+    c = F.col("h")
+
+    def one(source, column):
+        return spark.createDataFrame([(source,)], "h string").select(column.alias("v")).first()["v"]
+
+    assert one('<div class="summary"><div>first</div>second</div>third', html.class_text(c, "summary")) == "first second"
+    assert one("<p><span class=date>1 May</span> x</p>", html.class_text(c, "date")) == "1 May"
+    assert one("<ul><li>a<ul><li>b</li></ul>c</li><li>d</li></ul>", F.transform(html.list_items(c), html.strip_tags)) == ["a b c", "b", "d"]
+    assert one('<meta content="Some title" property="og:title">', html.meta_content(c, "og:title")) == "Some title"
+    assert one("<meta name=date content=2020-01-02>", html.meta_content(c, "date")) == "2020-01-02"
+    assert [tuple(x) for x in one("<a class=k href=/x/y>one</a><a href='/z'>two</a>", html.links(c))] == [("/x/y", "one"), ("/z", "two")]
+    assert one("<p>it&#8217;s &#x1F600; &amp;#39; &#99999999;</p>", html.visible_text(c)) == "it’s \U0001f600 &#39; &#99999999;"
