@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -28,61 +28,94 @@ from pyspark.sql import functions as F
 from polislake.llm.common import pick, stored
 
 #: Pieces in a packing group, and words whose ids a Python worker remembers.
-GROUP, REMEMBERED = 20_000, 200_000
-_PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+GROUP, REMEMBERED = 20_000, 300_000
+_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class WordIds:
-    """Ids of whole texts by way of their words.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: visible Latin-1 for itself, the others from U+0100 on in order."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
+
 
-    White space always ends a token of the ``word_bpe_49k`` kind of vocabulary,
-    so a text's ids are those of its words in order; equal words are encoded
-    once. Texts that hold a special token's string, or a separator that only
-    Python counts as white space, are encoded whole.
+class WordIds:
+    """Ids of whole texts by way of their words, for vocabularies of the ``word_bpe_49k`` kind.
+
+    The tokenizer's own steps are done once for each distinct word: NFC and
+    lower case, its splitting pattern, letters for bytes; its BPE model then
+    merges. White space always parts tokens, so a text's ids are those of its
+    words in order. Texts that hold a special token's string, a separator that
+    only Python counts as white space, or a capital sigma, whose lower case
+    depends on its place, go through the tokenizer whole.
     """
 
     def __init__(self, file: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f")
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(s in low for s in self.whole) else t.split() for t, low in ((t, t.lower()) for t in texts)]
-        if len(self.known) > REMEMBERED:
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1fΣ")
+        self.merge = self.tokenizer.model.tokenize
+        # Fixed value: the splitting pattern of the vocabulary.
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.merged.get(part)
+        if ids is None:
+            if len(self.merged) >= REMEMBERED:
+                self.merged.clear()
+            seen = part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
+            ids = self.merged[part] = np.array([t.id for t in self.merge(seen)], "<u4").tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._part(word)
+        if word[-1] in ".,!" and word[:-1].isalpha():
+            return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join(map(self._part, self.parts(word)))
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if any(w in text for w in self.whole):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = (text if text.isascii() else normalize("NFC", text)).lower().split()
+        if len(self.known) >= REMEMBERED:
             self.known.clear()
-        new = list({w for ws in split if ws for w in ws}.difference(self.known))
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        return [
-            np.fromiter(chain.from_iterable(map(get, ws)), np.uint32) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t, ws in zip(texts, split, strict=True)
-        ]
-
-
-def _tokenise(file: str, capacity: int, end: int, most: int = 1 << 20):
+        for w in set(words).difference(self.known):
+            self.known[w] = self._word(w)
+        return b"".join(map(self.known.__getitem__, words))
+
+
+_made: dict[str, WordIds] = {}
+
+
+def word_ids(file: str) -> WordIds:
+    """One per Python worker, so that later tasks know the words of earlier ones."""
+    if file not in _made:
+        _made[file] = WordIds(file)
+    return _made[file]
+
+
+def _tokenise(file: str, capacity: int, end: int):
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
     def pieces(batches):
-        words = WordIds(file)
+        words = word_ids(file)
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            i, cols = 0, [[] for _ in range(6)]
-            while i < len(ids):
-                part, size = [], 0
-                while i + len(part) < len(ids) and (size < most or not part):
-                    part.append(texts[i + len(part)].as_py() or "")
-                    size += len(part[-1])
-                for k, found in enumerate(words.encode(part)):
-                    whole = np.append(found, np.uint32(end)).astype("<u4")
-                    row = zlib.crc32(part[k].encode()) << 1
-                    for p in range(0, len(whole), capacity):
-                        cut = whole[p : p + capacity]
-                        for c, v in zip(cols, (ids[i + k], row, p // capacity, p, len(cut), zlib.crc32(cut.tobytes())), strict=True):
-                            c.append(v)
-                i += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = words.encode(text.as_py() or "") + last
+                for p in range(0, len(whole), 4 * capacity):
+                    cut = whole[p : p + 4 * capacity]
+                    rows.append((doc_id, p // 4 // capacity, p // 4, len(cut) // 4, zlib.crc32(cut)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return pieces
 
@@ -127,10 +160,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
     pieces = stored(texts.mapInArrow(_tokenise(tokenizer, capacity, end), _PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "row", "piece", "ids_crc32"), F.lit(groups)))
-    schema = _PIECES.replace(", row bigint", "") + ", sequence_id bigint, offset bigint"
-    packed = dealt.drop("row").groupBy("_group").applyInPandas(_packer(capacity), schema)
-    return packed
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    return dealt.groupBy("_group").applyInPandas(_packer(capacity), _PIECES + ", sequence_id bigint, offset bigint")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
