@@ -41,7 +41,9 @@ def quality_summary(x: Mapping[str, DataFrame]) -> DataFrame:
     """Q-01: counters over all record tables, one row per metric."""
     pmg = F.startswith("document_type", F.lit("PMG"))
     people, docs, q = x["people"], x["docs"], x["questions"]
+    repeated_slugs = count_row(duplicate_groups(people, "slug"), "slugs")
     return union_all([
+        count_row(x["aliases"], "total_aliases"), count_row(x["question_mentions"], "total_question_mentions"),
         counter_rows(people, {
             "total_politicians": always(), "active_politicians": F.col("is_active"), "inactive_politicians": ~F.col("is_active"),
             "unknown_status_politicians": F.col("source_status").isNull() | (F.col("source_status") == "UNKNOWN"), "politicians_without_party": F.col("party").isNull(),
@@ -56,13 +58,13 @@ def quality_summary(x: Mapping[str, DataFrame]) -> DataFrame:
             "parliamentary_question_pdf_sources": F.col("source_file_type") == "PDF", "parliamentary_question_parse_failed": F.col("parse_status") == "FAILED",
             "parliamentary_question_parse_partial": F.col("parse_status") == "PARTIAL",
         }),
-        counter_rows(x["unresolved"], {"total_unresolved_entities": always(), **{f"unresolved_entities_{s.lower()}": F.col("status") == s for s in ("OPEN", "RESOLVED", "IGNORED")}}),
+        counter_rows(x["unresolved"], {"total_unresolved_entities": always(), "unresolved_entities_count": always(), **{f"unresolved_entities_{s.lower()}": F.col("status") == s for s in ("OPEN", "RESOLVED", "IGNORED")}}),
         count_row(x["parties"], "total_parties"), count_row(x["committees"], "total_committees"), count_row(x["memberships"], "total_committee_memberships"),
         count_row(x["mentions"], "total_document_mentions"), count_row(x["runs"], "total_ingestion_runs"), count_row(x["run_errors"], "total_ingestion_errors"),
         counter_rows(without_child(people.select("id", "is_active"), x["memberships"], "id", "politician_id"), {"politicians_without_committees": always(), "active_politicians_without_committees": F.col("is_active")}),
         count_row(without_child(x["committees"].select("id"), x["memberships"], "id", "committee_id"), "committees_without_memberships"),
         counter_rows(without_child(docs.select("id", "document_type"), x["mentions"], "id", "document_id"), {"documents_without_mentions": always(), "pmg_documents_without_mentions": pmg}),
-        count_row(duplicate_groups(people, "slug"), "duplicate_politician_slug_count"), count_row(duplicate_groups(x["committees"], "slug"), "duplicate_committee_slug_count"),
+        repeated_slugs.withColumn("metric", F.explode(F.array(F.lit("duplicate_politician_slug_count"), F.lit("duplicate_slug_count")))), count_row(duplicate_groups(x["committees"], "slug"), "duplicate_committee_slug_count"),
         count_row(duplicate_groups(x["parties"], "short_name"), "duplicate_party_short_name_count"), count_row(duplicate_groups(docs, "source_url"), "duplicate_source_url_count"),
         count_row(duplicate_groups(x["memberships"], "politician_id", "committee_id", "role"), "duplicate_membership_candidates"),
     ])
@@ -71,21 +73,28 @@ def quality_summary(x: Mapping[str, DataFrame]) -> DataFrame:
 def quality_issues(x: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
     """Q-02: every issue list, whole, or its first ``limit`` rows by label."""
 
+    facts = ("source_url", "entity_type", "source_name")
+
     def listed(issue: str, df: DataFrame, label: str, *order: Column) -> DataFrame:
         first = df if limit is None else df.orderBy(*(order or (F.col(label),)), "id").limit(limit)
-        return first.select(F.lit(issue).alias("issue"), F.col("id").cast("string").alias("item"), F.col(label).alias("label"))
+        # The address and kind of the record, where its table has them.
+        more = [(F.col(c) if c in df.columns and issue.split("_")[0] in ("documents", "unresolved") else F.lit(None)).cast("string").alias(c) for c in facts]
+        return first.select(F.lit(issue).alias("issue"), F.col("id").cast("string").alias("item"), F.col(label).alias("label"), *more)
+
+    def repeated(issue: str, df: DataFrame, col: str) -> DataFrame:
+        groups = duplicate_groups(df, col)
+        if limit is not None:
+            groups = groups.orderBy(F.desc("n"), col).limit(limit)
+        return groups.select(F.lit(issue).alias("issue"), F.col(col).alias("item"), F.col("n").cast("string").alias("label"))
 
     people, memb = x["people"], x["memberships"]
-    dup = duplicate_groups(people, "slug")
-    if limit is not None:
-        dup = dup.orderBy(F.desc("n"), "slug").limit(limit)
     return union_all([
         listed("politicians_without_party", people.where("party is null"), "display_name"),
         listed("active_politicians_without_committees", without_child(people.where("is_active"), memb, "id", "politician_id"), "display_name"),
         listed("committees_without_memberships", without_child(x["committees"], memb, "id", "committee_id"), "name"),
         listed("documents_without_mentions", without_child(x["docs"], x["mentions"], "id", "document_id"), "title"),
         listed("unresolved_entities_open", x["unresolved"].where("status = 'OPEN'"), "raw_value", F.desc("created_at")),
-        dup.select(F.lit("duplicate_politician_slugs").alias("issue"), "slug", F.col("n").cast("string").alias("label")).withColumnRenamed("slug", "item"),
+        repeated("duplicate_politician_slugs", people, "slug"), repeated("duplicate_committee_slugs", x["committees"], "slug"), repeated("duplicate_party_short_names", x["parties"], "short_name"),
     ])
 
 
@@ -102,6 +111,22 @@ def check(category: str, name: str, df: DataFrame, value: Column, warn: Column |
 V = "v"
 
 
+def checks_of(specs: Mapping[str, tuple[DataFrame, Column]], category: str, verdict) -> DataFrame:
+    """Check rows of one category, every table scanned once.
+
+    ``specs``: name to table and aggregate; ``verdict(name, value)`` gives the status.
+    """
+    tables: dict[int, tuple[DataFrame, list[tuple[str, Column]]]] = {}
+    for name, (df, value) in specs.items():
+        tables.setdefault(id(df), (df, []))[1].append((name, value))
+    parts = []
+    for df, values in tables.values():
+        one = df.agg(*[value.cast("double").alias(f"v{i}") for i, (_, value) in enumerate(values)])
+        rows = [F.struct(F.lit(category).alias("category"), F.lit(name).alias("name"), F.col(f"v{i}").alias("value"), verdict(name, F.col(f"v{i}")).alias("status")) for i, (name, _) in enumerate(values)]
+        parts.append(one.select(F.inline(F.array(*rows))))
+    return union_all(parts)
+
+
 def unresolved_check(unresolved: DataFrame) -> DataFrame:
     """Q-10: open queue entries, warn above none, fail above fifty."""
     df = unresolved.agg(F.count_if(F.col("status") == "OPEN").alias("n"))
@@ -127,30 +152,20 @@ def run_checks(runs: DataFrame, now: str) -> DataFrame:
 
 def orphan_checks(specs: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Q-06: share of rows without a link, warn above 10 %, fail above 50 %."""
-    parts = []
-    for name, (df, fk) in specs.items():
-        one = df.agg(F.count_if(F.col(fk).isNull()).alias("u"), F.count("*").alias("n"))
-        parts.append(check("orphans", name, one, pct(F.col("u"), F.col("n"), 2, 0.0), F.col(V) > vocab.ORPHAN_WARN_PCT, F.col(V) > vocab.ORPHAN_FAIL_PCT))
-    return union_all(parts)
+    shares = {name: (df, pct(F.count_if(F.col(fk).isNull()), F.count("*"), 2, 0.0)) for name, (df, fk) in specs.items()}
+    return checks_of(shares, "orphans", lambda _, v: F.when(v > vocab.ORPHAN_FAIL_PCT, "fail").when(v > vocab.ORPHAN_WARN_PCT, "warn").otherwise("pass"))
 
 
 def blank_checks(specs: Mapping[str, tuple[DataFrame, str]], warn_only: Sequence[str] = ()) -> DataFrame:
     """Q-08: mandatory values that are missing or blank."""
-    parts = []
-    for name, (df, c) in specs.items():
-        one = df.agg(F.count_if(is_blank(F.col(c))).alias("n"))
-        soft = name in warn_only
-        parts.append(check("mandatory_fields", name, one, F.col("n"), F.col(V) > 0 if soft else None, None if soft else F.col(V) > 0))
-    return union_all(parts)
+    blanks = {name: (df, F.count_if(is_blank(F.col(c)))) for name, (df, c) in specs.items()}
+    return checks_of(blanks, "mandatory_fields", lambda name, v: F.when(v > 0, "warn" if name in warn_only else "fail").otherwise("pass"))
 
 
 def domain_checks(specs: Mapping[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
     """Q-08: values outside their closed domain."""
-    parts = []
-    for name, (df, c, domain) in specs.items():
-        one = df.agg(F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(domain))).alias("n"))
-        parts.append(check("domains", name, one, F.col("n"), F.col(V) > 0, None))
-    return union_all(parts)
+    outside = {name: (df, F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(list(domain)))) for name, (df, c, domain) in specs.items()}
+    return checks_of(outside, "domains", lambda _, v: F.when(v > 0, "warn").otherwise("pass"))
 
 
 def duplicate_checks(specs: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from polislake import vocab
 from polislake.operators import quality as ql
 from polislake.operators import tables as tb
+from polislake.operators.resolve import alias_table
 from polislake.plans.registry import query
+from polislake.plans.scalars import ALIAS_SQL
 
 NOW = "2024-01-31 00:00:00"
 
 
 def _all(t):
-    return {n: getattr(t, n) for n in ("people", "parties", "committees", "memberships", "docs", "mentions", "questions", "unresolved", "runs", "run_errors")}
+    return {n: getattr(t, n) for n in ("people", "parties", "committees", "memberships", "docs", "mentions", "questions", "unresolved", "runs", "run_errors")} | {"aliases": alias_table(t.people), "question_mentions": t.questions.where("politician_id is not null").select("id", "politician_id")}
 
 
 _SUMMARY_SPECS = {
@@ -23,16 +25,16 @@ _SUMMARY_SPECS = {
     "documents_without_archive_path": "from docs where archive_path is null", "total_parliamentary_questions": "from questions", "parliamentary_questions_without_politician": "from questions where politician_id is null",
     "parliamentary_questions_without_answer": "from questions where answer_text is null", "parliamentary_questions_without_archive_path": "from questions where archive_path is null",
     "parliamentary_question_pdf_sources": "from questions where source_file_type = 'PDF'", "parliamentary_question_parse_failed": "from questions where parse_status = 'FAILED'",
-    "parliamentary_question_parse_partial": "from questions where parse_status = 'PARTIAL'", "total_unresolved_entities": "from unresolved", "unresolved_entities_open": "from unresolved where status = 'OPEN'",
+    "parliamentary_question_parse_partial": "from questions where parse_status = 'PARTIAL'", "total_unresolved_entities": "from unresolved", "unresolved_entities_count": "from unresolved", "unresolved_entities_open": "from unresolved where status = 'OPEN'",
     "unresolved_entities_resolved": "from unresolved where status = 'RESOLVED'", "unresolved_entities_ignored": "from unresolved where status = 'IGNORED'", "total_parties": "from parties", "total_committees": "from committees",
     "total_committee_memberships": "from memberships", "total_document_mentions": "from mentions", "total_ingestion_runs": "from runs", "total_ingestion_errors": "from run_errors",
     "politicians_without_committees": "from people where id not in (select politician_id from memberships)", "active_politicians_without_committees": "from people where is_active and id not in (select politician_id from memberships)",
     "committees_without_memberships": "from committees where id not in (select committee_id from memberships)", "documents_without_mentions": "from docs where id not in (select document_id from mentions)",
-    "pmg_documents_without_mentions": "from docs where document_type like 'PMG%' and id not in (select document_id from mentions)", "duplicate_politician_slug_count": "from (select slug from people group by 1 having count(*) > 1)",
+    "pmg_documents_without_mentions": "from docs where document_type like 'PMG%' and id not in (select document_id from mentions)", "duplicate_slug_count": "from (select slug from people group by 1 having count(*) > 1)", "total_question_mentions": "from questions where politician_id is not null", "duplicate_politician_slug_count": "from (select slug from people group by 1 having count(*) > 1)",
     "duplicate_committee_slug_count": "from (select slug from committees group by 1 having count(*) > 1)", "duplicate_party_short_name_count": "from (select short_name from parties group by 1 having count(*) > 1)",
     "duplicate_source_url_count": "from (select source_url from docs group by 1 having count(*) > 1)", "duplicate_membership_candidates": "from (select politician_id, committee_id, role from memberships group by 1, 2, 3 having count(*) > 1)",
 }
-_Q01 = " union all ".join(f"select '{m}' as metric, count(*)::double as value {src}" for m, src in _SUMMARY_SPECS.items())
+_Q01 = " union all ".join(f"select '{m}' as metric, count(*)::double as value {src}" for m, src in _SUMMARY_SPECS.items()) + f" union all select 'total_aliases', n from (with {ALIAS_SQL} select count(*)::double as n from aliases)"
 
 
 @query("Q01_quality_summary", _Q01)
@@ -41,7 +43,9 @@ def q01(t):
 
 
 def _issue(name, body, label, order):
-    return f"(select '{name}' as issue, cast(id as varchar) as item, {label} as label from {body})"
+    facts = {"docs": "source_url, null, null", "unresolved": "source_url, entity_type, source_name"}.get(body.split()[0], "null, null, null")
+    u, k, n = facts.split(", ")
+    return f"(select '{name}' as issue, cast(id as varchar) as item, {label} as label, {u} as source_url, {k} as entity_type, {n} as source_name from {body})"
 
 
 _Q02 = " union all ".join([
@@ -50,7 +54,7 @@ _Q02 = " union all ".join([
     _issue("committees_without_memberships", "committees where id not in (select committee_id from memberships)", "name", "name"),
     _issue("documents_without_mentions", "docs where id not in (select document_id from mentions)", "title", "title"),
     _issue("unresolved_entities_open", "unresolved where status = 'OPEN'", "raw_value", "created_at desc"),
-    "(select 'duplicate_politician_slugs' as issue, slug as item, cast(count(*) as varchar) as label from people group by slug having count(*) > 1)",
+    *[f"(select '{n}' as issue, {c} as item, cast(count(*) as varchar) as label, null, null, null from {tab} group by {c} having count(*) > 1)" for n, tab, c in (("duplicate_politician_slugs", "people", "slug"), ("duplicate_committee_slugs", "committees", "slug"), ("duplicate_party_short_names", "parties", "short_name"))],
 ])
 
 
@@ -59,19 +63,19 @@ def q02(t):
     return ql.quality_issues(_all(t))
 
 
-@query("Q03_duplicate_lists", """(select 'politician_slugs' as list, slug as value, count(*) as n from people group by 2 having count(*) > 1 order by n desc, value limit 100) union all
-   (select 'bill_numbers', bill_number, count(*) as n from bills group by 2 having count(*) > 1 order by n desc, bill_number limit 100) union all (select 'document_titles', title, count(*) as n from docs group by 2 having count(*) > 1 order by n desc, title limit 100)""")
+_LISTS = {"politician_slugs": ("people", "slug"), "committee_slugs": ("committees", "slug"), "party_short_names": ("parties", "short_name"), "document_source_urls": ("docs", "source_url"), "bill_numbers": ("bills", "bill_number")}
+
+
+@query("Q03_duplicate_lists", " union all ".join(f"select '{n}' as list, {c} as value, count(*) as n from {tab} group by {c} having count(*) > 1" for n, (tab, c) in _LISTS.items()))
 def q03(t):
-    parts = []
-    for name, df, c in (("politician_slugs", t.people, "slug"), ("bill_numbers", t.bills, "bill_number"), ("document_titles", t.docs, "title")):
-        parts.append(tb.duplicate_groups(df, c).orderBy(F.desc("n"), c).limit(100).select(F.lit(name).alias("list"), F.col(c).alias("value"), "n"))
-    return ql.union_all(parts)
+    """Every list whole; a page of one is a sort and a limit away."""
+    return ql.union_all([tb.duplicate_groups(getattr(t, tab), c).select(F.lit(name).alias("list"), F.col(c).alias("value"), "n") for name, (tab, c) in _LISTS.items()])
 
 
-@query("Q04_archive_gaps", """(select 'document' as kind, id, source_url from docs where archive_path is null order by id desc limit 100) union all (select 'question', id, source_url from questions where archive_path is null order by asked_date desc, id desc limit 100)""")
+@query("Q04_archive_gaps", """(select 'document' as kind, id, source_url from docs where archive_path is null) union all (select 'question', id, source_url from questions where archive_path is null)""")
 def q04(t):
-    d = t.docs.where("archive_path is null").orderBy(F.desc("id")).limit(100)
-    q = t.questions.where("archive_path is null").orderBy(F.desc("asked_date"), F.desc("id")).limit(100)
+    d = t.docs.where("archive_path is null")
+    q = t.questions.where("archive_path is null")
     return d.select(F.lit("document").alias("kind"), "id", "source_url").unionByName(q.select(F.lit("question").alias("kind"), "id", "source_url"))
 
 
@@ -90,21 +94,25 @@ _Q07 = " union all ".join([
 _FKS = {"committee meetings without a committee link": ("meetings", "committee_id"), "attendance rows without a politician link": ("attendance", "politician_id"),
         "vote records without a politician link": ("vote_records", "politician_id"), "questions without a politician link": ("questions", "politician_id")}
 _Q06 = " union all ".join(_chk("orphans", n, f"(select round(cast(100 * count(*) filter (where {fk} is null) as decimal(38,6)) / count(*), 2) from {tab})", "v > 10", "v > 50") for n, (tab, fk) in _FKS.items())
-_BLANKS = {"politicians with a blank full name": ("people", "full_name"), "committees with a blank name": ("committees", "name"), "politicians without a party": ("people", "party"),
+_BLANKS = {"politicians with a blank full name": ("people", "full_name"), "politicians with a blank display name": ("people", "display_name"), "parties with a blank name": ("parties", "name"),
+           "committee meetings missing a source URL": ("meetings", "source_url"), "questions missing a source URL": ("questions", "source_url"), "vote events missing a source URL": ("vote_events", "source_url"), "committees with a blank name": ("committees", "name"), "politicians without a party": ("people", "party"),
            "documents missing a source URL": ("docs", "source_url"), "attendance missing a source URL": ("attendance", "source_url"), "committees without a description": ("committees", "description")}
 _SOFT = ("politicians without a party", "committees without a description")
 _Q08 = " union all ".join(_chk("mandatory_fields", n, f"(select count(*) from {tab} where trim(coalesce(cast({c} as varchar), '')) = '')", "v > 0" if n in _SOFT else None, None if n in _SOFT else "v > 0") for n, (tab, c) in _BLANKS.items())
 _DOMS = {"attendance status": ("attendance", "attendance_status", vocab.ATTENDANCE_STATUSES), "bill status": ("bills", "status", vocab.BILL_STATUSES), "run status": ("runs", "status", ["running", "completed", "failed"])}
 _Q08B = " union all ".join(_chk("domains", n, f"(select count(*) from {tab} where {c} not in ({', '.join(repr(x) for x in d)}))", "v > 0") for n, (tab, c, d) in _DOMS.items())
-_DUPS = {"duplicate politician slugs": ("people", ["slug"]), "duplicate committee slugs": ("committees", ["slug"]), "duplicate party short names": ("parties", ["short_name"]), "duplicate bill numbers": ("bills", ["bill_number", "year"]),
+_DUPS = {"duplicate document source URLs": ("docs", ["source_url"]), "duplicate question source URLs": ("questions", ["source_url"]), "duplicate vote event source URLs": ("vote_events", ["source_url"]),
+         "duplicate committee meeting source URLs": ("meetings", ["source_url"]), "duplicate politician slugs": ("people", ["slug"]), "duplicate committee slugs": ("committees", ["slug"]), "duplicate party short names": ("parties", ["short_name"]), "duplicate bill numbers": ("bills", ["bill_number", "year"]),
          "duplicate document titles": ("docs", ["title"]), "duplicate attendance": ("attendance", ["meeting_id", "name_raw"]), "duplicate memberships": ("memberships", ["politician_id", "committee_id", "role"])}
 _Q09 = " union all ".join(_chk("duplicates", n, f"(select count(*) from (select {', '.join(cs)} from {tab} where {' and '.join(c + ' is not null' for c in cs)} group by all having count(*) > 1))".replace("group by all", "group by " + ", ".join(cs)), None, "v > 0") for n, (tab, cs) in _DUPS.items())
 
 
 def _checks(t):
+    held: dict = {}
+    get = lambda tab: held.setdefault(tab, getattr(t, tab))  # noqa: E731  one frame a table, so that its checks share a scan
     return {
-        "Q06": ql.orphan_checks({n: (getattr(t, tab), fk) for n, (tab, fk) in _FKS.items()}), "Q07": ql.run_checks(t.runs, NOW),
-        "Q08": ql.blank_checks({n: (getattr(t, tab), c) for n, (tab, c) in _BLANKS.items()}, _SOFT), "Q08B": ql.domain_checks({n: (getattr(t, tab), c, d) for n, (tab, c, d) in _DOMS.items()}),
+        "Q06": ql.orphan_checks({n: (get(tab), fk) for n, (tab, fk) in _FKS.items()}), "Q07": ql.run_checks(t.runs, NOW),
+        "Q08": ql.blank_checks({n: (get(tab), c) for n, (tab, c) in _BLANKS.items()}, _SOFT), "Q08B": ql.domain_checks({n: (get(tab), c, d) for n, (tab, c, d) in _DOMS.items()}),
         "Q09": ql.duplicate_checks({n: (getattr(t, tab), cs) for n, (tab, cs) in _DUPS.items()}), "Q10": ql.unresolved_check(t.unresolved),
     }
 
