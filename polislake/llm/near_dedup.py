@@ -13,8 +13,11 @@
    similarity and fall away; the others are confirmed on the full sets.
 4. Buckets that still hold several components get the exact rest: every member
    outside the bucket's largest component meets the members of other
-   components, if their sketches and the shingles that they share with nobody
-   leave a link possible; what is left is confirmed on the full sets.
+   components. Two members of one bucket are both known by how they differ from
+   its chosen member: a bitmap of the shingles that each lacks, and the number
+   that each adds and shares with anybody. The two bitmaps together bound what
+   the two can have in common from above; pairs that cannot reach the
+   similarity fall away, and what is left is confirmed on the full sets.
 
 A pair of similarity 0.8 shares no bucket with probability 1.5e-5, and the
 sketch loses one with probability 1e-6.
@@ -148,9 +151,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.filter(100 * F.col("both") >= percent * (F.size("grams_a") + F.size("grams_b") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+#: Bits of the bitmap of lacking shingles, in words of 64.
+WORDS = 16
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(p, _id, n_p, lacks, adds)``: how a set differs from a chosen one, lacking shingles as a bitmap."""
+    chosen = sets.select(F.col("_id").alias("p"), F.col("grams").alias("grams_p"))
+    both = pairs.join(chosen.hint("merge"), "p").join(sets.hint("merge"), "_id")
+    both = both.select("p", "_id", F.size("grams_p").alias("n_p"), F.size("grams").alias("n"), F.array_except("grams_p", "grams").alias("gone"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.aggregate("gone", F.lit(0).cast("bigint"), lambda w, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == i, w.bitwiseOR(bit(x))).otherwise(w))
+    return both.select("p", "_id", "n_p", F.array(*[word(i) for i in range(WORDS)]).alias("lacks"), (F.col("n") - F.col("n_p") + F.size("gone")).alias("adds"))
+
+
 def _reachable(percent: int) -> F.Column:
-    """Whether two sets can be that similar, given how many shingles of each (``lone``) no other set has."""
-    most = F.least(F.col("n_a") - F.col("lone_a"), F.col("n_b") - F.col("lone_b"))
+    """Whether two sets of a bucket can be that similar.
+
+    What both have of the chosen set is at most what neither lacks; beyond it
+    they can share no more than the one that adds less that somebody shares.
+    """
+    lacking = F.aggregate(F.zip_with("lacks_a", "lacks_b", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda a, x: a + x)
+    most = F.col("n_p_a") - lacking + F.least("adds_a", "adds_b")
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
@@ -176,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound = sketch_bound(percent)
 
     scored = members.select("key", "_id").join(near.select("_id", "score"), "_id")
-    pivots = scored.groupBy("key").agg(F.max_by("_id", F.struct("score", -F.col("_id"))).alias("p"))
+    pivots = stored(scored.groupBy("key").agg(F.max_by("_id", F.struct("score", -F.col("_id"))).alias("p")), "pivots")
     stars = members.select("key", "_id").join(pivots, "key").filter("_id <> p")
     stars = stars.select(F.least("_id", "p").alias("a"), F.greatest("_id", "p").alias("b")).distinct()
     sketch_a, sketch_b = (near.select(F.col("_id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
@@ -193,8 +215,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lone = held.groupBy("gram").agg(F.count("*").alias("c"), F.min("_id").alias("_id")).filter("c = 1").groupBy("_id").agg(F.count("*").cast("int").alias("lone"))
     facts = open_.select("_id").distinct().join(near, "_id").join(lone, "_id", "left").select("_id", "n", "sketch", F.coalesce("lone", F.lit(0)).alias("lone"))
     facts = stored(facts.filter(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")), "facts")
-    open_ = stored(open_.join(facts, "_id"), "open")
-    side = lambda x: [F.col("_id").alias(x), F.col("root").alias(f"root_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "lone")]]
+    open_ = stored(open_.join(facts, "_id").join(pivots, "key"), "open")
+    gaps = stored(differences(open_.select("p", "_id").distinct(), sets), "differences")
+    open_ = open_.join(gaps, ["p", "_id"]).withColumn("adds", F.greatest(F.col("adds") - F.col("lone"), F.lit(0)))
+    open_ = stored(open_.drop("lone"), "open")
+    side = lambda x: [F.col("_id").alias(x), F.col("root").alias(f"root_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "n_p", "lacks", "adds")]]
     rest = open_.filter("root <> main").select("key", *side("a"))
     every = open_.select("key", *side("b"), (F.col("root") == F.col("main")).alias("in_main"))
     again = rest.join(every, "key").filter("root_a <> root_b and (in_main or a < b)").filter(_reachable(percent)).filter(_differing() <= bound)
