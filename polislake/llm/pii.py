@@ -15,7 +15,8 @@ shuffled; windows go through the network in batches of bounded size.
 Without given labels the base spans of a bounded sample of documents
 (``max_windows`` windows of either kind, lowest hashes first) are the labelled
 spans, together with other ways of writing them (spaced or spelled-out ``@``,
-phone numbers without a country code, cards in dotted groups).
+phone numbers without a country code, cards in dotted groups) and one right
+after the other, where the base patterns run into each other.
 
 Defined cases: a null text counts as empty and has no spans; a sample without
 labelled spans trains nothing and the base decides alone; rows that share an id
@@ -109,7 +110,7 @@ def plausible(kind: int, piece: str) -> bool:
         return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and not re.search(r"[A-Za-z]", piece)
     if re.search(r"[A-Za-z]", piece):
         return False
-    return 13 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
+    return 13 <= digits <= 19 and luhn("".join(_DIGITS.findall(piece))) if kind == 2 else 9 <= digits <= 15
 
 
 def encode(text: str) -> np.ndarray:
@@ -288,12 +289,17 @@ def reconcile(found: list[tuple[int, int, int, float]], base: list[Span], text:
             s += 1
         while s < e and text[e - 1] in " .,;:\n\t":
             e -= 1
+        # A span holds whole numbers.
+        while 0 < s < e and text[s].isdigit() and text[s - 1].isdigit():
+            s -= 1
+        while s < e < len(text) and text[e - 1].isdigit() and text[e].isdigit():
+            e += 1
         if p >= sure and s < e and plausible(k, text[s:e]) and all(e <= a or s >= b for a, _, b in out):
             out.append((s, k, e))
     return sorted(out)
 
 
-def find(texts: list[str], model: Tagger | None, sure: float = 0.9) -> tuple[list[list[Span]], list[list[Span]]]:
+def find(texts: list[str], model: Tagger | None, sure: float = 0.8) -> tuple[list[list[Span]], list[list[Span]]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) for t in texts]
     if model is None:
@@ -354,6 +360,20 @@ def _rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[
     return new, [(s, k, min(e, WIDTH)) for s, k, e in marks if s < WIDTH]
 
 
+def _joined(text: str, spans: list[Span], pieces: list[tuple[int, str]], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """A window in which another labelled piece follows one of its spans: their border is for the tagger to find."""
+    i = int(rng.integers(len(spans)))
+    kind, piece = pieces[int(rng.integers(len(pieces)))]
+    s, _, e = spans[i]
+    # The window is moved so that both fit.
+    cut = max(0, e + 1 + len(piece) - WIDTH + 4)
+    cut = min(cut, s)
+    new = f"{text[:e]} {piece}{text[e:]}"[cut : cut + WIDTH]
+    marks = [(a, k, b) for a, k, b in spans if b <= e] + [(e + 1, kind, e + 1 + len(piece))] + [(a + 1 + len(piece), k, b + 1 + len(piece)) for a, k, b in spans if a >= e]
+    marks = [(a - cut, k, b - cut) for a, k, b in marks]
+    return new, [(a, k, b) for a, k, b in marks if a >= 0 and b <= len(new)]
+
+
 def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_windows: int = 400, epochs: int = 20) -> Tagger | None:
     """A tagger from labelled spans ``(id, kind, start, end)``, or from the base spans of a sample."""
     texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string")).filter(F.regexp_like("_text", F.lit("[0-9@]")))
@@ -389,9 +409,11 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
         rows += made.filter(some).orderBy(F.xxhash64("window"), "window", "spans").limit(max_windows).collect()
     rng = np.random.default_rng(1)
     texts_, tags = [], []
-    for r in rows:
-        known = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
-        for text, marks in [(r["window"], known)] + ([_rewritten(r["window"], known, rng)] if known else []):
+    labelled = [(r["window"], [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]) for r in rows]
+    pieces = [(k, w[s:e]) for w, known in labelled for s, k, e in known]
+    for window, known in labelled:
+        more = [_rewritten(window, known, rng), _joined(window, known, pieces, rng)] if known else []
+        for text, marks in [(window, known), *more]:
             texts_.append(_cut(encode(text), 0))
             tags.append(_tags(WIDTH, marks))
     if not any(t.any() for t in tags):
