@@ -193,6 +193,17 @@ def newest_sources(asked: DataFrame, hits: DataFrame, corpus: DataFrame, key: st
     return top_k(pairs, ["question_id"], [*order, F.col(key)], k, rank="position")
 
 
+def attendance_sources(asked: DataFrame, attendance: DataFrame, meetings: DataFrame, k: int = vocab.MAX_SOURCES) -> DataFrame:
+    """I-09: attendance rows that hold a term themselves or whose meeting does, of the newest meetings first."""
+    held = attendance.join(meetings.select(F.col("id").alias("meeting_id"), "date"), "meeting_id").select("id", "meeting_id", "date")
+    own = term_hits(attendance, "id", ["name_raw", "attendance_status"], asked).select("term", "id").join(held, "id")
+    met = term_hits(meetings, "id", ["title", "committee_name"], asked).select("term", F.col("id").alias("meeting_id")).join(held, "meeting_id")
+    order = [F.desc_nulls_last("date"), F.col("id")]
+    per_term = top_k(own.select("term", "id", "date").unionByName(met.select("term", "id", "date")).distinct(), ["term"], order, k)
+    pairs = asked.select("question_id", "term").distinct().join(per_term, "term").drop("term").distinct()
+    return top_k(pairs, ["question_id"], order, k, rank="position")
+
+
 def question_sources(asked: DataFrame, askers: DataFrame, corpus: DataFrame, hits: DataFrame, asker_hits: DataFrame, key: str, order: Sequence[Column], among: Sequence[str], k: int = vocab.MAX_SOURCES) -> DataFrame:
     """I-08 with askers: a topic term and an asker term must both occur.
 

@@ -109,7 +109,8 @@ def i08b(t):
 
 
 _FOUND = {"committee": ("committees", ["name", "description"], "name", "name"), "bill": ("bills", ["title", "bill_number", "status"], "year desc nulls last", "year"),
-          "vote": ("vote_events", ["title", "chamber", "vote_type", "result"], "date desc nulls last", "date"), "politician": ("people", ["full_name", "display_name", "slug", "party"], "display_name", "display_name")}
+          "vote": ("vote_events", ["title", "chamber", "vote_type", "result"], "date desc nulls last", "date"), "politician": ("people", ["full_name", "display_name", "slug", "party"], "display_name", "display_name"),
+          "attendance": ("(select a.id, name_raw, attendance_status, m.title, m.committee_name, m.date from attendance a join meetings m on m.id = a.meeting_id)", ["name_raw", "attendance_status", "title", "committee_name"], "date desc nulls last", "date")}
 
 
 @query("I09_typed_evidence", f"with {_ASKED}, terms as (select distinct term from asked), " + ", ".join(
@@ -119,9 +120,12 @@ def i09(t):
     asked = _asked(t)
     out = None
     for kind, (tab, cols, order, col) in _FOUND.items():
-        df = getattr(t, tab)
         by = F.desc_nulls_last(col) if "desc" in order else F.col(col)
-        found = ev.newest_sources(asked, ev.term_hits(df, "id", cols, asked), df, "id", [by], among=[col])
+        if kind == "attendance":
+            found = ev.attendance_sources(asked, t.attendance, t.meetings)
+        else:
+            df = getattr(t, tab)
+            found = ev.newest_sources(asked, ev.term_hits(df, "id", cols, asked), df, "id", [by], among=[col])
         part = found.select(F.lit(kind).alias("kind"), "question_id", "id", "position")
         out = part if out is None else out.unionByName(part)
     return out
@@ -217,35 +221,88 @@ def i14b(t):
     return t.people.join(n, "id").select("id", "display_name", text.excerpt(line).alias("card"))
 
 
+def _every_term(t):
+    """All search terms of the questions, whatever they are about."""
+    return cut_lineage(t.asks.select("question_id", F.explode(F.array_distinct(ev.text.search_terms(F.col("question")))).alias("term")))
+
+
 def _routed(t):
+    """Evidence of every intent for the questions of that intent, each with its own terms."""
+    from polislake.operators.tables import top_k
+
     q = F.col("question")
-    asks = cut_lineage(t.asks.withColumn("intent", ev.intent(q)))
-    parts = []
-    asked = _asked(t)
-    for intent, (tab, cols, col, desc, date, excerpt) in {
-        "questions": (t.questions, ["title", "question_text", "answer_text", "department"], "asked_date", True, "asked_date", "department"),
-        "bills": (t.bills, ["title", "bill_number", "status"], "year", True, "year", "status"), "votes": (t.vote_events, ["title", "chamber", "vote_type", "result"], "date", True, "date", "result"),
-        "committees": (t.committees, ["name", "description"], "name", False, None, "description"), "politicians": (t.people, ["full_name", "display_name", "slug", "party"], "display_name", False, None, "full_name"),
-    }.items():
-        terms = asked if intent in ("questions", "politicians") else asked.join(asks.where(F.col("intent") == intent).select("question_id"), "question_id", "left_semi")
+    asks = cut_lineage(t.asks.withColumn("intent", ev.intent(q)).withColumn("asked_by", F.size(ev.asker_terms(q)) > 0))
+    of = lambda intent: asks.where(F.col("intent") == intent).select("question_id")
+    terms, topics = _every_term(t), _asked(t)
+    only = lambda rows, ids: rows.join(ids, "question_id", "left_semi")
+    cols = {"questions": ["title", "question_text", "answer_text", "department"], "bills": ["title", "bill_number", "status"], "votes": ["title", "chamber", "vote_type", "result"], "politicians": ["full_name", "display_name", "slug", "party"]}
+
+    def newest(wanted, corpus, kind, col, desc=True):
         by = F.desc_nulls_last(col) if desc else F.col(col)
-        found = ev.newest_sources(terms, ev.term_hits(tab, "id", cols, terms), tab, "id", [by], among=[col])
-        shown = tab.select("id", F.col("name" if intent == "committees" else "display_name" if intent == "politicians" else "title").alias("title"), (F.col(date).cast("string") if date else F.lit(None).cast("string")).alias("date"), F.col(excerpt).alias("excerpt"))
-        parts.append(cut_lineage(found.select("question_id", "id", "position")).join(shown, "id").withColumn("intent", F.lit(intent)).withColumn("id", F.col("id").cast("string")))
-    all_rows = parts[0]
-    for p in parts[1:]:
-        all_rows = all_rows.unionByName(p)
-    return asks, ev.route(asks, all_rows, parts[0])
-
-
-@query("I15_routed_evidence", rf"""with i as (select question_id, {INTENT_SQL} as intent from asks), {_ASKED}, terms as (select distinct term from asked),
-   h as (select 'questions' as intent, term, id, cast(asked_date as varchar) as o from terms join questions on contains(lower(concat_ws(chr(10), title, question_text, answer_text, department)), lower(term)) union all
-     select 'bills', term, id, cast(year as varchar) from terms join bills on contains(lower(concat_ws(chr(10), title, bill_number, status)), lower(term)) union all select 'votes', term, id, cast(date as varchar) from terms join vote_events on contains(lower(concat_ws(chr(10), title, chamber, vote_type, result)), lower(term)) union all
-     select 'committees', term, id, name from terms join committees on contains(lower(concat_ws(chr(10), name, description)), lower(term)) union all select 'politicians', term, id, display_name from terms join people on contains(lower(concat_ws(chr(10), full_name, display_name, slug, party)), lower(term))),
-   p as (select distinct question_id, h.intent, id, o from asked join h using (term)),
-   r as (select question_id, intent, id, case when intent in ('committees', 'politicians') then row_number() over (partition by question_id, intent order by o, id) else row_number() over (partition by question_id, intent order by o desc nulls last, id) end as position from p),
-   own as (select r.question_id, r.intent, id, position, 0 as part from r join i using (question_id, intent) where position <= 8), cnt as (select question_id, count(*) as n from own group by 1),
-   extra as (select r.question_id, 'politicians' as intent, id, position, 1 as part from r join i using (question_id) left join cnt using (question_id) where i.intent = 'politicians' and coalesce(n, 0) < 3 and r.intent = 'questions' and position <= 8)
+        return ev.newest_sources(wanted, ev.term_hits(corpus, "id", cols[kind], wanted), corpus, "id", [by], among=[col]).select("question_id", "id", "position")
+
+    asking = only(topics, of("questions"))
+    askers = cut_lineage(asks.where("intent = 'questions' and asked_by").select("question_id", F.explode(ev.asker_terms(q)).alias("term")))
+    by_asker = ev.question_sources(
+        only(asking, askers.select("question_id")), askers, t.questions, ev.term_hits(t.questions, "id", cols["questions"], asking), ev.term_hits(t.questions, "id", ["asked_by_name", "question_text"], askers),
+        "id", [F.desc_nulls_last("asked_date")], ["asked_date"]).select("question_id", "id", "position")
+    plain = newest(asking.join(askers.select("question_id"), "question_id", "left_anti"), t.questions, "questions", "asked_date")
+    named = cut_lineage(asks.where("intent = 'profile'").select("question_id", ev.profile_subject(q).alias("subject")).where("subject is not null"))
+    profile = named.join(ev.profile_matches(named, t.people, cut_lineage(alias_table(t.people))), "subject").select("question_id", F.col("person_id").alias("id"), F.lit(1).alias("position"))
+    party = ev.party_of_question(only(t.asks, of("parties")), t.parties)
+    members = top_k(t.people.where("party is not null").select("party", "id", "display_name"), ["party"], [F.col("display_name"), F.col("id")], vocab.MAX_SOURCES, rank="position")
+    committee = ev.committee_matches(only(t.asks, of("committees")).select("question_id", ev.committee_terms(q).alias("terms")), t.committees)
+    seats = top_k(t.memberships, ["committee_id"], [F.col("role"), F.col("politician_id")], vocab.MAX_SOURCES, rank="position")
+    found = {
+        "questions": by_asker.unionByName(plain), "bills": newest(only(terms, of("bills")), t.bills, "bills", "year"), "votes": newest(only(terms, of("votes")), t.vote_events, "votes", "date"),
+        "politicians": newest(only(terms, of("politicians")), t.people, "politicians", "display_name", False), "profile": profile,
+        "parties": party.join(members, "party").select("question_id", "id", "position"), "committees": committee.join(seats, "committee_id").select("question_id", F.col("politician_id").alias("id"), "position"),
+        "attendance": ev.attendance_sources(only(terms, of("attendance")), t.attendance, t.meetings).select("question_id", "id", "position"),
+        "hearings": only(_meeting_matches(t), of("hearings")).select("question_id", "id", F.col("rank").alias("position")),
+    }
+    person = t.people.select("id", F.col("display_name").alias("title"), F.lit(None).cast("string").alias("date"), F.concat_ws(" | ", "full_name", "party").alias("excerpt"))
+    shown = lambda df, title, date, excerpt: df.select("id", F.col(title).alias("title"), F.col(date).cast("string").alias("date"), F.col(excerpt).alias("excerpt"))
+    meet = t.meetings.select(F.col("id").alias("meeting_id"), "date", F.col("title").alias("meeting_title"))
+    rows = t.attendance.join(meet, "meeting_id").select("id", F.concat_ws(": ", "name_raw", "attendance_status").alias("title"), F.col("date").cast("string").alias("date"), F.col("meeting_title").alias("excerpt"))
+    rows = top_k(rows, ["id"], [F.col("title")], 1)
+    asked_rows = shown(t.questions, "title", "asked_date", "department")
+    card = {"questions": asked_rows, "bills": shown(t.bills, "title", "year", "status"), "votes": shown(t.vote_events, "title", "date", "result"), "attendance": rows, "hearings": shown(t.meetings, "title", "date", "committee_name")}
+    with_card = lambda intent, hits: cut_lineage(hits).join(card.get(intent, person), "id").withColumn("intent", F.lit(intent)).withColumn("id", F.col("id").cast("string"))
+    every = None
+    for intent, hits in found.items():
+        part = with_card(intent, hits)
+        every = part if every is None else every.unionByName(part)
+    fallback = with_card("questions", newest(only(terms, of("politicians")), t.questions, "questions", "asked_date"))
+    return asks.drop("asked_by"), ev.route(asks, every, fallback)
+
+
+_HAS_ANY = "contains(lower(concat_ws(chr(10), {c})), lower(term))"
+
+
+def _newest_sql(intent, tab, cols, order, terms="every"):
+    return f"""select question_id, '{intent}' as intent, id, row_number() over (partition by question_id order by {order}, id) as position from (select distinct e.question_id, x.id, x.{order.split()[0]} from {terms} e join qi using (question_id) join {tab} x on {_HAS_ANY.format(c=cols)} where qi.intent = '{intent}')"""
+
+
+@query("I15_routed_evidence", "with " + PROFILE_SQL.strip().replace("sc as (select subject", "psc as (select subject") + rf""", qi as (select question_id, question, {INTENT_SQL} as intent from asks), every as (select distinct question_id, unnest({_terms('question')}) as term from asks), {_ASKED.replace("asked as (select distinct", "t_asked as (select distinct")}, {_ASKERS}, {_MEET},
+   att as (select a.id, name_raw, attendance_status, m.title, m.committee_name, m.date from attendance a join meetings m on m.id = a.meeting_id),
+   party_of as (select question_id, short_name from (select qi.question_id, y.short_name, row_number() over (partition by qi.question_id order by length(short_name) desc, short_name) as rn from qi join parties y on regexp_matches(lower(question), '\b' || lower(short_name) || '\b') where intent = 'parties') where rn = 1),
+   seat_terms as (select question_id, list_sort(list_distinct(case when len(k) > 0 then k[1:8] else [c] end)) as ts from (select question_id, c, list_filter(regexp_extract_all(lower(c), '[a-zA-Z][a-zA-Z0-9+-]{{2,}}'), lambda w: w not in ({_STOP})) as k from
+     (select question_id, trim(regexp_replace(regexp_replace(question, '\b(who|which|mps?|members?|sits?|serves?|served|serve|on|the|committee|committees|of)\b', ' ', 'gi'), '\s+', ' ', 'g')) as c from qi where intent = 'committees'))),
+   seat_names as (select id, list_filter(list_transform(regexp_extract_all(name, '[A-Za-z][A-Za-z''-]*'), lambda w: lower(w)), lambda w: length(w) > 1) as tok from committees),
+   seat_of as (select question_id, id from (select question_id, id, row_number() over (partition by question_id order by case when list_has_all(tok, ts) then 100 else 70 end desc, id) as rn from seat_terms join seat_names on list_has_any(tok, ts)) where rn = 1),
+   q_plain as (select question_id, 'questions' as intent, id, row_number() over (partition by question_id order by asked_date desc nulls last, id) as position from (select distinct a.question_id, x.id, x.asked_date from t_asked a join qi using (question_id) join questions x on {_HAS_ANY.format(c="title, question_text, answer_text, department")}
+     where qi.intent = 'questions' and not exists (select 1 from askers s where s.question_id = a.question_id))),
+   q_by as (select question_id, 'questions' as intent, id, row_number() over (partition by question_id order by asked_date desc nulls last, id) as position from (select distinct a.question_id, x.id, x.asked_date from t_asked a join qi using (question_id) join askers s using (question_id)
+     join questions x on {_HAS_ANY.format(c="title, question_text, answer_text, department")} and contains(lower(concat_ws(chr(10), asked_by_name, question_text)), lower(s.asker)) where qi.intent = 'questions')),
+   found as (select * from q_plain union all select * from q_by union all {_newest_sql("bills", "bills", "title, bill_number, x.status", "year desc nulls last")} union all {_newest_sql("votes", "vote_events", "title, chamber, vote_type, result", "date desc nulls last")}
+     union all {_newest_sql("politicians", "people", "full_name, display_name, slug, party", "display_name")} union all {_newest_sql("attendance", "att", "name_raw, attendance_status, title, committee_name", "date desc nulls last")}
+     union all select question_id, 'hearings', mt.id, rank from mt join qi using (question_id) where intent = 'hearings'
+     union all select question_id, 'parties', p.id, row_number() over (partition by question_id order by display_name, p.id) from party_of y join people p on p.party = y.short_name
+     union all select question_id, 'committees', politician_id, row_number() over (partition by question_id order by role, politician_id) from seat_of s join memberships m on m.committee_id = s.id
+     union all select question_id, 'profile', id, 1 from (select qi.question_id, psc.id, row_number() over (partition by qi.question_id order by psc.score desc, psc.id) as rn from qi join psc on psc.subject = trim(regexp_replace(regexp_replace(question, '^Who is ', ''), '\?$', '')) where intent = 'profile' and psc.score >= 50) where rn = 1),
+   own as (select question_id, intent, id, position, 0 as part from found where position <= 8), cnt as (select question_id, count(*) as n from own group by 1),
+   more as ({_newest_sql("politicians", "questions", "title, question_text, answer_text, department", "asked_date desc nulls last")}),
+   extra as (select m.question_id, m.intent, m.id, m.position, 1 as part from more m left join cnt using (question_id) where coalesce(n, 0) < 3 and position <= 8)
    select question_id, intent, cast(id as varchar) as id, rank from (select *, row_number() over (partition by question_id order by part, position) as rank from (select * from own union all select * from extra)) where rank <= 8""")
 def i15(t):
     return _routed(t)[1].select("question_id", "intent", "id", "rank")
