@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import annotate, pick
+from polislake.llm.common import annotate, lowest, pick, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)
@@ -403,10 +403,10 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
                         labels.append(written([(s - start, k, e - start) for s, k, e in near]))
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.string())], ["window", "spans"])
 
-    made = texts.select("_text", "_spans").mapInArrow(cut, "window string, spans string")
+    made = stored(texts.select("_text", "_spans").mapInArrow(cut, "window string, spans string"), "windows")
     rows = []
     for some in (F.col("spans") != "", F.col("spans") == ""):
-        rows += made.filter(some).orderBy(F.xxhash64("window"), "window", "spans").limit(max_windows).collect()
+        rows += lowest(made.filter(some), max_windows, "window").collect()
     rng = np.random.default_rng(1)
     texts_, tags = [], []
     labelled = [(r["window"], [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]) for r in rows]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polislake.llm import words
-from polislake.llm.common import annotate, pick
+from polislake.llm.common import annotate, lowest, pick
 
 MAX_LINES = 64
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     half = max_labelled // 2
     chosen = None
     for kind in (0, 1):
-        part = known.filter(F.col("_label") == kind).orderBy(F.xxhash64("_id"), "_id").limit(half)
+        part = lowest(known.filter(F.col("_label") == kind), half, "_id")
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = texts.join(chosen.select("_id"), "_id", "left_semi").mapInArrow(lines, "_id bigint, lines array<float>").join(chosen, "_id").orderBy("_id", "lines").limit(2 * max_labelled).collect()
     if {r["_label"] for r in rows} != {0, 1}:

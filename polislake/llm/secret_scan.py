@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import LOWER, UPPER, bind, pick, stored
+from polislake.llm.common import LOWER, UPPER, bind, lowest, pick, stored
 
 CANDIDATE = r"[A-Za-z0-9+/_-]"
 # Words that announce a secret, and path parts of examples and tests.
@@ -128,7 +128,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     else:
         given = pick(findings, _fid=(id_col, "bigint"), _at=("start", "bigint"), _label=("label", "double"))
         labelled = rows.join(given, (rows["_row"]["_id"] == given["_fid"]) & (rows["start"] == given["_at"]))
-    sample = labelled.filter("_label is not null").select(*FEATURES, "_label", "_key").orderBy(F.xxhash64("_key"), *FEATURES).limit(max_labelled)
+    sample = lowest(labelled.filter("_label is not null").select(*FEATURES, "_label", "_key"), max_labelled, "_key")
     sample = stored(sample.coalesce(1), "labelled")
     kinds = {r[0] for r in sample.select("_label").distinct().limit(3).collect()}
     rows = rows.select("_key", F.col("_row._id").alias("_id"), "start", F.col("length").cast("bigint").alias("length"), *[c for c in FEATURES if c != "length"], F.col("length").alias("_length"))

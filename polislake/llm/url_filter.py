@@ -30,7 +30,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import bind, lower_ascii, pick, stored
+from polislake.llm.common import bind, lower_ascii, lowest, pick, stored
 
 #: Path segments beyond this depth, and host labels beyond it, share tokens: a labelled URL has at most MAX_TOKENS.
 DEPTH, MAX_TOKENS = 4, 10
@@ -66,7 +66,7 @@ def listed(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str, s
 
 def mine(labelled: DataFrame, support: float, confidence: float, max_labelled: int) -> DataFrame:
     """``(rule_id, tokens, verdict, confidence, support)`` mined from ``(_tokens, _label)``."""
-    sample = labelled.filter(F.size("_tokens") > 0).orderBy(F.xxhash64("_tokens"), "_tokens", "_label").limit(max_labelled)
+    sample = lowest(labelled.filter(F.size("_tokens") > 0), max_labelled, "_tokens")
     items = sample.select(F.concat(F.slice("_tokens", 1, MAX_TOKENS), F.array(F.concat(F.lit("label:"), F.col("_label")))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
     found = found.filter(F.startswith(F.col("consequent")[0], F.lit("label:")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label:"))))
