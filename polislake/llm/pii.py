@@ -7,16 +7,19 @@ decoded with Viterbi over its BIO tags, and the windows' spans are reconciled
 over the whole text: spans of one kind that overlap are joined, of different
 kinds the surer one stays, and base spans always stay.
 
-A span of any kind must hold a digit or an ``@`` (spans that don't are no
-personal data of these kinds and would be dropped), so windows without either
-cannot add one and are not decoded. Texts are read where they lie and never
-shuffled; windows go through the network in batches of bounded size.
+What ``plausible`` accepts holds a digit, an ``@`` or the lone word ``at`` (any
+case). So the windows that touch one of these are decoded, then every window
+that touches a span found so far, until there are no more: a window left out
+could only add spans that are dropped, and the result is that of decoding all
+windows of the text. Texts are read where they lie and never shuffled; windows
+go through the network in batches of bounded size.
 
 Without given labels the base spans of a bounded sample of documents
 (``max_windows`` windows of either kind, lowest hashes first) are the labelled
 spans, together with other ways of writing them (spaced or spelled-out ``@``,
-phone numbers without a country code, cards in dotted groups) and one right
-after the other, where the base patterns run into each other.
+addresses without their digits, phone numbers without a country code, cards in
+dotted groups) and one right after the other, where the base patterns run into
+each other.
 
 Defined cases: a null text counts as empty and has no spans; a sample without
 labelled spans trains nothing and the base decides alone; rows that share an id
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,12 @@ from polislake.llm.common import annotate, lowest, pick, stored
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)
 WIDTH, STEP, BATCH = 64, 32, 512
-_ANCHOR = re.compile(r"[0-9@]")
+_BASE_ANCHOR = re.compile(r"[0-9@]")
+# What every span that plausible() accepts holds, and the other digits that reconcile() may start from to reach one.
+_OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
+_ANCHOR = re.compile(rf"[0-9@{_OTHER_DIGITS}]|(?i:(?<=\W)at(?=\W))")
+# The same for Spark, without the other digits: its ``\W`` takes in Python's.
+_ANCHOR_SQL = r"[0-9@]|(?i)[^A-Za-z0-9_]at[^A-Za-z0-9_]"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match always begins at the first digit of a run, so the runs' other digits need not be tried.
@@ -79,7 +88,7 @@ def _emails(text: str) -> list[Span]:
 
 def base_spans(text: str) -> list[Span]:
     """The spans of the base patterns by start, then kind."""
-    if not _ANCHOR.search(text):
+    if not _BASE_ANCHOR.search(text):
         return []
     out = _emails(text)
     if _DIGITS.search(text):
@@ -252,12 +261,16 @@ class Tagger:
 
 
 def _windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an ``@``."""
-    at = set()
+    """Starts of the windows that touch an anchor."""
+    at: set[int] = set()
     for m in _ANCHOR.finditer(text):
-        k = m.start() // STEP
-        at.update((k, k - 1))
-    return [k * STEP for k in sorted(at) if k >= 0]
+        at.update(_touching(m.start(), m.end()))
+    return sorted(at)
+
+
+def _touching(start: int, end: int) -> range:
+    """Starts of the windows that share a character with a place."""
+    return range(max(0, start // STEP - WIDTH // STEP + 1) * STEP, (end - 1) // STEP * STEP + 1, STEP)
 
 
 def _cut(codes: np.ndarray, start: int) -> np.ndarray:
@@ -306,13 +319,16 @@ def find(texts: list[str], model: Tagger | None, sure: float = 0.8) -> tuple[lis
         return base, base
     found: list[list] = [[] for _ in texts]
     waiting: list[tuple[int, int, np.ndarray]] = []
+    codes: dict[int, np.ndarray] = {}
+    seen: dict[int, set[int]] = {}
+    touched: list[tuple[int, int]] = []
 
     def flush() -> None:
         if not waiting:
             return
         tags, soft = model.decode(np.stack([w for _, _, w in waiting]))
         for (at, start, _), row, p in zip(waiting, tags, soft, strict=True):
-            some = np.flatnonzero(row)
+            some = np.flatnonzero(row[: len(texts[at]) - start])
             i = 0
             while i < len(some):
                 kind, j = (row[some[i]] - 1) // 2, i + 1
@@ -320,28 +336,46 @@ def find(texts: list[str], model: Tagger | None, sure: float = 0.8) -> tuple[lis
                     j += 1
                 a, b = int(some[i]), int(some[j - 1]) + 1
                 found[at].append((start + a, int(kind), start + b, float(p[a:b].mean())))
+                touched.extend((at, k) for k in _touching(start + a, start + b))
                 i = j
         waiting.clear()
 
-    for at, text in enumerate(texts):
-        if not _ANCHOR.search(text):
-            continue
-        codes = encode(text)
-        for start in _windows(text):
-            waiting.append((at, start, _cut(codes, start)))
+    def add(at: int, start: int) -> None:
+        if start not in seen[at]:
+            seen[at].add(start)
+            waiting.append((at, start, _cut(codes[at], start)))
             if len(waiting) == BATCH:
                 flush()
+
+    for at, text in enumerate(texts):
+        if starts := _windows(text):
+            codes[at], seen[at] = encode(text), set()
+            for start in starts:
+                add(at, start)
     flush()
+    while touched:
+        more, touched[:] = list(touched), []
+        for at, start in more:
+            add(at, start)
+        flush()
     return base, [reconcile(f, b, t, sure) if f else b for f, b, t in zip(found, base, texts, strict=True)]
 
 
-def _rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
-    """A window with its spans written in another way."""
+def _bare(address: str, rng: np.random.Generator) -> str:
+    """An address without digits: dropped or letters for them; in half of the cases without its first domain labels."""
+    letters = "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(2, 8)))
+    a, _, b = (re.sub("[0-9]+", letters, address) if rng.integers(2) else re.sub(r"[._%+-]*[0-9]+", "", address)).partition("@")
+    labels = [x for x in b.split(".") if x]
+    return f"{a.strip('.') or 'name'}@{'.'.join(labels[-2:] if rng.integers(2) else labels)}"
+
+
+def _rewritten(text: str, spans: list[Span], rng: np.random.Generator, bare: bool = False) -> tuple[str, list[Span]]:
+    """A window with its spans written in another way, addresses also without digits."""
     out, marks, last = [], [], 0
     for s, k, e in spans:
         piece = text[s:e]
         if k == 0:
-            a, _, b = piece.partition("@")
+            a, _, b = (_bare(piece, rng) if bare else piece).partition("@")
             piece = [f"{a} @ {b}", f"{a}(at){b}", f"{a} [at] {b.replace('.', ' [dot] ')}", f"{a} at {b.replace('.', ' dot ')}"][rng.integers(4)]
         else:
             digits = "".join(_DIGITS.findall(piece))
@@ -376,7 +410,7 @@ def _joined(text: str, spans: list[Span], pieces: list[tuple[int, str]], rng: np
 
 def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_windows: int = 400, epochs: int = 20) -> Tagger | None:
     """A tagger from labelled spans ``(id, kind, start, end)``, or from the base spans of a sample."""
-    texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string")).filter(F.regexp_like("_text", F.lit("[0-9@]")))
+    texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string")).filter(F.regexp_like("_text", F.lit(_ANCHOR_SQL)))
     if spans is not None:
         given = pick(spans, _sid=(id_col, "bigint"), _kind=("kind", "string"), _start=("start", "bigint"), _end=("end", "bigint"))
         given = given.groupBy("_sid").agg(F.collect_set(F.struct("_start", "_kind", "_end")).alias("_spans"))
@@ -413,6 +447,8 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
     pieces = [(k, w[s:e]) for w, known in labelled for s, k, e in known]
     for window, known in labelled:
         more = [_rewritten(window, known, rng), _joined(window, known, pieces, rng)] if known else []
+        if any(k == 0 for _, k, _ in known):
+            more += [_rewritten(window, known, rng, bare=True) for _ in range(3)]
         for text, marks in [(window, known), *more]:
             texts_.append(_cut(encode(text), 0))
             tags.append(_tags(WIDTH, marks))
