@@ -47,10 +47,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+#: Keys that providers mark, whole values.
+PROVIDER_KEYS = r"^((?i:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|[srp]k_(live|test)_[A-Za-z0-9]{16,}|sk-(?=.*[0-9])[\w-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,})$"
+#: A key word, then ``=`` or ``:``, then nothing but quotes before the value.
+ASSIGNMENT = r"(?i)(passw(or)?d|passwd|pwd|token|secret|api[_-]?key|credential|private[_-]?key|access[_-]?key)[\w-]*[\"'`\])]*\s*[=:][=:>]*\s*[\"'`]*$"
+#: Letters and digits mixed in one run, as in keys and digests.
+MIXED = r"(?=[A-Za-z0-9+]*[0-9])(?=[A-Za-z0-9+]*[A-Za-z])[A-Za-z0-9+]{16,}"
+
+
 def known_format() -> Column:
-    """Labels of candidates in a known format: provider keys and assigned hex strings; others are words."""
-    assigned = F.regexp_like(F.concat_ws(" ", "before", "word"), F.lit(r"(?i)(passw(or)?d|token|secret|api_?key)\s*=")) & F.regexp_like("value", F.lit("^[0-9a-f]{16,}$"))
-    return (F.regexp_like("value", F.lit("^AKIA[0-9A-Z]{16}$")) | assigned).cast("int")
+    """Labels of candidates: 1 for provider keys and assigned hex strings of any case, null where the form does not
+    tell (other assigned values, mixed letters and digits), 0 for the rest, words and plain numbers."""
+    assigned = F.regexp_like(F.concat_ws(" ", "before", F.call_function("substring_index", F.col("word"), F.col("value"), F.lit(1))), F.lit(ASSIGNMENT))
+    secret = F.regexp_like("value", F.lit(PROVIDER_KEYS)) | (assigned & F.regexp_like("value", F.lit("(?i)^[0-9a-f]{16,}$")))
+    unknown = assigned | F.regexp_like("value", F.lit(MIXED))
+    return F.when(secret, 1).when(~unknown, 0)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
