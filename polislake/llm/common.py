@@ -60,8 +60,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lowest(df: DataFrame, n: int, *key: Column | str) -> DataFrame:
-    """At most ``n`` rows, those of the lowest key hashes.
+def lowest(df: DataFrame, n: int, *key: Column | str, distinct: bool = False) -> DataFrame:
+    """``n`` rows or all, those of the lowest key hashes; with ``distinct``, equal rows count once.
+
+    The key must tell rows apart: rows of one key enter or leave together.
 
     Rows whose hash cannot be among them are dropped before anything is
     sorted, so what tasks hand on stays near ``n`` rows in all, whatever their
@@ -69,8 +71,14 @@ def lowest(df: DataFrame, n: int, *key: Column | str) -> DataFrame:
     """
     h = F.xxhash64(*key)
     total = df.count()
-    if total > 8 * n:
-        df = df.filter(h < int((8 * n / total - 1) * 2**63))
+    share, every = 8 * n / max(total, 1), df.distinct() if distinct else df
+    df = every
+    while share < 1:
+        df = every.filter(h < int((2 * share - 1) * 2**63))
+        if df.limit(n).count() == n:
+            break
+        # Keys that many rows share, or distinct rows that are few: the bound was too low.
+        df, share = every, 8 * share
     return df.orderBy(h, *df.columns).limit(n)
 
 

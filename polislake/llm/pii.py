@@ -15,7 +15,8 @@ windows of the text. Texts are read where they lie and never shuffled; windows
 go through the network in batches of bounded size.
 
 Without given labels the base spans of a bounded sample of documents
-(``max_windows`` windows of either kind, lowest hashes first) are the labelled
+(``max_windows`` windows of either kind, lowest hashes of document and place
+first, repeated rows once) are the labelled
 spans, together with other ways of writing them (spaced or spelled-out ``@``,
 addresses without their digits, phone numbers without a country code, cards in
 dotted groups) and one right after the other, where the base patterns run into
@@ -420,8 +421,8 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
 
     def cut(batches):
         for batch in batches:
-            windows, labels = [], []
-            for text, marks in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            ids, starts, windows, labels = [], [], [], []
+            for key, text, marks in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 known = base_spans(text) if marks is None else sorted((int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in marks))
                 i = 0
                 for start in _windows(text):
@@ -433,14 +434,16 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
                         j += 1
                     # A window that cuts a span in two is left to its neighbour.
                     if all(s >= start and e <= start + WIDTH for s, _, e in near) and all(a[2] <= b[0] for a, b in zip(near, near[1:], strict=False)):
+                        ids.append(key)
+                        starts.append(start)
                         windows.append(text[start : start + WIDTH])
                         labels.append(written([(s - start, k, e - start) for s, k, e in near]))
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.string())], ["window", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(windows, pa.string()), pa.array(labels, pa.string())], ["id", "start", "window", "spans"])
 
-    made = stored(texts.select("_text", "_spans").mapInArrow(cut, "window string, spans string"), "windows")
+    made = stored(texts.select("_id", "_text", "_spans").mapInArrow(cut, "id bigint, start bigint, window string, spans string"), "windows")
     rows = []
     for some in (F.col("spans") != "", F.col("spans") == ""):
-        rows += lowest(made.filter(some), max_windows, "window").collect()
+        rows += lowest(made.filter(some), max_windows, "id", "start", "window", distinct=True).collect()
     rng = np.random.default_rng(1)
     texts_, tags = [], []
     labelled = [(r["window"], [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]) for r in rows]

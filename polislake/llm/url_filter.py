@@ -13,7 +13,8 @@ The number of mined rules is bounded whatever the input: with at most
 the size of the rule table.
 
 Only DataFrame functions and Spark ML are used. The classifier is fitted on a
-bounded sample of labelled URLs (``max_labelled`` rows, lowest hashes first).
+bounded sample of labelled URLs: equal token sets of a label are counted, and
+each gets its share of about ``max_labelled`` rows, fractions by its hash.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 no tokens, is fitted by no rule, and is allowed; a URL that no mined rule
@@ -30,7 +31,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import bind, lower_ascii, lowest, pick, stored
+from polislake.llm.common import bind, lower_ascii, pick, stored
 
 #: Path segments beyond this depth, and host labels beyond it, share tokens: a labelled URL has at most MAX_TOKENS.
 DEPTH, MAX_TOKENS = 4, 10
@@ -64,9 +65,19 @@ def listed(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str, s
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def sampled(labelled: DataFrame, n: int) -> DataFrame:
+    """All rows of ``(_tokens, _label)``, or about ``n`` of them: every token set of a label in proportion to its rows."""
+    held = stored(labelled.groupBy("_tokens", "_label").agg(F.count("*").alias("n")), "labelled")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    share = F.col("n") * min(1.0, n / max(total, 1))
+    # The fraction left is one row more or none, by a hash of the content in [0, 1).
+    extra = (F.xxhash64("_tokens", "_label") / F.lit(2.0**64) + 0.5 < share - F.floor(share)).cast("bigint")
+    return held.select("_tokens", "_label", F.explode(F.array_repeat(F.lit(1), (F.floor(share) + extra).cast("int"))).alias("_copy")).drop("_copy")
+
+
 def mine(labelled: DataFrame, support: float, confidence: float, max_labelled: int) -> DataFrame:
     """``(rule_id, tokens, verdict, confidence, support)`` mined from ``(_tokens, _label)``."""
-    sample = lowest(labelled.filter(F.size("_tokens") > 0), max_labelled, "_tokens")
+    sample = sampled(labelled.filter(F.size("_tokens") > 0), max_labelled)
     items = sample.select(F.concat(F.slice("_tokens", 1, MAX_TOKENS), F.array(F.concat(F.lit("label:"), F.col("_label")))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
     found = found.filter(F.startswith(F.col("consequent")[0], F.lit("label:")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label:"))))
