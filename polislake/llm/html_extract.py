@@ -1,11 +1,13 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of block elements; inline elements count as tags of the
-block around them. A node's composite density weighs its characters per tag by
+block around them, and each run of bare text beside child blocks is a block of
+its own. A node's composite density weighs its characters per tag by
 how much of it is links, as compared with the whole body. The subtree with the
 largest sum of child densities is the main text; the least density on its path
 to the body is the threshold, and further subtrees that reach it are kept too,
-each again by its largest sum. Menus, headers, footers, sidebars, forms,
+each again by its largest sum; so is bare text that the article around the main
+text holds itself. Menus, headers, footers, sidebars, forms,
 scripts, comments of readers, notices and adverts are cut before anything is
 counted.
 
@@ -51,6 +53,10 @@ _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: The name of a run of bare text.
+TEXT = "#text"
+
+
 class Node:
     """A block element: its parts in order, texts and nodes, and what was counted in it."""
 
@@ -101,11 +107,17 @@ def parse(html: str) -> Node:
         while len(stack) > lowest:
             pop()
 
+    def run() -> Node:
+        parts = nodes[-1].parts
+        if not parts or parts[-1].name != TEXT:
+            parts.append(Node(TEXT))
+        return parts[-1]
+
     def text(piece: str) -> None:
         if piece and not cuts:
-            nodes[-1].parts.append(unescape(piece) if "&" in piece else piece)
+            run().parts.append(unescape(piece) if "&" in piece else piece)
             if links:
-                nodes[-1].link_chars += len("".join(piece.split()))
+                run().link_chars += len("".join(piece.split()))
 
     while m := _TAG.search(html, at):
         text(html[at : m.start()])
@@ -121,15 +133,17 @@ def parse(html: str) -> Node:
                     pop()
                 pop()
             elif name == "br" and not cuts:
-                nodes[-1].parts.append(" ")
+                run().parts.append(" ")
             continue
         if name in VOID:
             if not cuts:
-                nodes[-1].tags += 1
                 if name == "hr":
+                    nodes[-1].tags += 1
                     nodes[-1].parts.append(Node("hr"))
-                elif name in ("br", "wbr"):
-                    nodes[-1].parts.append(" " if name == "br" else "")
+                else:
+                    run().tags += 1
+                    if name == "br":
+                        run().parts.append(" ")
             continue
         if name in CLOSES_P | CUT and opened.get("p"):
             close({"p"}, SCOPES)
@@ -149,16 +163,30 @@ def parse(html: str) -> Node:
                 nodes[-1].parts.append(node)
                 nodes.append(node)
             else:
-                nodes[-1].tags += 1
-                nodes[-1].link_tags += name == "a"
+                run().tags += 1
+                run().link_tags += name == "a"
         link = name == "a"
         stack.append((name, node, cut, link))
         opened[name] = opened.get(name, 0) + 1
         cuts, links = cuts + cut, links + link
     text(html[at:])
+    for node in _order(root):
+        _settle(node)
     return root
 
 
+def _settle(node: Node) -> None:
+    """Runs without characters, and the only run of a block without child blocks, are no nodes of their own."""
+    blocks, parts = any(c.name != TEXT for c in node.children()), []
+    for part in node.parts:
+        if not isinstance(part, Node) or part.name != TEXT or (blocks and any(x.strip() for x in part.parts)):
+            parts.append(part)
+            continue
+        parts += part.parts
+        node.tags, node.link_tags, node.link_chars = node.tags + part.tags, node.link_tags + part.link_tags, node.link_chars + part.link_chars
+    node.parts = parts
+
+
 def _order(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -175,7 +203,7 @@ def measure(root: Node) -> list[Node]:
         for child in node.children():
             node.chars += child.chars
             node.link_chars += child.link_chars
-            node.tags += child.tags + 1
+            node.tags += child.tags + (child.name != TEXT)
             node.link_tags += child.link_tags
     whole = root.link_chars / max(root.chars, 1)
     for node in reversed(nodes):
@@ -185,9 +213,6 @@ def measure(root: Node) -> list[Node]:
             node.density = c / t * log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / base if lc else c / t * log(max(c * t, e)) / base
         children = node.children()
         node.total = sum(x.density for x in children) or node.density
-        # Text beside the child blocks is a child of its own.
-        if children and (own := c - sum(x.chars for x in children)) > 0:
-            node.total += own / max(node.tags - sum(x.tags + 1 for x in children), 1)
     return nodes
 
 
@@ -234,6 +259,8 @@ def main_text(html: str | None) -> str:
     threshold = min([n.density for n in [*path, root]])
     marked: list[Node] = []
     inside = {id(n) for n in path} | {id(root)}
+    around = next((i + 1 for i, n in enumerate(path) if n.name == "article"), 0)
+    article = {id(n) for n in path[:around]}
     todo = [root]
     while todo:
         node = todo.pop()
@@ -241,7 +268,7 @@ def main_text(html: str | None) -> str:
             marked.append(node)
         elif id(node) in inside:
             todo.extend(reversed(node.children()))
-        elif node.chars and node.density >= threshold:
+        elif node.chars and (node.density >= threshold or (node.name == TEXT and id(parent[id(node)]) in article)):
             marked.append(_best(node))
     return "\n".join(b for n in marked for b in _blocks(n))
 
