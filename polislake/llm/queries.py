@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polislake.llm import chat_format, decontaminate, html_extract, line_dedup, packing, pii, quality_rules, secret_scan, url_filter
+from polislake.llm import chat_format, decontaminate, html_extract, line_dedup, packing, pii, prefix_trie, quality_rules, secret_scan, structure_repair, toxicity, url_filter
 from polislake.llm.common import table
 from polislake.llm.near_dedup import near_duplicates
 
@@ -106,6 +106,29 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"_n_{k}").alias(f"n_{k}") for k in pii.KINDS], F.col("_base_sha256").alias("base_sha256"), F.col("_spans").alias("spans"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all prefixes of the rebuilt conversations."""
+    turns = prefix_trie.turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.grafted(turns))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation after damage."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = structure_repair.repaired(structure_repair.damaged(structure_repair.rows_of(chats)))
+    return fixed.toDF("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and toxic places of every document; the labels of one fifth of the ids are held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out))
+    found = toxicity.find_toxic(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_toxic_spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_secret_scan, op3_html_extraction, op4_quality_rules, op5_line_dedup, op6_url_filter, op7_chat_format, op8_pii, op9_best_fit_packing, op10_benchmark_decontamination)}
-ORACLE |= {"op5_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE}
+    op1_minhash_near_dedup, op2_secret_scan, op3_html_extraction, op4_quality_rules, op5_line_dedup, op6_url_filter, op7_chat_format, op8_pii, op9_best_fit_packing, op10_benchmark_decontamination,
+    op11_conversation_prefix_trie, op12_conversation_repair, op13_toxicity)}
+ORACLE |= {"op5_line_dedup": line_dedup.ORACLE, "op7_chat_format": chat_format.ORACLE, "op11_conversation_prefix_trie": prefix_trie.ORACLE, "op12_conversation_repair": structure_repair.ORACLE}
