@@ -137,10 +137,10 @@ def _chain(batches):
             if waiting is not None:
                 rows.append((*waiting, c != conv))
             if c != conv:
-                conv, depth, digest = c, 0, ROOT.tobytes()
+                conv, depth, digest, size = c, 0, ROOT.tobytes(), 0
             else:
                 depth, digest = depth + 1, hashlib.blake2b(digest + key, digest_size=16).digest()
-            waiting = (conv, depth, digest, size or 0)
+            waiting = (conv, depth, digest, size)
         if rows:
             yield batch(rows)
     if waiting is not None:
