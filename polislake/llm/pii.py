@@ -7,20 +7,22 @@ decoded with Viterbi over its BIO tags, and the windows' spans are reconciled
 over the whole text: spans of one kind that overlap are joined, of different
 kinds the surer one stays, and base spans always stay.
 
-What ``plausible`` accepts holds a digit, an ``@`` or the lone word ``at`` (any
-case). So the windows that touch one of these are decoded, then every window
-that touches a span found so far, until there are no more: a window left out
-could only add spans that are dropped, and the result is that of decoding all
-windows of the text. Texts are read where they lie and never shuffled; windows
-go through the network in batches of bounded size.
-
-Without given labels the base spans of a bounded sample of documents
-(``max_windows`` windows of either kind, lowest hashes of document and place
-first, repeated rows once) are the labelled
-spans, together with other ways of writing them (spaced or spelled-out ``@``,
-addresses without their digits, phone numbers without a country code, cards in
-dotted groups) and one right after the other, where the base patterns run into
-each other.
+What ``plausible`` accepts holds a place that ``anchors`` finds: the core of an
+address with ``@``, ``(at)``, ``[at]`` or ``at`` and a dotted domain, or the
+digits of a stretch without letters that are enough for a number. So the windows
+that touch one of these are decoded, then every window that touches a span found
+so far, until there are no more: a window left out could only add spans that are
+dropped, and the result is that of decoding all windows of the text. Texts are
+read where they lie and never shuffled; windows go through the network in
+batches of bounded size.
+
+Without given labels the base spans of a bounded sample of documents are the
+labelled spans: documents in the order of a hash of id and text, as many as give
+``max_windows`` windows with a span and as many without (or all documents),
+repeated rows once. Other ways of writing the spans join them (spaced or
+spelled-out ``@``, addresses without their digits, phone numbers without a
+country code, cards in dotted groups), and one right after the other, where the
+base patterns run into each other.
 
 Defined cases: a null text counts as empty and has no spans; a sample without
 labelled spans trains nothing and the base decides alone; rows that share an id
@@ -45,11 +47,16 @@ KINDS = ["email", "ip", "card", "phone"]
 TAGS = 1 + 2 * len(KINDS)
 WIDTH, STEP, BATCH = 64, 32, 512
 _BASE_ANCHOR = re.compile(r"[0-9@]")
-# What every span that plausible() accepts holds, and the other digits that reconcile() may start from to reach one.
-_OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
-_ANCHOR = re.compile(rf"[0-9@{_OTHER_DIGITS}]|(?i:(?<=\W)at(?=\W))")
-# The same for Spark, without the other digits: its ``\W`` takes in Python's.
-_ANCHOR_SQL = r"[0-9@]|(?i)[^A-Za-z0-9_]at[^A-Za-z0-9_]"
+# A label of a domain is joined to the next by one of these.
+_JOIN = r"(?:\.|\s*[\[(][dD][oO][tT][\])]\s*|\s+[dD][oO][tT]\s+)"
+_ADDRESS = re.compile(rf"[\w.%+-]+\s*(?:@|[(\[][aA][tT][)\]]|\s[aA][tT]\s)\s*[\w-]+(?:{_JOIN}[\w-]+)+")
+# The core of every address: behind its local part.
+_CORES = [re.compile(rf"{sign}\s*[\w-]+{_JOIN}[\w-]") for sign in ("@", r"[aA][tT][\s)\]]")]
+# All from the first to the last digit of a stretch without letters, and the other digits that reconcile() may start from to reach one.
+_STRETCH = re.compile(r"[0-9](?:[^A-Za-z]*[0-9])?")
+_OTHER_DIGITS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
+# Where training looks for windows, a wider choice.
+_SOME = re.compile(r"[0-9@]|(?i:(?<=\W)at(?=\W))")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match always begins at the first digit of a run, so the runs' other digits need not be tried.
@@ -114,7 +121,7 @@ def plausible(kind: int, piece: str) -> bool:
     """What an added span of a kind must look like at least."""
     digits = len(_DIGITS.findall(piece))
     if kind == 0:
-        return "@" in piece and "." in piece and piece.count("@") == 1 or bool(re.search(r"(?i)\W(at|@)\W.*(\.|\Wdot\W)", piece))
+        return bool(_ADDRESS.fullmatch(piece))
     if kind == 1:
         groups = re.findall("[0-9]+", piece)
         return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and not re.search(r"[A-Za-z]", piece)
@@ -261,11 +268,23 @@ class Tagger:
         return tags, np.take_along_axis(soft, tags[:, :, None], 2)[:, :, 0]
 
 
-def _windows(text: str) -> list[int]:
-    """Starts of the windows that touch an anchor."""
+def anchors(text: str) -> list[tuple[int, int]]:
+    """Places one of which every plausible span shares a character with."""
+    at = [m.span() for core in _CORES for m in core.finditer(text)] if "." in text or "dot" in text.lower() else []
+    if _DIGITS.search(text):
+        for m in _STRETCH.finditer(text):
+            if m.end() - m.start() >= 7 and (len(_DIGITS.findall(m[0])) >= 9 or len(re.findall("[0-9]+", m[0])) >= 4):
+                at.append(m.span())
+    if not text.isascii() and (found := _OTHER_DIGITS.intersection(set(text))):
+        at += [(i, i + 1) for i, c in enumerate(text) if c in found]
+    return at
+
+
+def _windows(places: list[tuple[int, int]]) -> list[int]:
+    """Starts of the windows that touch one of the places."""
     at: set[int] = set()
-    for m in _ANCHOR.finditer(text):
-        at.update(_touching(m.start(), m.end()))
+    for start, end in places:
+        at.update(_touching(start, end))
     return sorted(at)
 
 
@@ -349,7 +368,7 @@ def find(texts: list[str], model: Tagger | None, sure: float = 0.8) -> tuple[lis
                 flush()
 
     for at, text in enumerate(texts):
-        if starts := _windows(text):
+        if starts := _windows(anchors(text)):
             codes[at], seen[at] = encode(text), set()
             for start in starts:
                 add(at, start)
@@ -411,7 +430,7 @@ def _joined(text: str, spans: list[Span], pieces: list[tuple[int, str]], rng: np
 
 def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_windows: int = 400, epochs: int = 20) -> Tagger | None:
     """A tagger from labelled spans ``(id, kind, start, end)``, or from the base spans of a sample."""
-    texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string")).filter(F.regexp_like("_text", F.lit(_ANCHOR_SQL)))
+    texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
     if spans is not None:
         given = pick(spans, _sid=(id_col, "bigint"), _kind=("kind", "string"), _start=("start", "bigint"), _end=("end", "bigint"))
         given = given.groupBy("_sid").agg(F.collect_set(F.struct("_start", "_kind", "_end")).alias("_spans"))
@@ -423,9 +442,10 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
         for batch in batches:
             ids, starts, windows, labels = [], [], [], []
             for key, text, marks in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                text = text or ""
                 known = base_spans(text) if marks is None else sorted((int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in marks))
                 i = 0
-                for start in _windows(text):
+                for start in _windows([m.span() for m in _SOME.finditer(text)]):
                     while i < len(known) and known[i][2] <= start:
                         i += 1
                     near, j = [], i
@@ -440,10 +460,16 @@ def train(docs: DataFrame, spans: DataFrame | None = None, id_col: str = "doc_id
                         labels.append(written([(s - start, k, e - start) for s, k, e in near]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(windows, pa.string()), pa.array(labels, pa.string())], ["id", "start", "window", "spans"])
 
-    made = stored(texts.select("_id", "_text", "_spans").mapInArrow(cut, "id bigint, start bigint, window string, spans string"), "windows")
+    texts, total, n = texts.select("_id", "_text", "_spans"), texts.count(), 16 * max_windows
+    some = (F.col("spans") != "", F.col("spans") == "")
+    while True:
+        made = stored(lowest(texts, n, "_id", "_text").repartition(16).mapInArrow(cut, "id bigint, start bigint, window string, spans string"), "windows")
+        if n >= total or made.agg(F.least(*[F.count_if(x) for x in some])).first()[0] >= max_windows:
+            break
+        n *= 8
     rows = []
-    for some in (F.col("spans") != "", F.col("spans") == ""):
-        rows += lowest(made.filter(some), max_windows, "id", "start", "window", distinct=True).collect()
+    for kind in some:
+        rows += lowest(made.filter(kind), max_windows, "id", "start", "window", distinct=True).collect()
     rng = np.random.default_rng(1)
     texts_, tags = [], []
     labelled = [(r["window"], [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]) for r in rows]
