@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polislake.functions.text import is_blank
+from polislake.operators.chains import followed
 from polislake.operators.tables import first_per_key
 
 Rule = str | Column
@@ -104,8 +105,8 @@ def match_two_keys(updates: DataFrame, target: DataFrame, target_id: str, first:
 def repoint(children: DataFrame, mapping: DataFrame, fk: str, natural_key: Sequence[str], prefer: Sequence[Column]) -> DataFrame:
     """E-19: children moved from duplicate parents to their targets; collisions keep the target's own row.
 
-    ``mapping`` is ``(duplicate_id, target_id)``.
+    ``mapping`` is ``(duplicate_id, target_id)``; chains of merges are followed to their end.
     """
-    m = mapping.select(F.col("duplicate_id").alias(fk), F.col("target_id").alias("_t"))
+    m = followed(mapping).select(F.col("duplicate_id").alias(fk), F.col("target_id").alias("_t"))
     df = children.join(m, fk, "left").withColumn("_moved", F.col("_t").isNotNull()).withColumn(fk, F.coalesce("_t", fk)).drop("_t")
     return first_per_key(df, natural_key, [F.col("_moved"), *prefer]).drop("_moved")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars", "browse", "entities", "extraction", "reports", "questions", "streams")
+_MODULES = ("scalars", "browse", "entities", "extraction", "reports", "questions", "streams", "incremental")
 
 
 def load_all():

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from polislake.functions import names, text
-from polislake.operators import linking, merge, mentions, resolve
+from polislake.operators import buckets, chains, linking, merge, mentions, resolve
 from polislake.operators import tables as tb
 from polislake.plans.bindings import _committee
 from polislake.plans.registry import query
 from polislake.plans.scalars import _COMMITTEE, ALIAS_SQL, ATTENDEE_SQL
-from polislake.session import cut_lineage
+from polislake.session import cut_lineage, shared_folder
 
 _SLUG = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-')"
 
@@ -259,11 +261,28 @@ def e18(t):
     return linking.hint_count(t.docs, t.attendance, t.questions)
 
 
-@query("E19_merge_duplicates", """with m as (select politician_id as o, case when politician_id % 4 = 1 then politician_id - 1 else politician_id end as n, politician_id % 4 = 1 as moved, committee_id, role, source_url from memberships)
+# Chains of up to three merges (13 to 12 to 8 to 0 modulo 16), a circle (2 and 3) and what leads into it (6).
+_MERGED_INTO = "case when id % 4 = 1 then id - 1 when id % 8 = 4 then id - 4 when id % 16 = 8 then id - 8 when id % 16 = 2 then id + 1 when id % 16 = 3 then id - 1 when id % 16 = 6 then id - 3 end"
+_FOLLOWED = f"""mp as (select id as o, {_MERGED_INTO} as n from people where {_MERGED_INTO} is not null),
+   walk as (select o, n, [o] as seen from mp union all select w.o, mp.n, list_append(w.seen, w.n) from walk w join mp on mp.o = w.n where not list_contains(w.seen, w.n)),
+   last as (select o, arg_max(n, len(seen)) as n, arg_max(seen, len(seen)) as seen from walk group by 1),
+   followed as (select o, case when list_contains(seen, n) then list_min(seen[list_position(seen, n):]) else n end as n from last)"""
+
+
+def _merged_into(t):
+    return t.people.select(F.col("id").alias("duplicate_id"), F.expr(_MERGED_INTO).alias("target_id"))
+
+
+@query("E19_merge_chains", f"with recursive {_FOLLOWED} select o as duplicate_id, n as target_id from followed where o <> n")
+def e19a(t):
+    return chains.followed(_merged_into(t))
+
+
+@query("E19_merge_duplicates", f"""with recursive {_FOLLOWED},
+   m as (select coalesce(f.n, politician_id) as n, f.n is not null and f.n <> politician_id as moved, committee_id, role, source_url from memberships left join followed f on f.o = politician_id)
    select n as politician_id, committee_id, role, source_url from (select *, row_number() over (partition by n, committee_id, role order by moved, source_url) as rn from m) where rn = 1""")
 def e19(t):
-    mapping = t.memberships.where("politician_id % 4 = 1").select(F.col("politician_id").alias("duplicate_id"), (F.col("politician_id") - 1).alias("target_id")).distinct()
-    return merge.repoint(t.memberships, mapping, "politician_id", ["politician_id", "committee_id", "role"], [F.col("source_url")]).select("politician_id", "committee_id", "role", "source_url")
+    return merge.repoint(t.memberships, _merged_into(t), "politician_id", ["politician_id", "committee_id", "role"], [F.col("source_url")]).select("politician_id", "committee_id", "role", "source_url")
 
 
 @query("E20_regenerate_aliases", f"with {ALIAS_SQL} select person_id, alias, alias_type from aliases where not (person_id % 2 = 0 and alias_type in ('FULL_NAME', 'SURNAME_ONLY'))")
@@ -294,6 +313,18 @@ def u01(t):
     return merge.merge_upsert(b, new, ["id"], {})
 
 
+@query("U01_bucketed_upsert", """with u as (select id, concat(title, ' (new)') as title, 'passed' as status from bills where id % 3 = 0 union all select id + 1000000, title, status from bills where id % 10 = 1)
+   select coalesce(b.id, u.id) as id, coalesce(u.title, b.title) as title, coalesce(u.status, b.status) as status, case when b.id is null then 'created' when u.id is null then 'unchanged' else 'updated' end as change from bills b full join u on u.id = b.id""")
+def u01b(t):
+    """The batch of U01 in two parts against a stored table in buckets."""
+    b = t.bills.select("id", "title", "status")
+    table = buckets.BucketedTable(t.spark, f"{shared_folder(t.spark)}/bills-{uuid.uuid4().hex}", ("id",)).create(b)
+    changed = table.merge(b.where("id % 3 = 0").select("id", F.concat("title", F.lit(" (new)")).alias("title"), F.lit("passed").alias("status")), {})
+    added = table.merge(b.where("id % 10 = 1").select((F.col("id") + 1000000).alias("id"), "title", "status"), {})
+    change = changed.unionByName(added).where("change <> 'unchanged'")
+    return table.read().join(change, "id", "left").select("id", "title", "status", F.coalesce("change", F.lit("unchanged")).alias("change"))
+
+
 @query("U02_person_upsert", """with u as (select case when id % 2 = 0 then concat('changed-', slug) else slug end as slug, concat(display_name, ' X') as display_name, profile_url, 'UNKNOWN' as source_status from people where id % 5 < 3),
    m as (select u.*, coalesce((select min(id) from people p where p.profile_url = u.profile_url), (select min(id) from people p where p.slug = u.slug)) as mid from u)
    select p.id, coalesce(m.display_name, p.display_name) as display_name, case when m.mid is null or p.source_status = 'CURRENT' then p.source_status else m.source_status end as source_status, case when m.mid is null then 'unchanged' else 'updated' end as change
