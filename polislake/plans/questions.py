@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from polislake import vocab
 from polislake.functions import names, text
 from polislake.operators import evidence as ev
 from polislake.operators.resolve import alias_table
-from polislake.plans.registry import query
+from polislake.operators.textindex import TextIndex, alphabetical, first_sources, newest
+from polislake.plans.registry import QUERIES, query
 from polislake.plans.scalars import ALIAS_SQL
-from polislake.session import cut_lineage
+from polislake.session import cut_lineage, shared_folder
 
 _STOP = ", ".join(f"'{w}'" for w in vocab.SEARCH_STOP_WORDS)
 
@@ -94,6 +97,23 @@ def i08(t):
     return ev.newest_sources(asked, hits, t.questions, "id", [F.desc_nulls_last("asked_date")], among=["asked_date"]).select("question_id", "id", "position")
 
 
+def _index(t, corpus, columns, order, name):
+    """An index of a corpus, built in two segments and merged."""
+    place = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    parts = TextIndex(t.spark, place)
+    for i in range(2):
+        parts.add(corpus.where(F.pmod("id", F.lit(2)) == i), "id", columns, order, i)
+    return parts.merged(f"{place}-merged")
+
+
+@query("I08_indexed_evidence", QUERIES["I08_question_evidence"].sql)
+def i08c(t):
+    """I08 from a stored index."""
+    columns, asked = ["title", "question_text", "answer_text", "department"], _asked(t)
+    index = _index(t, t.questions, columns, newest("asked_date", "id"), "questions")
+    return first_sources(asked, index.search(asked, t.questions, "id", columns), "id")
+
+
 _ASKERS = r"""askers as (select question_id, unnest(list_distinct([regexp_extract(question, '\bMr ([A-Z][A-Za-z]+) ask', 1)])) as asker from asks where regexp_matches(question, '\bMr [A-Z][A-Za-z]+ ask'))"""
 
 
@@ -131,6 +151,26 @@ def i09(t):
     return out
 
 
+_INDEXED = [k for k in _FOUND if k != "attendance"]
+
+
+@query("I09_indexed_evidence", f"with {_ASKED}, terms as (select distinct term from asked), " + ", ".join(
+    f"""h_{k} as (select '{k}' as kind, question_id, id, row_number() over (partition by question_id order by {o}, id) as position from (select distinct question_id, id, {oc} from asked join (select term, id, {oc} from terms join {tab} on contains(lower(concat_ws(chr(10), {', '.join(cs)})), lower(term))) using (term)))"""
+    for k, (tab, cs, o, oc) in _FOUND.items() if k in _INDEXED) + " " + " union all ".join(f"select kind, question_id, id, position from h_{k} where position <= 8" for k in _INDEXED))
+def i09b(t):
+    """I09 from stored indexes."""
+    asked, out = _asked(t), None
+    orders = {"committee": alphabetical("name", "id"), "politician": alphabetical("display_name", "id"), "vote": newest("date", "id"),
+              "bill": F.struct(F.col("year").isNull().alias("none"), (-F.coalesce("year", F.lit(0))).alias("at"), F.col("id").alias("key"))}
+    for kind in _INDEXED:
+        tab, columns, _, _ = _FOUND[kind]
+        corpus = getattr(t, tab)
+        found = _index(t, corpus, columns, orders[kind], tab).search(asked, corpus, "id", columns)
+        part = first_sources(asked, found, "id").select(F.lit(kind).alias("kind"), "question_id", "id", "position")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("I10_committee_match", rf"""with q as (select question_id, list_sort(list_distinct(case when len(k) > 0 then k[1:8] else [c] end)) as ts from (select question_id, c, list_filter(regexp_extract_all(lower(c), '[a-zA-Z][a-zA-Z0-9+-]{{2,}}'), lambda w: w not in ({_STOP})) as k from
    (select question_id, trim(regexp_replace(regexp_replace(question, '\b(who|which|mps?|members?|sits?|serves?|served|serve|on|the|committee|committees|of)\b', ' ', 'gi'), '\s+', ' ', 'g')) as c from asks))),
    n as (select id, list_filter(list_transform(regexp_extract_all(name, '[A-Za-z][A-Za-z''-]*'), lambda w: lower(w)), lambda w: length(w) > 1) as tok from committees),
