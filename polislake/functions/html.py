@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from polislake.functions.text import collapse
 
-# Named references seen in public-record pages; &amp; comes last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&hellip;", "…"), ("&amp;", "&"),
-]
+#: Named references of HTML 4 and ``&apos;``, by name without the marks.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+#: A no-break space shows as a space.
+ENTITIES["nbsp"] = " "
 
 
-def _numeric(part: Column) -> Column:
-    """What follows an ``&#``, its number turned into the character."""
-    digits, hexed = (F.regexp_extract(part, r"^(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?", i) for i in (1, 2))
+def _reference(part: Column) -> Column:
+    """What follows an ``&``, its reference turned into the character; anything else keeps its ``&``."""
+    digits, hexed = (F.regexp_extract(part, r"^#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?", i) for i in (1, 2))
     code = F.when(digits != "", digits.try_cast("bigint")).when(hexed != "", F.conv(hexed, 16, 10).try_cast("bigint"))
     good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(good, F.concat(char, F.regexp_replace(part, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", ""))).otherwise(F.concat(F.lit("&#"), part))
+    numeric = F.when(good, F.concat(char, F.regexp_replace(part, r"^#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")))
+    known = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]{1,9});", 1)
+    named = F.when(name != "", F.concat(F.try_element_at(known, name), F.substr(part, F.length(name) + 2)))
+    return F.coalesce(F.when(F.startswith(part, F.lit("#")), numeric).otherwise(named), F.concat(F.lit("&"), part))
 
 
 def unescape(c: Column) -> Column:
-    parts = F.split(c, "&#")
-    c = F.when(F.contains(c, F.lit("&#")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _numeric), ""))).otherwise(c)
-    for mark, plain in ENTITIES:
-        c = F.replace(c, F.lit(mark), F.lit(plain))
-    return c
+    """Every reference decoded once, in one pass: ``&#38;lt;`` and ``&amp;lt;`` both give ``&lt;``."""
+    parts = F.split(c, "&")
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), ""))).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:
@@ -50,10 +53,10 @@ def element_text(c: Column, tag: str) -> Column:
 def class_text(c: Column, pattern: str) -> Column:
     """Text of the first element whose class matches ``pattern``, nested elements of its own kind included."""
     opened = rf"(?is)<([a-z0-9]+)\b[^>]*\bclass=(?:[\"'][^\"'>]*(?:{pattern})[^\"'>]*[\"']|[^\s\"'>]*(?:{pattern})[^\s\"'>]*)[^>]*>(.*)"
-    return strip_tags(_balanced(F.regexp_extract(c, opened, 2), F.regexp_extract(c, opened, 1)))
+    return strip_tags(balanced(F.regexp_extract(c, opened, 2), F.regexp_extract(c, opened, 1)))
 
 
-def _balanced(rest: Column, name: Column) -> Column:
+def balanced(rest: Column, name: Column) -> Column:
     """The head of ``rest`` up to the end tag that closes an element ``name`` opened before it."""
     pieces = F.regexp_extract_all(rest, F.concat(F.lit("(?is).*?(?:</?"), name, F.lit(r"\b[^>]*>|\z)")), F.lit(0))
 
@@ -81,28 +84,54 @@ def links(c: Column) -> Column:
     ))
 
 
-def list_items(c: Column) -> Column:
-    """Inner HTML of every list item; one that holds a nested list has its items inside as well."""
-    rests = F.filter(F.transform(F.split(c, r"(?i)(?=<li\b)"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.regexp_like(x["p"], F.lit(r"(?i)^<li\b")))
-    parts = F.split(c, r"(?i)(?=<li\b)")
+def elements(c: Column, name: str, attributes: str = "") -> Column:
+    """Inner HTML of every ``name`` element in page order, nested ones of the same kind included.
+
+    ``attributes`` is a pattern that the opening tag must hold, wherever in it.
+    """
+    opened = rf"(?is)^<{name}\b" + (rf"(?=[^>]*{attributes})" if attributes else "") + r"[^>]*>"
+    parts = F.split(c, rf"(?i)(?=<{name}\b)")
+    heads = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.regexp_like(x["p"], F.lit(opened)))
 
     def inner(x: Column) -> Column:
-        head = F.regexp_replace(x["p"], r"(?is)^<li\b[^>]*>", "")
-        # Items without nested ones, nearly all, need only their own part.
-        whole = F.when(F.regexp_like(x["p"], F.lit(r"(?i)</li\s*>")), head).otherwise(F.regexp_replace(F.array_join(F.slice(parts, x["i"] + 1, F.size(parts) - x["i"]), ""), r"(?is)^<li\b[^>]*>", ""))
-        return _balanced(whole, F.lit("li"))
+        # Elements without nested ones, nearly all, need only their own part.
+        whole = F.when(F.regexp_like(x["p"], F.lit(rf"(?i)</{name}\s*>")), x["p"]).otherwise(F.array_join(F.slice(parts, x["i"] + 1, F.size(parts) - x["i"]), ""))
+        return balanced(F.regexp_replace(whole, opened, ""), F.lit(name))
 
-    return F.transform(rests, inner)
+    return F.transform(heads, inner)
+
+
+def with_class(name: str) -> str:
+    """A pattern for ``elements``: the class ``name`` among others, quoted or not."""
+    return rf"\bclass\s*=\s*(?:[\"'](?:[^\"'>]*\s)?{name}(?:\s[^\"'>]*)?[\"']|{name}(?=[\s>]))"
+
+
+def list_items(c: Column) -> Column:
+    """Inner HTML of every list item; one that holds a nested list has its items inside as well."""
+    return elements(c, "li")
 
 
 def table_rows(c: Column) -> Column:
-    """Inner HTML of every table row."""
-    return F.regexp_extract_all(c, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
+    """Inner HTML of every table row, those of nested tables included."""
+    return elements(c, "tr")
+
+
+def _flat(row: Column) -> Column:
+    """A row in which nested tables are plain text of their cell."""
+    pieces = F.split(row, r"(?i)(?=<table\b)|(?<=</table>)")
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(F.regexp_like(piece, F.lit(r"(?i)^<table\b")), 1).otherwise(0)
+        plain = F.when(depth > 0, F.regexp_replace(piece, r"(?i)</?(?:table|thead|tbody|tfoot|t[rdh])\b[^>]*>", " ")).otherwise(piece)
+        return F.struct((depth - F.when(F.regexp_like(piece, F.lit(r"(?i)</table>$")), 1).otherwise(0)).alias("depth"), F.concat(acc["text"], plain).alias("text"))
+
+    nested = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda acc: acc["text"])
+    return F.when(F.regexp_like(row, F.lit(r"(?i)<table\b")), nested).otherwise(row)
 
 
 def cells(row: Column, kind: str = "t[dh]") -> Column:
-    """Texts of the cells of one row."""
-    return F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<({kind})\b[^>]*>(.*?)</\1\s*>"), F.lit(2)), strip_tags)
+    """Texts of the cells of one row; a nested table is text of its cell."""
+    return F.transform(F.regexp_extract_all(_flat(row), F.lit(rf"(?is)<({kind})\b[^>]*>(.*?)(?=</\1\s*>|<t[dh]\b|\z)"), F.lit(2)), strip_tags)
 
 
 def title(c: Column, site_suffix: str = "| PMG") -> Column:

@@ -115,12 +115,12 @@ def party(c: Column) -> Column:
     return let(let(clean, split), named)
 
 
-def role(c: Column, strict: bool = False) -> Column:
-    """P-05: role by the first keyword contained; anything else is kept (100 characters)."""
+def role(c: Column, strict: bool = False, most: int | None = None) -> Column:
+    """P-05: role by the first keyword contained; anything else is kept (``most`` characters, if given)."""
     clean = strip_chars(collapse(F.replace(F.coalesce(c, F.lit("")), F.lit(":"), F.lit(" "))), " .,-")
     named = let(
         clean,
-        lambda v: F.when(v == "", F.lit("Unknown")).otherwise(F.coalesce(keyword_case(v, vocab.ROLE_KEYWORDS, strict=strict), F.left(v, F.lit(100)))),
+        lambda v: F.when(v == "", F.lit("Unknown")).otherwise(F.coalesce(keyword_case(v, vocab.ROLE_KEYWORDS, strict=strict), v if most is None else F.left(v, F.lit(most)))),
     )
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("Member")).otherwise(named)
 

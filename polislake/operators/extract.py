@@ -113,10 +113,11 @@ def committee_of(html_col: Column, visible: Column) -> Column:
     )
 
 
-def document_type(url: Column, title: Column, body: Column) -> Column:
-    """T-06: kind of document by its path, then by address, title and the head of the text."""
+def document_type(url: Column, title: Column, body: Column, head: int | None = None) -> Column:
+    """T-06: kind of document by its path, then by address, title and text (its first ``head`` characters, if given)."""
+    body = F.coalesce(body, F.lit(""))
     p = F.lower(urls.path(url))
-    low = F.lower(F.concat_ws(" ", url, F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(500))))
+    low = F.lower(F.concat_ws(" ", url, F.coalesce(title, F.lit("")), body if head is None else F.left(body, F.lit(head))))
     return (
         F.when(F.contains(p, F.lit("committee-meeting")), "PMG_COMMITTEE_MEETING").when(F.contains(p, F.lit("report")), "PMG_REPORT")
         .when(F.contains(p, F.lit("briefing")), "PMG_BRIEFING").when(F.contains(low, F.lit("report")), "PMG_REPORT")
@@ -206,10 +207,10 @@ def question_records(docs: DataFrame, body: str) -> DataFrame:
     ).drop("_t", "_f")
 
 
-def binary_record(body: Column) -> Column:
-    """T-13: the body is a binary file: ZIP signature or more than four NULs in its first 8 KiB."""
-    head = F.left(body, F.lit(8192))
-    return F.startswith(head, F.lit("PK\x03\x04")) | (text.count_of(head, "\x00") > 4)
+def binary_record(body: Column, head: int | None = None) -> Column:
+    """T-13: the body is a binary file: ZIP signature, or more than four NULs (in its first ``head`` characters, if given)."""
+    read = body if head is None else F.left(body, F.lit(head))
+    return F.startswith(body, F.lit("PK\x03\x04")) | (text.count_of(read, "\x00") > 4)
 
 
 def vote_signal(body: Column) -> Column:
@@ -229,11 +230,12 @@ def vote_counts(body: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def vote_events(meetings: DataFrame, body: str) -> DataFrame:
-    """T-16: vote events reported by meeting minutes, with their explicit counts."""
+def vote_events(meetings: DataFrame, body: str, title_length: int | None = None) -> DataFrame:
+    """T-16: vote events reported by meeting minutes, with their explicit counts; titles are cut if ``title_length`` is given."""
+    title = F.concat(F.lit("Committee decision: "), "title")
     df = meetings.withColumn("_body", html.visible_text(F.col(body))).where("_body <> ''").withColumn("_s", vote_signal(F.col("_body"))).where("_s is not null")
     return df.select(
-        "id", F.left(F.concat(F.lit("Committee decision: "), "title"), F.lit(500)).alias("title"), "date", "committee_name", "source_url",
+        "id", (title if title_length is None else F.left(title, F.lit(title_length))).alias("title"), "date", "committee_name", "source_url",
         F.when(F.col("_s.vote_type") == "unknown", "committee_decision").otherwise(F.col("_s.vote_type")).alias("vote_type"),
         F.col("_s.result").alias("result"), vote_counts(F.col("_body")).alias("counts"),
     )
@@ -317,8 +319,9 @@ def profiles(pages: DataFrame) -> DataFrame:
         F.when(first.isNotNull() & last.isNotNull(), F.concat_ws(" ", first, last)), names.strip_honorific(heading),
         F.substring_index(html.element_text(h, "title"), "::", 1),
     )
-    block = F.regexp_extract(h, r"(?is)class=[\"'][^\"']*mp-block__title[^\"']*[\"'][^>]*>[^<]*political party.*?<a\b[^>]*>(.*?)</a>", 1)
-    photo = F.regexp_extract(h, r"(?is)<img\b[^>]*class=[\"'][^\"']*mp-image[^\"']*[\"'][^>]*src=[\"']([^\"']+)[\"']", 1)
+    block = F.regexp_extract(h, r"(?is)class=[\"'][^\"']*mp-block__title[^\"']*[\"'][^>]*>(?:[^<]|<(?!/?a\b))*?political party.*?<a\b[^>]*>(.*?)</a>", 1)
+    source = r"(?is)<img\b(?=[^>]*\bclass\s*=\s*[\"']?[^\"'>]*mp-image)[^>]*?\ssrc\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    photo = F.trim(html.unescape(F.concat(*[F.regexp_extract(h, source, i) for i in (1, 2, 3)])))
     df = pages.withColumns({"full_name": names.person_name(full), "_p": names.party(html.strip_tags(block))})
     return df.select(
         "page_id", "url", "full_name", names.display_name(F.col("full_name")).alias("display_name"), names.slug(F.col("full_name")).alias("slug"),
@@ -330,8 +333,7 @@ def profiles(pages: DataFrame) -> DataFrame:
 
 def profile_committees(profile_rows: DataFrame) -> DataFrame:
     """T-23: current committees of profile pages, party and constituency entries left out."""
-    item = r"(?is)<div class=\"text-link\">(.*?)</div>"
-    df = profile_rows.select("page_id", "party_name", F.explode(F.regexp_extract_all("html", F.lit(item), F.lit(1))).alias("i"))
+    df = profile_rows.select("page_id", "party_name", F.explode(html.elements(F.col("html"), "div", html.with_class("text-link"))).alias("i"))
     link = F.get(html.links(F.col("i")), F.lit(0))["label"]
     shown = html.class_text(F.col("i"), r"text-link__text")
     df = df.select("page_id", "party_name", names.committee_name(link).alias("committee"), shown.alias("shown"), html.class_text(F.col("i"), r"text-link__date").alias("since"))
@@ -364,14 +366,15 @@ def meeting_pages(pages: DataFrame) -> DataFrame:
 
 def meeting_page_attendance(pages: DataFrame) -> DataFrame:
     """T-25: attendance lists (0.9) and tables (0.85) under their headings."""
-    section = r"(?is)<h[2-6][^>]*>([^<]*(?:attendance|members present|apologies)[^<]*)</h[2-6]>\s*<(ul|table)\b[^>]*>(.*?)</\2>"
-    h = F.col("html")
-    parts = F.arrays_zip(*[F.regexp_extract_all(h, F.lit(section), F.lit(i)).alias(n) for i, n in ((1, "heading"), (2, "kind"), (3, "inner"))])
-    df = pages.select("page_id", F.explode(parts).alias("s")).select("page_id", "s.*")
+    # Each part of a page begins with a heading; a list or table right behind it belongs to the heading.
+    part = r"(?is)^<h([2-6])\b[^>]*>(.*?)</h\1\s*>\s*<(ul|ol|table)\b[^>]*>(.*)"
+    df = pages.select("page_id", F.explode(F.split("html", r"(?i)(?=<h[2-6]\b)")).alias("p")).where(F.col("p").rlike(part))
+    df = df.select("page_id", html.strip_tags(F.regexp_extract("p", part, 2)).alias("heading"), F.lower(F.regexp_extract("p", part, 3)).alias("kind"), html.balanced(F.regexp_extract("p", part, 4), F.regexp_extract("p", part, 3)).alias("inner"))
+    df = df.where(F.col("heading").rlike(r"(?i)attendance|members present|apologies"))
     status = lambda c: text.keyword_case(c, vocab.ATTENDANCE_KEYWORDS, "unknown")
-    lists = df.where("lower(kind) = 'ul'").select("page_id", "heading", F.explode(html.list_items(F.col("inner"))).alias("i"))
+    lists = df.where("kind <> 'table'").select("page_id", "heading", F.explode(html.list_items(F.col("inner"))).alias("i"))
     lists = lists.select("page_id", html.strip_tags(F.col("i")).alias("name_raw"), status(F.col("heading")).alias("attendance_status"), F.lit(0.9).alias("confidence"))
-    tables = df.where("lower(kind) = 'table'").select("page_id", "heading", F.explode(html.table_rows(F.col("inner"))).alias("r")).select("page_id", "heading", html.cells(F.col("r"), "td").alias("c")).where("size(c) > 0")
+    tables = df.where("kind = 'table'").select("page_id", "heading", F.explode(html.table_rows(F.col("inner"))).alias("r")).select("page_id", "heading", html.cells(F.col("r"), "td").alias("c")).where("size(c) > 0")
     shown = F.coalesce(F.nullif(F.get("c", F.lit(1)), F.lit("")), F.col("heading"))
     tables = tables.select("page_id", F.col("c")[0].alias("name_raw"), status(shown).alias("attendance_status"), F.lit(0.85).alias("confidence"))
     return lists.unionByName(tables).where("name_raw <> ''")

@@ -296,13 +296,58 @@ def link_coverage(specs: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return union_all(parts)
 
 
-def unreachable(values: DataFrame, found: DataFrame, key: str, path: str) -> DataFrame:
-    """R-10: how many stored values one lookup path fails to reach."""
-    miss = values.join(found.select(key).distinct(), key, "left_anti")
-    rows = values.select(F.lit(1).alias("c"), F.lit(0).alias("u")).unionByName(miss.select(F.lit(0).alias("c"), F.lit(1).alias("u")))
-    n = rows.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("checked"), F.coalesce(F.sum("u"), F.lit(0)).alias("unreachable"))
-    status = F.when(F.col("checked") == 0, "SKIP").when(F.col("unreachable") == 0, "PASS").when(F.col("unreachable") == F.col("checked"), "FAIL").otherwise("WARN")
-    return n.select(F.lit(path).alias("path"), "checked", "unreachable", status.alias("status"))
+def reachability(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """R-10: how many stored values each lookup path fails to reach.
+
+    Both sides are ``(path, key)`` over all paths; a NULL or blank key cannot
+    be looked up. Keys are counted before they are joined, so a key that a
+    third of all rows hold is one row, and all paths share one join.
+    """
+    usable = F.when(F.trim("key") != "", F.col("key"))
+    counts = wanted.groupBy("path", usable.alias("key")).agg(F.count("*").alias("n"))
+    known = found.where(F.trim("key") != "").select("path", "key").distinct().withColumn("_hit", F.lit(True))
+    n = counts.join(known, ["path", "key"], "left").groupBy("path").agg(F.sum("n").alias("checked"), F.coalesce(F.sum(F.when(F.col("_hit").isNull(), F.col("n"))), F.lit(0)).alias("unreachable"))
+    status = F.when(F.col("unreachable") == 0, "PASS").when(F.col("unreachable") == F.col("checked"), "FAIL").otherwise("WARN")
+    return n.select("path", "checked", "unreachable", status.alias("status"))
+
+
+# The gates before a release.
+GATES = ["people_coverage", "parliamentary_activity", "election_coverage", "ingestion_health", "source_access", "source_inventory"]
+
+
+def release_gates(facts: DataFrame) -> DataFrame:
+    """R-12: ``(part, item, status)``: the six gates, the overall status, blockers and finished capabilities.
+
+    ``facts`` is one row; NULL says that the report a fact comes from is
+    missing, which never counts as success: ``universe`` (the expected people
+    are known), ``claim_all``, ``people_status``, ``claim_safe``,
+    ``election_complete``, ``election_status``, ``brief_status``, ``blocked``,
+    ``access_report``, ``inventory``, ``audit``, ``short_domains`` (array).
+    """
+    is_true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    people = F.when(is_true("universe"), F.coalesce("people_status", F.lit("red"))).otherwise("red")
+    activity = F.when(is_true("claim_safe"), "green").when(F.col("claim_safe").isNotNull(), "amber").otherwise("red")
+    election = F.when(F.col("election_complete").isNull(), "red").when(F.col("election_complete") & (F.col("election_status") == "green"), "green").otherwise("amber")
+    health = F.coalesce("brief_status", F.lit("red"))
+    access = F.when(~is_true("blocked") & is_true("access_report") & (health == "green"), "green").otherwise("amber")
+    inventory = F.when(is_true("inventory") & is_true("audit"), "green").when(is_true("inventory"), "amber").otherwise("red")
+    gates = dict(zip(GATES, (people, activity, election, health, access, inventory), strict=True))
+    df = facts.select("*", *[v.alias(f"g_{k}") for k, v in gates.items()])
+    every = F.array(*[F.col(f"g_{k}") for k in GATES])
+    all_green = F.forall(every, lambda g: g == "green") & is_true("election_complete") & is_true("claim_all")
+    overall = F.when(F.array_contains(every, "red") | ~is_true("universe") | (F.size("short_domains") > 0), "red").when(all_green, "green").otherwise("amber")
+    blockers = [
+        (~is_true("universe"), "expected people are not known"), (F.col("people_status").isNull(), "people report is missing"), (F.col("claim_safe").isNull(), "coverage dashboard is missing"),
+        (F.col("election_complete").isNull(), "election report is missing"), (F.col("election_complete").isNotNull() & ~is_true("election_complete"), "election records are incomplete"),
+        (F.col("brief_status").isNull(), "ingestion brief is missing"), (F.col("brief_status") == "red", "latest ingestion brief is red"), (~is_true("inventory"), "source inventory is missing"), (~is_true("audit"), "source audit is missing"),
+    ]
+    done = [(F.col("claim_safe").isNotNull(), "coverage dashboard"), (F.col("election_complete").isNotNull(), "election report"), (F.col("people_status").isNotNull(), "people report"), (F.col("brief_status").isNotNull(), "ingestion brief"),
+            (is_true("inventory"), "source inventory"), (is_true("audit"), "source audit"), (is_true("blocked"), "source block is visible and isolated")]
+    row = lambda part, item, status: F.struct(F.lit(part).alias("part"), item.alias("item"), status.alias("status"))
+    listed = lambda part, told: [F.when(when, row(part, F.lit(text), F.lit(part))) for when, text in told]
+    rows = [*[row("gate", F.lit(k), F.col(f"g_{k}")) for k in GATES], row("overall", F.lit("release"), overall), *listed("blocker", blockers), *listed("capability", done)]
+    short = F.transform("short_domains", lambda d: row("blocker", F.concat(d, F.lit(" coverage is short")), F.lit("blocker")))
+    return df.select(F.explode(F.concat(F.array_compact(F.array(*rows)), short)).alias("r")).select("r.*")
 
 
 def classify_runs(stages: DataFrame, red_errors: int = 10) -> DataFrame:

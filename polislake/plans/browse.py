@@ -434,9 +434,9 @@ def o02(t):
     return att.recent(t.attendance, t.meetings, t.committees).select("politician_id", "position", "meeting_id", "attendance_status", "committee_name", "source_url")
 
 
-@query("O03_latest_errors", "select id, error_type, substr(error, 1, 200) as error from run_errors order by created_at desc, id desc limit 20")
+@query("O03_latest_errors", "select id, error_type, error from run_errors order by created_at desc, id desc limit 20")
 def o03(t):
-    return t.run_errors.orderBy(F.desc("created_at"), F.desc("id")).limit(20).select("id", "error_type", F.left("error", F.lit(200)).alias("error"))
+    return t.run_errors.orderBy(F.desc("created_at"), F.desc("id")).limit(20).select("id", "error_type", "error")
 
 
 @query("O04_best_score", "select document_id, arg_max(politician_id, (confidence_score, -politician_id)) as politician_id, max(confidence_score) as score from mentions where confidence_score >= 0.9 group by 1")

@@ -153,7 +153,7 @@ def e10(t):
     return m.select("id", "person_id", "form", "confidence", "reason", F.contains(F.lower("snippet"), F.lower("form")).alias("in_text"))
 
 
-_BENCH_PEOPLE = r"select item_id as id, regexp_replace(array_to_string(string_split(text, ' ')[1:4], ' '), '[^\p{L}\p{N}]+$', '') as full_name from benchmark"
+_BENCH_PEOPLE = r"select item_id as id, regexp_replace(regexp_extract(text, '^[^.\n]+'), '[^\p{L}\p{N}]+$', '') as full_name from benchmark"
 
 
 @query("E10_mentions_in_documents", rf"""with b as ({_BENCH_PEOPLE}), f as (select full_name as form, 0.99::double as confidence, 'exact_full_name' as reason from b),
@@ -161,8 +161,7 @@ _BENCH_PEOPLE = r"select item_id as id, regexp_replace(array_to_string(string_sp
    select d.doc_id, o.person_id, o.form, o.confidence, o.reason from documents d join o on contains(lower(d.text), lower(o.form))
    where regexp_matches(lower(d.text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(lower(o.form)) || '($|[^\p{{L}}\p{{N}}_])')""")
 def e10b(t):
-    words = F.split("text", " ")
-    people = t.benchmark.select(F.col("item_id").alias("id"), F.regexp_replace(F.array_join(F.slice(words, 1, 4), " "), r"[^\p{L}\p{N}]+$", "").alias("full_name"))
+    people = t.benchmark.select(F.col("item_id").alias("id"), F.regexp_replace(F.regexp_extract("text", r"^[^.\n]+", 0), r"[^\p{L}\p{N}]+$", "").alias("full_name"))
     people = people.withColumn("display_name", F.col("full_name")).withColumn("slug", F.concat(F.lit("item-"), F.col("id").cast("string")))
     none = people.select(F.col("id").alias("person_id"), F.col("full_name").alias("alias"), F.lit("FULL_NAME").alias("alias_type"))
     m = mentions.detect(t.documents, "doc_id", "text", people, none)
@@ -382,7 +381,7 @@ def u06(t):
 
 
 @query("U07_bill_upsert", """with o as (select id, bill_number, year, house, title, source_url from bills where id % 2 = 0),
-   u as (select id as uid, bill_number, year, house, concat(title, ' v2') as title, case when id % 3 = 0 then null else source_url end as source_url from bills where id % 4 < 2),
+   u as (select id as uid, bill_number, year, house, concat(title, ' v2') as title, case when id % 3 = 0 then null else source_url end as source_url from bills where id % 2 = 1 or id % 4 = 0),
    m as (select u.*, coalesce((select min(id) from o where o.source_url = u.source_url), case when house is not null then (select min(id) from o where o.bill_number = u.bill_number and o.year = u.year and o.house = u.house)
         else (select min(id) from o where o.bill_number = u.bill_number and o.year = u.year) end) as mid from u),
    f as (select mid, arg_min(title, uid) as title from m where mid is not null group by 1)
@@ -390,7 +389,7 @@ def u06(t):
 def u07(t):
     cols = ["bill_number", "year", "house"]
     old = t.bills.where("id % 2 = 0").select("id", *cols, "title", "source_url")
-    new = t.bills.where("id % 4 < 2").select(F.col("id").alias("uid"), *cols, F.concat("title", F.lit(" v2")).alias("title"), F.when(F.col("id") % 3 != 0, F.col("source_url")).alias("source_url"))
+    new = t.bills.where("id % 2 = 1 or id % 4 = 0").select(F.col("id").alias("uid"), *cols, F.concat("title", F.lit(" v2")).alias("title"), F.when(F.col("id") % 3 != 0, F.col("source_url")).alias("source_url"))
     m = merge.match_two_keys(new, old, "id", ["source_url"], ["bill_number", "year"], ["house"]).withColumnRenamed("matched_id", "id")
     found, fresh = m.where("id is not null"), m.where("id is null")
     merged = merge.merge_upsert(old, found, ["id"], {"source_url": "keep_if_null_new"}, order=[F.col("uid")])

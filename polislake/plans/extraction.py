@@ -122,7 +122,7 @@ def t05(t):
 
 
 @query("T06_document_type", """select id, case when id % 4 = 0 then 'PMG_COMMITTEE_MEETING' when id % 4 = 1 then 'PMG_BRIEFING' when contains(l, 'report') then 'PMG_REPORT' when contains(l, 'briefing') then 'PMG_BRIEFING' when contains(l, 'meeting') then 'PMG_COMMITTEE_MEETING' else 'PMG_DOCUMENT' end as kind
-   from (select id, lower(concat_ws(' ', 'https://x.example.org/item/', title, substr(coalesce(summary, ''), 1, 500))) as l from meetings)""")
+   from (select id, lower(concat_ws(' ', 'https://x.example.org/item/', title, coalesce(summary, ''))) as l from meetings)""")
 def t06(t):
     url = F.expr("case id % 4 when 0 then concat('https://x.example.org/Committee-Meeting/', id) when 1 then concat('https://x.example.org/briefing/', id) else 'https://x.example.org/item/' end")
     return t.meetings.select("id", ex.document_type(url, F.col("title"), F.col("summary")).alias("kind"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from polislake import vocab
@@ -10,6 +12,7 @@ from polislake.operators import tables as tb
 from polislake.operators.resolve import alias_table
 from polislake.plans.registry import query
 from polislake.plans.scalars import ALIAS_SQL
+from polislake.session import cut_lineage
 
 NOW = "2024-01-31 00:00:00"
 
@@ -302,14 +305,41 @@ def r09(t):
     return ql.link_coverage({n: (getattr(t, tab), fk) for n, (tab, fk) in _LINKS.items()})
 
 
-@query("R10_search_completeness", """with v as (select distinct lower(trim(name_raw)) as k from attendance), f as (select lower(full_name) as k from people union select lower(display_name) from people), w as (select distinct slug as k from people),
-   r as (select 'attendance name to person' as path, count(*) as checked, count(*) filter (where k not in (select k from f)) as unreachable from v union all select 'slug to person', count(*), count(*) filter (where k not in (select k from w)) from w)
-   select *, case when checked = 0 then 'SKIP' when unreachable = 0 then 'PASS' when unreachable = checked then 'FAIL' else 'WARN' end as status from r""")
+# Lookup paths: rows that are looked up, by what, and where it must be found.
+_PMG = "(select * from docs where document_type like 'PMG%')"
+_EXACT = {
+    "politician_by_full_name": ("people", "full_name", "people", "full_name"), "politician_by_display_name": ("people", "display_name", "people", "display_name"), "politician_by_slug": ("people", "slug", "people", "slug"),
+    "politician_by_alias": ("people", "id", "aliases", "person_id"), "entity_resolution_by_display_name": ("people", "lower(display_name)", "(select lower(full_name) as k from people union select lower(display_name) from people)", "k"),
+    "politician_party_join": ("people", "coalesce(party, '')", "parties", "short_name"), "party_by_short_name": ("parties", "short_name", "parties", "short_name"), "committee_by_slug": ("committees", "slug", "committees", "slug"),
+    "membership_by_politician": ("memberships", "politician_id", "people", "id"), "membership_by_committee": ("memberships", "committee_id", "committees", "id"), "pmg_doc_by_source_url": (_PMG, "source_url", "docs", "source_url"),
+    "pmg_doc_mention_join": (_PMG, "id", "(select document_id from mentions m join people p on p.id = m.politician_id)", "document_id"), "question_by_number": ("questions", "question_number", "questions", "question_number"),
+    "question_by_source_url": ("questions", "source_url", "questions", "source_url"), "question_by_politician_id": ("questions", "politician_id", "people", "id"), "attendance_by_name": ("attendance", "lower(trim(name_raw))", "(select lower(full_name) as k from people union select lower(display_name) from people)", "k"),
+    "attendance_by_politician": ("attendance", "politician_id", "people", "id"), "attendance_by_meeting": ("attendance", "meeting_id", "meetings", "id"),
+}
+# A fragment of a value must be found inside some value.
+_PARTIAL = {
+    "politician_by_ilike": ("people", "split_part(display_name, ' ', 1)", "(select full_name as v from people union all select display_name from people union all select alias from aliases)"), "party_by_name_ilike": ("parties", "substr(name, 1, 4)", "(select name as v from parties)"),
+    "committee_by_name_ilike": ("committees", "substr(split_part(name, ' ', 1), 1, 6)", "(select name as v from committees)"), "pmg_doc_by_committee_name": (_PMG, "substr(committee_name, 1, 10)", "(select committee_name as v from docs)"),
+    "question_by_department_ilike": ("questions", "substr(department, 1, 10)", "(select department as v from questions)"), "unresolved_by_raw_value": ("unresolved", "substr(raw_value, 1, 10)", "(select raw_value as v from unresolved)"),
+}
+_R10 = " union all ".join(
+    [f"select '{p}' as path, count(*) as checked, count(*) filter (where k is null or k = '' or k not in (select cast({g} as varchar) from {f} where {g} is not null)) as unreachable from (select cast({k} as varchar) as k from {w})" for p, (w, k, f, g) in _EXACT.items()]
+    + [f"select '{p}', sum(n)::bigint, coalesce(sum(n) filter (where k is null or k = '' or not exists (select 1 from {f} x where contains(lower(v), k))), 0)::bigint from (select lower({k}) as k, count(*) as n from {w} group by 1)" for p, (w, k, f) in _PARTIAL.items()])
+
+
+@query("R10_search_completeness", f"with {ALIAS_SQL}, r as ({_R10}) select *, case when unreachable = 0 then 'PASS' when unreachable = checked then 'FAIL' else 'WARN' end as status from r where checked > 0")
 def r10(t):
-    v = t.attendance.select(F.lower(F.trim("name_raw")).alias("k")).distinct()
-    f = t.people.select(F.explode(F.array(F.lower("full_name"), F.lower("display_name"))).alias("k"))
-    w = t.people.select(F.col("slug").alias("k")).distinct()
-    return ql.union_all([ql.unreachable(v, f, "k", "attendance name to person"), ql.unreachable(w, w, "k", "slug to person")])
+    """All rows over all lookup paths; fragments by a letter-gram index."""
+    views = {v: getattr(t, v) for v in ("people", "parties", "committees", "memberships", "docs", "mentions", "questions", "unresolved", "attendance", "meetings")} | {"aliases": alias_table(t.people)}
+    sql = lambda text: t.spark.sql(re.sub(rf"\b(from|join) ({'|'.join(views)})\b", r"\1 {\2}", text), **{v: df for v, df in views.items() if re.search(rf"\b(from|join) {v}\b", text)})
+    wanted = ql.union_all([sql(f"select '{p}' as path, cast({k} as string) as key from {w}") for p, (w, k, _, _) in _EXACT.items()])
+    found = ql.union_all([sql(f"select '{p}' as path, cast({g} as string) as key from {f}") for p, (_, _, f, g) in _EXACT.items()])
+    parts = cut_lineage(ql.union_all([sql(f"select '{p}' as path, lower({k}) as key from {w}") for p, (w, k, _) in _PARTIAL.items()]))
+    for p, (_, _, f) in _PARTIAL.items():
+        names = parts.where((F.col("path") == p) & (F.col("key") != "")).select(F.col("key").alias("_name")).distinct()
+        held = tb.contained(sql(f"select v from {f}").where("v is not null").select("v").distinct(), "v", "v", names, 1)
+        found = found.unionByName(held.select(F.lit(p).alias("path"), F.col("_name").alias("key")).distinct())
+    return ql.reachability(wanted.unionByName(parts), found)
 
 
 _LAUNCH = {"bills": 1246, "committee meetings": 34713, "parliamentary questions": 44036}
@@ -324,15 +354,6 @@ def r11(t):
     return ql.launch_coverage(counts, totals, _LAUNCH)
 
 
-@query("R12_readiness", f"""with c as ({_Q06} union all {_Q07} union all {_Q09} union all {_Q10}), g as (select category, case max(case status when 'fail' then 2 when 'warn' then 1 else 0 end) when 2 then 'red' when 1 then 'amber' else 'green' end as status from c group by 1)
-   select count(*) filter (where status = 'red') as reds, count(*) filter (where status = 'green') as greens, count(*) as gates, case when count(*) filter (where status = 'red') > 0 then 'red' when count(*) filter (where status = 'green') = count(*) then 'green' else 'amber' end as overall from g""")
-def r12(t):
-    c = _checks(t)
-    rank = F.max(F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0))
-    gates = ql.union_all([c["Q06"], c["Q07"], c["Q09"], c["Q10"]]).groupBy("category").agg(rank.alias("w"))
-    return ql.readiness(gates.select(F.when(F.col("w") == 2, "red").when(F.col("w") == 1, "amber").otherwise("green").alias("status")))
-
-
 _STAGES = """select floor(id / 4) as run_key, case when floor(id / 4) % 9 = 0 then 'dry_run' else 'real' end as mode, case when id % 37 = 0 then 1 else 0 end as failed, case when id % 5 = 0 then id % 12 else 0 end as errors,
    id % 3 <> 0 as advanced, case when id % 7 = 0 then 0 else created_count end as new_records from runs"""
 _CLASS = f"""st as ({_STAGES}), g as (select cast(run_key as bigint) as run_key, max(mode) as mode, count(*) filter (where failed > 0) as failed_stages, sum(errors)::bigint as errors, count(*) filter (where advanced) as advanced, count(*) as streams, sum(greatest(new_records, 0))::bigint as new_records from st group by 1),
@@ -352,6 +373,53 @@ def r13(t):
     return _classified(t).drop("reasons")
 
 
+@query("R12_check_categories", f"""with c as ({_Q06} union all {_Q07} union all {_Q09} union all {_Q10}), g as (select category, case max(case status when 'fail' then 2 when 'warn' then 1 else 0 end) when 2 then 'red' when 1 then 'amber' else 'green' end as status from c group by 1)
+   select count(*) filter (where status = 'red') as reds, count(*) filter (where status = 'green') as greens, count(*) as gates, case when count(*) filter (where status = 'red') > 0 then 'red' when count(*) filter (where status = 'green') = count(*) then 'green' else 'amber' end as overall from g""")
+def r12b(t):
+    c = _checks(t)
+    rank = F.max(F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0))
+    gates = ql.union_all([c["Q06"], c["Q07"], c["Q09"], c["Q10"]]).groupBy("category").agg(rank.alias("w"))
+    return ql.readiness(gates.select(F.when(F.col("w") == 2, "red").when(F.col("w") == 1, "amber").otherwise("green").alias("status")))
+
+
+_GATE_FACTS = f"""gf as (select (select count(*) > 0 from people where id % 10 <> 3) as universe, (select count(*) = 0 from people where id % 10 = 7 or id % 10 = 3) as claim_all,
+     case when (select count(*) from people where id % 10 = 7 or id % 10 = 3) > 0 then 'amber' else 'green' end as people_status, (select count(*) filter (where level = 'red') = 0 from ({_R05})) as claim_safe,
+     (select count(*) > 0 and count(*) filter (where vote_total is null) = 0 from vote_totals) as election_complete, 'green' as election_status,
+     (select case arg_max(status, run_key) when 'yellow' then 'amber' else arg_max(status, run_key) end from cl) as brief_status, (select count(*) > 0 from run_errors where contains(lower(error), 'blocked')) as blocked,
+     (select count(*) > 0 from runs) as access_report, (select count(*) > 0 from committees) as inventory, (select count(*) filter (where source_url is not null) > 0 from bills) as audit,
+     (select count(*) from bills) < 0.8 * {_LAUNCH["bills"]} as short_bills, (select count(*) from questions) < 0.8 * {_LAUNCH["parliamentary questions"]} as short_questions)"""
+
+
+@query("R12_readiness", f"""with {_CLASS}, {_GATE_FACTS},
+   gs as (select *, case when not universe then 'red' else people_status end as g1, case when claim_safe then 'green' else 'amber' end as g2, case when election_complete and election_status = 'green' then 'green' else 'amber' end as g3, brief_status as g4,
+     case when not blocked and access_report and brief_status = 'green' then 'green' else 'amber' end as g5, case when inventory and audit then 'green' when inventory then 'amber' else 'red' end as g6 from gf),
+   o as (select *, case when 'red' in (g1, g2, g3, g4, g5, g6) or not universe or short_bills or short_questions then 'red' when g1 = 'green' and g2 = 'green' and g3 = 'green' and g4 = 'green' and g5 = 'green' and g6 = 'green' and election_complete and claim_all then 'green' else 'amber' end as overall from gs)
+   select 'gate' as part, unnest(['people_coverage', 'parliamentary_activity', 'election_coverage', 'ingestion_health', 'source_access', 'source_inventory']) as item, unnest([g1, g2, g3, g4, g5, g6]) as status from o
+   union all select 'overall', 'release', overall from o union all select 'blocker', 'expected people are not known', 'blocker' from o where not universe union all select 'blocker', 'election records are incomplete', 'blocker' from o where not election_complete
+   union all select 'blocker', 'latest ingestion brief is red', 'blocker' from o where brief_status = 'red' union all select 'blocker', 'source inventory is missing', 'blocker' from o where not inventory union all select 'blocker', 'source audit is missing', 'blocker' from o where not audit
+   union all select 'blocker', 'bills coverage is short', 'blocker' from o where short_bills union all select 'blocker', 'parliamentary questions coverage is short', 'blocker' from o where short_questions
+   union all select 'capability', unnest(['coverage dashboard', 'election report', 'people report', 'ingestion brief']), 'capability' from o union all select 'capability', 'source inventory', 'capability' from o where inventory
+   union all select 'capability', 'source audit', 'capability' from o where audit union all select 'capability', 'source block is visible and isolated', 'capability' from o where blocked""")
+def r12(t):
+    """The six gates from the other reports, each of which is one row."""
+    sides = tb.reconcile_names(t.people.where("id % 10 <> 3"), t.people.where("id % 10 <> 7"), "full_name").agg(F.count("*").alias("apart"))
+    facts = [
+        t.people.agg((F.count_if(F.col("id") % 10 != 3) > 0).alias("universe")), sides.select((F.col("apart") == 0).alias("claim_all"), F.when(F.col("apart") > 0, "amber").otherwise("green").alias("people_status")),
+        _risks(t).agg((F.count_if(F.col("level") == "red") == 0).alias("claim_safe")),
+        t.vote_totals.agg(((F.count("*") > 0) & (F.count("vote_total") == F.count("*"))).alias("election_complete"), F.lit("green").alias("election_status")),
+        _classified(t).agg(F.max_by("status", "run_key").alias("s")).select(F.when(F.col("s") == "yellow", "amber").otherwise(F.col("s")).alias("brief_status")),
+        t.run_errors.agg((F.count_if(F.contains(F.lower("error"), F.lit("blocked"))) > 0).alias("blocked")), t.runs.agg((F.count("*") > 0).alias("access_report")), t.committees.agg((F.count("*") > 0).alias("inventory")),
+        t.bills.agg((F.count("source_url") > 0).alias("audit"), (F.count("*") < 0.8 * _LAUNCH["bills"]).alias("b")), t.questions.agg((F.count("*") < 0.8 * _LAUNCH["parliamentary questions"]).alias("q")),
+    ]
+    # One row each with columns of its own: the union folds into one row.
+    rows = None
+    for f in facts:
+        rows = f if rows is None else rows.unionByName(f, allowMissingColumns=True)
+    row = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    short = F.array_compact(F.array(F.when(F.col("b"), F.lit("bills")), F.when(F.col("q"), F.lit("parliamentary questions"))))
+    return ql.release_gates(row.withColumn("short_domains", short).drop("b", "q"))
+
+
 @query("R14_top_new_records", """with g as (select source_name, run_type, count(*) filter (where started_at >= timestamp '2024-01-20') as delta from runs group by 1, 2), r as (select *, row_number() over (order by delta desc, source_name, run_type) as table_rank from g where delta > 0),
    s as (select r.table_rank, r.source_name, r.run_type, delta, u.id, row_number() over (partition by r.table_rank order by u.id) as rn from r join runs u using (source_name, run_type) where r.table_rank <= 5 and u.started_at >= timestamp '2024-01-20')
    select source_name, run_type, delta, id from s where rn <= 2 order by table_rank, rn limit 5""")

@@ -71,7 +71,7 @@ _ROLE_RAW = "case when id % 3 = 0 then concat('Deputy ', upper(role)) when id %
 
 @query("P05_role", f"""
   with r as (select politician_id + committee_id as id, role from memberships), s as (select id, {_ROLE_RAW} as raw from r)
-  select raw, count(*) as n, coalesce({case_contains("raw", vocab.ROLE_KEYWORDS)}, substr(trim(replace(raw, ':', ' ')), 1, 100)) as role
+  select raw, count(*) as n, coalesce({case_contains("raw", vocab.ROLE_KEYWORDS)}, trim(replace(raw, ':', ' '))) as role
   from s group by raw""")
 def p05(t):
     raw = t.memberships.select((F.col("politician_id") + F.col("committee_id")).alias("id"), "role").select(

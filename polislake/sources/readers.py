@@ -69,12 +69,13 @@ def bills_of(listing: DataFrame, site: str) -> DataFrame:
     )
 
 
-def bill_events_of(listing: DataFrame) -> DataFrame:
-    """S-04: events of the listed bills."""
+def bill_events_of(listing: DataFrame, description_length: int | None = None) -> DataFrame:
+    """S-04: events of the listed bills; descriptions are cut if ``description_length`` is given."""
+    told = F.col("e.title") if description_length is None else F.left("e.title", F.lit(description_length))
     df = listing.select(F.col("r.id").alias("bill_id"), F.explode("r.events").alias("e"))
     return df.select(
         "bill_id", F.coalesce(F.nullif("e.type", F.lit("")), F.lit("unknown")).alias("event_type"), dates.iso_prefix(F.col("e.date")).alias("event_date"),
-        F.nullif(F.left("e.title", F.lit(1000)), F.lit("")).alias("description"),
+        F.nullif(told, F.lit("")).alias("description"),
     )
 
 

@@ -11,6 +11,11 @@ KEY = ["source_name", "stream_name"]
 TOTALS = ["total_seen", "total_created", "total_updated", "total_failed"]
 
 
+def cut(c: Column, most: int | None) -> Column:
+    """The first ``most`` characters, all where none is given."""
+    return c if most is None else F.left(c, F.lit(most))
+
+
 def plan_runs(states: DataFrame, pages_per_run: int) -> DataFrame:
     """ST-01: pages the next run of every stream covers, starting at its cursor."""
     if pages_per_run < 1:
@@ -27,7 +32,7 @@ def new_states(streams: DataFrame, states: DataFrame) -> DataFrame:
     return states.unionByName(fresh.withColumns({**zero, **blank}).select(*states.columns))
 
 
-def complete(states: DataFrame, runs: DataFrame) -> DataFrame:
+def complete(states: DataFrame, runs: DataFrame, error_length: int | None = None) -> DataFrame:
     """ST-02: add the totals of a finished run and move, wrap or keep the cursor.
 
     ``runs`` has one row per stream: ``pages_attempted, seen, created, updated,
@@ -41,18 +46,18 @@ def complete(states: DataFrame, runs: DataFrame) -> DataFrame:
     out["sweeps_completed"] = F.col("sweeps_completed") + F.when(wrap, 1).otherwise(0)
     out["source_total"] = F.coalesce("_source_total", "source_total")
     out["last_status"] = F.when(wrap, "completed_end_of_source").when(move, "completed").when(ran, "completed_no_advance").otherwise(F.col("last_status"))
-    out["last_error"] = F.when(ran, F.left("_error", F.lit(2000))).otherwise(F.col("last_error"))
+    out["last_error"] = F.when(ran, cut(F.col("_error"), error_length)).otherwise(F.col("last_error"))
     return df.withColumns(out).select(*states.columns)
 
 
-def fail(states: DataFrame, failures: DataFrame, pages_per_run: int = 1) -> DataFrame:
+def fail(states: DataFrame, failures: DataFrame, pages_per_run: int = 1, error_length: int | None = None) -> DataFrame:
     """ST-03: a failed run keeps the cursor unless told to advance (``error, advance`` per stream)."""
     f = failures.select(*KEY, F.col("error").alias("_error"), F.col("advance").alias("_advance"))
     df, hit = states.join(f, KEY, "left"), F.col("_advance").isNotNull()
     return df.withColumns(
         {
             "total_failed": F.col("total_failed") + F.when(hit, 1).otherwise(0), "last_status": F.when(hit, "failed").otherwise(F.col("last_status")),
-            "last_error": F.when(hit, F.left(F.coalesce("_error", F.lit("")), F.lit(2000))).otherwise(F.col("last_error")),
+            "last_error": F.when(hit, cut(F.coalesce("_error", F.lit("")), error_length)).otherwise(F.col("last_error")),
             "page_number": F.col("page_number") + F.when(F.col("_advance"), pages_per_run).otherwise(0),
         }
     ).select(*states.columns)
@@ -67,7 +72,7 @@ def reset(states: DataFrame, streams: DataFrame) -> DataFrame:
     return df.withColumns(out).select(*states.columns)
 
 
-def replay(log: DataFrame, pages_per_run: int = 1) -> DataFrame:
+def replay(log: DataFrame, pages_per_run: int = 1, error_length: int | None = None) -> DataFrame:
     """ST-05: current state of every stream from its ordered log of runs.
 
     The fold has a closed form: totals add up since the last reset, the cursor
@@ -81,7 +86,7 @@ def replay(log: DataFrame, pages_per_run: int = 1) -> DataFrame:
         F.when(cleared, "reset").when(lost, "failed").when(~F.col("advance"), "completed_no_advance")
         .when(F.col("end_reached"), "completed_end_of_source").otherwise("completed")
     )
-    error = F.when(lost, F.left(F.coalesce("error", F.lit("")), F.lit(2000))).when(done, F.left("error", F.lit(2000)))
+    error = F.when(lost, cut(F.coalesce("error", F.lit("")), error_length)).when(done, cut(F.col("error"), error_length))
     marks = log.groupBy(*KEY).agg(
         F.coalesce(F.max(F.when(cleared, F.col("seq"))), F.lit(-1)).alias("_reset"), F.coalesce(F.max(F.when(cleared | wrap, F.col("seq"))), F.lit(-1)).alias("_turn"),
         F.max(F.struct("seq", status.alias("s"), error.alias("e"))).alias("_last"), F.max(F.when(done & F.col("source_total").isNotNull(), F.struct("seq", "source_total"))).alias("_total"),

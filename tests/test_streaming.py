@@ -62,7 +62,7 @@ def test_replay_equals_fold(spark):
 def test_step_by_step_equals_replay(spark):
     states = sweep.new_states(spark.createDataFrame([("s", "t")], "source_name string, stream_name string"), spark.createDataFrame([], "source_name string, stream_name string, page_number long, total_seen long, total_created long, total_updated long, total_failed long, sweeps_completed long, source_total long, last_status string, last_error string"))
     run = spark.createDataFrame([("s", "t", 3, 10, 1, 2, 0, False, True, 99, None)], "source_name string, stream_name string, pages_attempted long, seen long, created long, updated long, failed long, end_reached boolean, advance boolean, source_total long, error string")
-    after = sweep.fail(sweep.complete(states, run), spark.createDataFrame([("s", "t", "x" * 3000, False)], "source_name string, stream_name string, error string, advance boolean"))
+    after = sweep.fail(sweep.complete(states, run), spark.createDataFrame([("s", "t", "x" * 3000, False)], "source_name string, stream_name string, error string, advance boolean"), error_length=2000)
     r = after.first()
     assert (r["page_number"], r["total_seen"], r["total_failed"], r["source_total"], r["last_status"], len(r["last_error"])) == (3, 10, 1, 99, "failed", 2000)
     with pytest.raises(ValueError):
