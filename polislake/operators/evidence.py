@@ -306,17 +306,25 @@ def person_meetings(matched: DataFrame, meetings: DataFrame, attendance: DataFra
     """I-13: involvement of the asked person at each matched meeting.
 
     ``matched`` is ``(question_id, id, subject, person_id, aliases)``, at most
-    ``k`` meetings per question.
+    ``k`` meetings per question. Attendance counts where it is linked to the
+    person, else where its name holds one of the person's spellings.
     """
-    from polislake.operators.extract import person_contexts
-
-    df = matched.join(meetings.select("id", "title", "date", "summary"), "id")
-    att = attendance.where("politician_id is not null").groupBy(F.col("meeting_id").alias("id"), F.col("politician_id").alias("person_id")).agg(F.min_by("attendance_status", "id").alias("status"))
-    df = df.join(att, ["id", "person_id"], "left").withColumn("contexts", person_contexts(F.col("summary"), F.col("aliases")))
-    df = df.withColumn("involvement", involvement(F.col("contexts"), F.col("status")))
+    from polislake.operators.extract import person_contexts, topic_excerpt
+
+    df = matched.join(meetings.select("id", "title", "date", "committee_name", "summary"), "id")
+    rows = attendance.select(F.col("meeting_id").alias("id"), F.col("id").alias("_row"), "politician_id", "name_raw", "attendance_status")
+    linked = rows.where("politician_id is not null").groupBy("id", F.col("politician_id").alias("person_id")).agg(F.min_by(F.struct("attendance_status", "name_raw"), "_row").alias("linked"))
+    wanted = matched.select("question_id", "id", F.transform("aliases", F.lower).alias("_forms"))
+    named = rows.join(wanted, "id").where(F.exists("_forms", lambda a: F.contains(F.lower("name_raw"), a) & (a != "")))
+    named = named.groupBy("question_id", "id").agg(F.min_by(F.struct("attendance_status", "name_raw"), "_row").alias("named"))
+    df = df.join(linked, ["id", "person_id"], "left").join(named, ["question_id", "id"], "left")
+    df = df.withColumns({"_seen": F.coalesce("linked", "named"), "contexts": person_contexts(F.col("summary"), F.col("aliases"))})
+    df = df.withColumns({"status": F.col("_seen.attendance_status"), "attendance_name": F.col("_seen.name_raw"), "involvement": involvement(F.col("contexts"), F.col("_seen.attendance_status"))})
+    recorded = F.concat(F.coalesce("attendance_name", "subject"), F.lit(" recorded as "), "status", F.lit("."))
+    df = df.withColumns({"excerpt": text.excerpt(F.coalesce(F.get("contexts", F.lit(0)), recorded)), "topic_excerpt": topic_excerpt(F.col("summary"), F.col("aliases"))})
     rank = F.create_map(*[F.lit(x) for kv in INVOLVEMENT_RANK.items() for x in kv])
     order = [F.element_at(rank, F.col("involvement")), F.coalesce(F.col("date").cast("string"), F.lit("")), F.col("id")]
-    return top_k(df, ["question_id"], order, k, rank="position")
+    return top_k(df.drop("_seen", "linked", "named"), ["question_id"], order, k, rank="position")
 
 
 # --------------------------------------------------------------------------- answers
@@ -349,19 +357,6 @@ def route(understood: DataFrame, evidence: DataFrame, fallback: DataFrame, k: in
     return top_k(rows, ["question_id"], [F.col("part"), F.col("position")], k, rank="rank").drop("part", "position")
 
 
-def answers(understood: DataFrame, routed: DataFrame, shown: int = 5) -> DataFrame:
-    """I-16: deterministic answer text: count, bullet lines, coverage notice."""
-    notice = F.create_map(*[F.lit(x) for kv in NOTICES.items() for x in kv])
-    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.coalesce(F.concat(F.lit(": "), F.nullif(F.concat_ws(" | ", F.col("date").cast("string"), "excerpt"), F.lit(""))), F.lit("")))
-    per = routed.groupBy("question_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))).alias("ls"))
-    df = understood.join(per, "question_id", "left").withColumn("_note", F.element_at(notice, F.col("intent")))
-    bullets = F.transform(F.slice("ls", 1, shown), lambda x: x["l"])
-    head = F.concat(F.lit("Based on the source-backed records currently imported, I found "), F.col("n").cast("string"), F.when(F.col("n") == 1, " relevant record for: ").otherwise(" relevant records for: "), "question")
-    found = F.array_join(F.concat(F.array(head), bullets, F.array("_note", F.lit("Open the attached sources to verify each record."))), "\n")
-    empty = F.concat(F.lit("I could not find source-backed records that answer this question yet. No matching imported records were found. "), "_note")
-    return df.select("question_id", "intent", F.coalesce("n", F.lit(0)).alias("sources"), F.when(F.col("n") > 0, found).otherwise(empty).alias("answer"))
-
-
 def faithful_form(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text.clean_display(c)), "[^a-z0-9]+", " "))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from polislake import vocab
 from polislake.functions import names, text
+from polislake.operators import answers
 from polislake.operators import evidence as ev
 from polislake.operators.resolve import alias_table
 from polislake.operators.textindex import TextIndex, alphabetical, first_sources, newest
@@ -229,14 +230,28 @@ def i12(t):
     return _meeting_matches(t)
 
 
-@query("I13_person_meetings")
-def i13(t):
-    """Involvement of a named person at the matched meetings; the rules are unit-tested, T19 and I12 have SQL checks."""
+def _person_rows(t):
+    """Involvement of the named person at the matched meetings of each question."""
     q = F.col("question")
     who = cut_lineage(t.asks.select("question_id", ev.person_subject(q, ev.intent(q)).alias("subject")).where("subject is not null"))
     person = cut_lineage(ev.profile_matches(who, t.people, cut_lineage(alias_table(t.people))))
     matched = cut_lineage(_meeting_matches(t)).join(who, "question_id").join(person, "subject", "left").select("question_id", "id", "subject", "person_id", ev.person_aliases(F.col("subject")).alias("aliases"))
-    return ev.person_meetings(matched, t.meetings, t.attendance).select("question_id", "id", "involvement", "position")
+    return ev.person_meetings(cut_lineage(matched), t.meetings, t.attendance)
+
+
+@query("I13_person_meetings", rf"""with {_MEET},
+   w as (select question_id, regexp_extract(question, '^What did (.+?) say', 1) as subject from asks where regexp_matches(question, '^What did .+ say')),
+   n as (select *, split_part(subject, ' ', -1) as s, substr(subject, 1, 1) as f from w), u as (select question_id, subject, s, [lower(subject), lower(s), 'mr ' || lower(s), 'ms ' || lower(s), 'mrs ' || lower(s), 'dr ' || lower(s), lower(f) || ' ' || lower(s), 'mr ' || lower(f) || ' ' || lower(s), 'ms ' || lower(f) || ' ' || lower(s)] as forms, (select min(id) from people p where p.display_name = subject) as pid from n),
+   m as (select mt.question_id, mt.id, u.subject, u.s, u.forms, u.pid, x.date, x.summary from mt join u using (question_id) join meetings x on x.id = mt.id),
+   a as (select m.question_id, m.id, coalesce(arg_min(r.attendance_status, r.id) filter (where r.politician_id = m.pid), arg_min(r.attendance_status, r.id) filter (where len(list_filter(m.forms, lambda z: contains(lower(r.name_raw), z))) > 0)) as status
+     from m left join attendance r on r.meeting_id = m.id group by 1, 2),
+   c0 as (select m.*, list_filter(regexp_split_to_array(regexp_replace(coalesce(summary, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda z: trim(z) <> '') as ch from m),
+   cx as (select question_id, id, subject, date, lower(array_to_string(list_filter(list_transform(ch, lambda z, i: case when regexp_matches(lower(z), '(^|[^a-z''-])' || lower(s) || '($|[^a-z''-])') then array_to_string(ch[greatest(i - 1, 1):i + 1], ' ') end), lambda z: z is not null), ' ')) as ctx from c0),
+   v as (select cx.*, case when regexp_matches(ctx, '\b(apology|apologies|apologised|prior commitment|prior commitments)\b') then 'apology' when regexp_matches(ctx, '\b(asked|questioned|enquired|wanted to know|sought clarity|raised|said|submitted|proposed)\b') then 'intervention'
+     when status in ('present', 'absent', 'apology') then status when ctx <> '' then 'mentioned' else 'not_found' end as involvement from cx join a using (question_id, id))
+   select question_id, id, involvement, row_number() over (partition by question_id order by case involvement when 'intervention' then 0 when 'present' then 1 when 'mentioned' then 2 when 'apology' then 3 when 'absent' then 4 else 5 end, coalesce(date::varchar, ''), id) as position from v""")
+def i13(t):
+    return _person_rows(t).select("question_id", "id", "involvement", "position")
 
 
 PROFILE_SQL = ALIAS_SQL + r""",
@@ -300,18 +315,18 @@ def _routed(t):
         "attendance": ev.attendance_sources(only(terms, of("attendance")), t.attendance, t.meetings).select("question_id", "id", "position"),
         "hearings": only(_meeting_matches(t), of("hearings")).select("question_id", "id", F.col("rank").alias("position")),
     }
-    person = t.people.select("id", F.col("display_name").alias("title"), F.lit(None).cast("string").alias("date"), F.concat_ws(" | ", "full_name", "party").alias("excerpt"))
-    shown = lambda df, title, date, excerpt: df.select("id", F.col(title).alias("title"), F.col(date).cast("string").alias("date"), F.col(excerpt).alias("excerpt"))
+    person = t.people.select("id", F.col("display_name").alias("title"), F.lit(None).cast("string").alias("date"), F.concat_ws(" | ", "full_name", "party").alias("excerpt"), "full_name", F.col("party").alias("place"), F.col("source_status").alias("status"))
+    shown = lambda df, title, date, excerpt, **more: df.select("id", F.col(title).alias("title"), F.col(date).cast("string").alias("date"), text.excerpt(F.col(excerpt).cast("string")).alias("excerpt"), *[F.col(c).alias(a) for a, c in more.items()])
     meet = t.meetings.select(F.col("id").alias("meeting_id"), "date", F.col("title").alias("meeting_title"))
     rows = t.attendance.join(meet, "meeting_id").select("id", F.concat_ws(": ", "name_raw", "attendance_status").alias("title"), F.col("date").cast("string").alias("date"), F.col("meeting_title").alias("excerpt"))
     rows = top_k(rows, ["id"], [F.col("title")], 1)
-    asked_rows = shown(t.questions, "title", "asked_date", "department")
-    card = {"questions": asked_rows, "bills": shown(t.bills, "title", "year", "status"), "votes": shown(t.vote_events, "title", "date", "result"), "attendance": rows, "hearings": shown(t.meetings, "title", "date", "committee_name")}
+    asked_rows = shown(t.questions, "title", "asked_date", "question_text", who="asked_by_name", department="department", status="status")
+    card = {"questions": asked_rows, "bills": shown(t.bills, "title", "year", "status"), "votes": shown(t.vote_events, "title", "date", "result"), "attendance": rows, "hearings": shown(t.meetings, "title", "date", "summary", place="committee_name")}
     with_card = lambda intent, hits: cut_lineage(hits).join(card.get(intent, person), "id").withColumn("intent", F.lit(intent)).withColumn("id", F.col("id").cast("string"))
     every = None
     for intent, hits in found.items():
         part = with_card(intent, hits)
-        every = part if every is None else every.unionByName(part)
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
     fallback = with_card("questions", newest(only(terms, of("politicians")), t.questions, "questions", "asked_date"))
     return asks.drop("asked_by"), ev.route(asks, every, fallback)
 
@@ -350,9 +365,29 @@ def i15(t):
 
 @query("I16_answers")
 def i16(t):
-    """Deterministic answers; their wording is unit-tested."""
+    """Answers of every kind; their sentences are unit-tested."""
+    q = F.col("question")
     asks, routed = _routed(t)
-    return ev.answers(asks, routed)
+    asks, routed = cut_lineage(asks), cut_lineage(routed)
+    heard = cut_lineage(_person_rows(t))
+    about = heard.select("question_id", F.col("position").alias("rank"), "title", F.col("date").cast("string").alias("date"), F.col("committee_name").alias("place"), "excerpt", "involvement", F.col("topic_excerpt").alias("summary"))
+    hearings = asks.where("intent = 'hearings'").select("question_id")
+    about = about.join(hearings, "question_id", "left_semi")
+    sources = routed.join(about.select("question_id").distinct(), "question_id", "left_anti").unionByName(about, allowMissingColumns=True)
+    subjects = asks.select("question_id", "intent", ev.person_subject(q, F.col("intent")).alias("who"), ev.titled_subject(q).alias("asker"), text.title_case(F.element_at(text.search_terms(q), -1)).alias("topic"))
+    found = about.select("question_id").distinct().withColumn("_heard", F.lit(True))
+    subjects = subjects.join(found, "question_id", "left").select("question_id", "topic", F.when(F.col("intent") == "questions", F.col("asker")).when(F.col("_heard"), F.col("who")).alias("subject"))
+    counts = ev.activity_counts(t.people, t.questions, t.attendance, t.memberships)
+    seats = t.memberships.join(t.committees.select(F.col("id").alias("committee_id"), "name"), "committee_id").groupBy(F.col("politician_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("committees"))
+    first = routed.where("rank = 1 and intent = 'profile'").select("question_id", F.col("id").cast("bigint").alias("id"))
+    profile = first.join(t.people.select("id", F.col("display_name").alias("name"), "full_name", "party"), "id").join(counts.select("id", F.col("questions").alias("question_count"), F.col("attendance").alias("attendance_count")), "id", "left").join(seats, "id", "left").drop("id")
+    size = t.people.where("party is not null").groupBy("party").agg(F.count("*").alias("member_count"))
+    party = ev.party_of_question(asks.where("intent = 'parties'").select("question_id", "question"), t.parties).join(size, "party", "left").select("question_id", F.col("party").alias("name"), "member_count", F.col("member_count").alias("linked_count"))
+    asked = asks.where("intent = 'committees'").select("question_id", ev.committee_terms(q).alias("terms"))
+    held = t.memberships.groupBy("committee_id").agg(F.count("*").alias("member_count"))
+    committee = ev.committee_matches(asked, t.committees).join(t.committees.select(F.col("id").alias("committee_id"), "name"), "committee_id").join(held, "committee_id", "left").select("question_id", "name", "member_count")
+    known = profile.unionByName(party, allowMissingColumns=True).unionByName(committee, allowMissingColumns=True)
+    return answers.build(asks, sources, subjects.join(known, "question_id", "left"))
 
 
 @query("I17_faithfulness", r"""with a as (select id, concat('I found ', display_name, ' of ', coalesce(party, 'no party'), case when id % 2 = 0 then concat(' – ', slug) else '' end) as answer, [display_name, upper(replace(slug, '-', ' '))] as req from people),

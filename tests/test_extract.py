@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from polislake.operators import answers
 from polislake.operators import evidence as ev
 from polislake.operators import extract as ex
 
@@ -48,7 +49,7 @@ def test_involvement(spark):
 def test_answer_text(spark):
     asked = spark.createDataFrame([(1, "bills", "Which bill?"), (2, "votes", "Which vote?")], "question_id int, intent string, question string")
     routed = spark.createDataFrame([(1, "bills", "Water Bill", "2020", "passed", 1), (1, "bills", "Fire Bill", None, None, 2)], "question_id int, intent string, title string, date string, excerpt string, rank int")
-    got = {r["question_id"]: r["answer"] for r in ev.answers(asked, routed).collect()}
+    got = {r["question_id"]: r["answer"] for r in answers.build(asked, routed, asked.select("question_id")).collect()}
     assert got[1].split("\n")[:3] == ["Based on the source-backed records currently imported, I found 2 relevant records for: Which bill?", "- Water Bill: 2020 | passed", "- Fire Bill"]
     assert got[2].startswith("I could not find source-backed records")
 
