@@ -7,9 +7,15 @@ how much of it is links, as compared with the whole body. The subtree with the
 largest sum of child densities is the main text; the least density on its path
 to the body is the threshold, and further subtrees that reach it are kept too,
 each again by its largest sum; so is bare text that the article around the main
-text holds itself. Menus, headers, footers, sidebars, forms,
-scripts, comments of readers, notices and adverts are cut before anything is
-counted.
+text holds itself. Scripts, menus, buttons and hidden elements are cut while
+reading. Other marked blocks (headers, footers, asides, forms, and class, id or
+role words of notices, adverts, comments of readers and the like) are cut before
+densities are taken, unless they turn out to be what is around the article: a
+block with at least half of the page's unlinked text stays if it is a form, if it
+is an ``article`` or ``main``, if its mark is part of a compound such as
+``with-sidebar`` or ``tag-advertising``, or if it holds an unmarked ``article``,
+``main`` or ``h1``; and where nothing would be left, any block with half of the
+text stays. Of a ``header`` inside an article its ``h1`` and ``h2`` stay.
 
 Pages are read where they lie, one row in, one row out, nothing is shuffled;
 reading is one pass over the tags, so a long page costs time in proportion.
@@ -34,7 +40,9 @@ from polislake.llm.common import annotate
 # Kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title xmp iframe noembed noframes".split())
-CUT = RAW | set("head nav header footer aside form button select option svg canvas object audio video map dialog menu".split())
+CUT = RAW | set("head nav button select option svg canvas object audio video map dialog menu".split())
+#: Cut unless they are around the article.
+MARKED = set("header footer aside form".split())
 BLOCK = set(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption search".split()
 )
@@ -47,6 +55,8 @@ BOILERPLATE = set(
     " navigation newsletter notice notification pager pagination paywall popup promo promotion related recommended respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget"
     " complementary contentinfo search".split()
 )
+#: First words of compounds that say something about the page or its topic, not what the element is.
+TOPICAL = set("no not with without has is hide show tag category cat topic type format".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
@@ -60,10 +70,10 @@ TEXT = "#text"
 class Node:
     """A block element: its parts in order, texts and nodes, and what was counted in it."""
 
-    __slots__ = ("name", "parts", "tags", "link_tags", "chars", "link_chars", "density", "total")
+    __slots__ = ("name", "mark", "parts", "tags", "link_tags", "chars", "link_chars", "density", "total")
 
-    def __init__(self, name: str) -> None:
-        self.name, self.parts = name, []
+    def __init__(self, name: str, mark: int = 0) -> None:
+        self.name, self.mark, self.parts = name, mark, []
         self.tags = self.link_tags = self.chars = self.link_chars = 0
         self.density = self.total = 0.0
 
@@ -71,14 +81,23 @@ class Node:
         return [p for p in self.parts if isinstance(p, Node)]
 
 
-def _boilerplate(attributes: str) -> bool:
+#: How sure a mark is; what is hidden goes in any case.
+WEAK, STRONG, HIDDEN = 1, 2, 3
+
+
+def _mark(attributes: str) -> int:
+    """The mark that an element's attributes give it, 0 for none."""
+    mark = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and not BOILERPLATE.isdisjoint(_WORD.findall(unescape(value).lower())):
-            return True
+        if name in ("class", "id", "role"):
+            for token in unescape(value).lower().split():
+                found = _WORD.findall(token)
+                if not BOILERPLATE.isdisjoint(found):
+                    mark = max(mark, WEAK if len(found) > 2 or found[0] in TOPICAL else STRONG)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            return HIDDEN
+    return mark
 
 
 def parse(html: str) -> Node:
@@ -145,7 +164,7 @@ def parse(html: str) -> Node:
                     if name == "br":
                         run().parts.append(" ")
             continue
-        if name in CLOSES_P | CUT and opened.get("p"):
+        if name in CLOSES_P | CUT | MARKED and opened.get("p"):
             close({"p"}, SCOPES)
         if name in SIBLINGS:
             close(SIBLINGS[name], SCOPES - SIBLINGS[name])
@@ -153,13 +172,19 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if m[3].rstrip().endswith("/") and name not in BLOCK | CUT and name not in ("a", "b", "i", "em", "strong", "span"):
+        if m[3].rstrip().endswith("/") and name not in BLOCK | CUT | MARKED and name not in ("a", "b", "i", "em", "strong", "span"):
             continue
-        cut = name in CUT or _boilerplate(m[3])
+        mark = _mark(m[3])
+        block = name in BLOCK or name in MARKED
+        cut = name in CUT or mark == HIDDEN or bool(mark and not block)
+        if name in MARKED:
+            mark = WEAK if name == "form" and mark < STRONG else STRONG
+        elif mark and name in ("article", "main"):
+            mark = WEAK
         node = None
         if not cuts and not cut:
-            if name in BLOCK:
-                node = Node(name)
+            if block:
+                node = Node(name, mark)
                 nodes[-1].parts.append(node)
                 nodes.append(node)
             else:
@@ -170,11 +195,61 @@ def parse(html: str) -> Node:
         opened[name] = opened.get(name, 0) + 1
         cuts, links = cuts + cut, links + link
     text(html[at:])
+    _cut_marked(root)
     for node in _order(root):
         _settle(node)
     return root
 
 
+def _cut_marked(root: Node) -> None:
+    """Takes out the marked blocks that are not around the article."""
+    nodes = _order(root)
+    unlinked: dict[int, int] = {}
+    framed: dict[int, bool] = {}
+    for node in reversed(nodes):
+        inner = node.children()
+        own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str)) - node.link_chars
+        unlinked[id(node)] = own + sum(unlinked[id(c)] for c in inner)
+        framed[id(node)] = any(not c.mark and (c.name in ("article", "main", "h1") or framed[id(c)]) for c in inner)
+    total = unlinked[id(root)]
+
+    def goes(node: Node, last: bool) -> bool:
+        return bool(node.mark) and not (total and 2 * unlinked[id(node)] >= total and (last or node.mark == WEAK or framed[id(node)]))
+
+    def left(last: bool) -> int:
+        rest, todo = total, [root]
+        while todo:
+            for child in todo.pop().children():
+                if goes(child, last):
+                    rest -= unlinked[id(child)]
+                else:
+                    todo.append(child)
+        return rest
+
+    last = left(False) <= 0
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.name == "article"
+        parts: list = []
+        for part in node.parts:
+            if isinstance(part, Node) and part.name != TEXT and goes(part, last):
+                kept = [h for h in _order(part) if h.name in ("h1", "h2")] if inside and part.name == "header" else []
+                parts += kept
+                todo += [(h, inside) for h in kept]
+                continue
+            if isinstance(part, Node) and part.name != TEXT:
+                todo.append((part, inside))
+            before = parts[-1] if parts else None
+            if isinstance(part, Node) and part.name == TEXT and isinstance(before, Node) and before.name == TEXT:
+                # The runs on both sides of what was taken out are one.
+                before.parts += part.parts
+                before.tags, before.link_tags, before.link_chars = before.tags + part.tags, before.link_tags + part.link_tags, before.link_chars + part.link_chars
+                continue
+            parts.append(part)
+        node.parts = parts
+
+
 def _settle(node: Node) -> None:
     """Runs without characters, and the only run of a block without child blocks, are no nodes of their own."""
     blocks, parts = any(c.name != TEXT for c in node.children()), []
