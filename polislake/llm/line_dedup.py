@@ -2,11 +2,17 @@
 
 A run holds one row per line key of a batch of documents: 128 bits of hash, the
 number of documents with the key, and the largest id among them if no earlier
-batch had the key. Batches come in descending id order; each is joined against
-the runs so far (the anti-join tells keys that are new), then written as a run
-of its own, sorted by hash. ``FANOUT`` runs of a level are merged into one of
-the next, so a key is rewritten a logarithmic number of times. A key's total is
-the sum over the runs, its owner the only id that any run holds.
+batch had the key. Batches come in descending id order; each is anti-joined
+against the runs so far: the keys that are left are new and bring their owner,
+the others add their counts only. Then the batch is written as a run of its own,
+sorted by hash. ``FANOUT`` runs of a level are merged into one of the next, so a
+key is rewritten a logarithmic number of times. A key's total is the sum over
+the runs, its owner the only id that any run holds.
+
+A batch holds ``per_batch`` lines at most, as far as ids tell lines apart (the
+lines of one id stay together), and there are ``BATCHES`` of them at least. As
+every batch reads the keys of all runs, ``per_batch`` should grow with the
+cluster; Spark spills what a task can't hold.
 
 Only DataFrame functions are used; a key found in a third of all lines is one
 row per task before anything is shuffled, and the join that brings the verdict
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 
 from polislake.llm.common import SPACES, bind, lower_ascii, pick, stored
 
-FANOUT, BATCHES = 3, 4
+FANOUT, BATCHES, PER_BATCH = 3, 4, 200_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -61,8 +67,8 @@ class Runs:
         """Adds a batch of ``(k1, k2, n_docs, owner)``; a key that a run already holds leaves its owner there."""
         runs = self.all()
         if runs is not None:
-            known = runs.filter("owner is not null").select("k1", "k2", F.lit(True).alias("known"))
-            keys = keys.join(known, ["k1", "k2"], "left").withColumn("owner", F.when(F.col("known").isNull(), F.col("owner"))).drop("known")
+            rest = keys.join(runs.select("k1", "k2"), ["k1", "k2"], "left_semi")
+            keys = self.fresh(keys).unionByName(rest.withColumn("owner", F.lit(None).cast("bigint")))
         self._put(0, keys)
 
     def _put(self, level: int, rows: DataFrame) -> None:
@@ -80,9 +86,10 @@ class Runs:
         return self._merged(self.all())
 
 
-def repeated_keys(lines: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_keys(lines: DataFrame, per_batch: int = PER_BATCH) -> DataFrame:
     """``(k1, k2, n_docs, owner)`` over all ``(_id, k1, k2)`` lines, batch by batch."""
-    cuts = lines.agg(F.percentile_approx("_id", [i / batches for i in range(batches - 1, 0, -1)], 1000)).first()[0] or []
+    batches = max(BATCHES, -(-lines.count() // per_batch))
+    cuts = lines.agg(F.percentile_approx("_id", [i / batches for i in range(batches - 1, 0, -1)], max(1000, 10 * batches))).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     runs = Runs()
     for i in range(len(cuts) + 1):
@@ -96,17 +103,17 @@ def repeated_keys(lines: DataFrame, batches: int = BATCHES) -> DataFrame:
     return runs.totals()
 
 
-def dropped_lines(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_chars: int, least_docs: int, per_batch: int = PER_BATCH) -> DataFrame:
     """``(_id, _mark, drop)``: the places of the lines that each row loses."""
     lines = docs.filter("_id is not null").select("_id", "_mark", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("_id", "_mark", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= least_chars)
     lines = stored(lines.select("_id", "_mark", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")), "lines")
-    hot = repeated_keys(lines.select("_id", "k1", "k2")).filter(F.col("n_docs") >= least_docs)
+    hot = repeated_keys(lines.select("_id", "k1", "k2"), per_batch).filter(F.col("n_docs") >= least_docs)
     gone = lines.join(hot.select("k1", "k2", "owner"), ["k1", "k2"]).filter("_id <> owner")
     return gone.groupBy("_id", "_mark").agg(F.collect_set("pos").alias("drop"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, per_batch: int = PER_BATCH) -> DataFrame:
     """``docs`` plus ``_lines``, ``_dropped`` and ``_kept``, the text of the lines that stay.
 
     Keys of at least ``least_chars`` code points found in at least
@@ -116,7 +123,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
     at = [next(i for i, c in enumerate(docs.columns) if c == name or c.lower() == name.lower()) for name in (id_col, text_col)]
     mark = F.xxhash64("_text")
-    gone = dropped_lines(own.withColumn("_mark", mark), least_chars, least_docs)
+    gone = dropped_lines(own.withColumn("_mark", mark), least_chars, least_docs, per_batch)
     flat = flat.withColumn("_id", F.col(f"_c{at[0]}").cast("bigint")).withColumn("_text", F.col(f"_c{at[1]}")).withColumn("_mark", mark)
     flat = bind(flat.join(gone, ["_id", "_mark"], "left"), "_split", F.split(F.coalesce("_text", F.lit("")), "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("drop"))
