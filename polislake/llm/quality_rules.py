@@ -6,8 +6,9 @@ words in content lines reach ``least_share`` of its words. Texts are read in
 one pass and never shuffled; counts come from running sums over whole batches.
 
 The CRF is trained in numpy on a bounded sample of labelled documents
-(``max_labelled`` rows, lowest hashes first, ``MAX_LINES`` lines of each): lines
-of documents labelled good are content, those of bad ones boilerplate; after a
+(``max_labelled`` ids, lowest hashes first). Their texts are cut into sequences
+of ``SEQUENCE`` lines, of which ``max_sequences`` with the lowest hashes are
+used. Lines of documents labelled good are content, those of bad ones boilerplate; after a
 first fit, lines of bad documents that decode as content count as content, and
 the weights are fitted again.
 
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polislake.llm import words
-from polislake.llm.common import annotate, lowest, pick
+from polislake.llm.common import annotate, lowest, pick, stored
 
-MAX_LINES = 64
+SEQUENCE = 64
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["bias", "words_3", "words_9", "words_29", "words_more", "symbols", "many_symbols", "capitals", "digits", "shouts", "repeated", "doubled", "seen", "closed", "long_words"]
 
@@ -115,11 +116,11 @@ class Crf:
     def __init__(self, size: int = len(FEATURES)) -> None:
         self.node, self.move, self.start = np.zeros((size, 2)), np.zeros((2, 2)), np.zeros(2)
 
-    def _marginals(self, x: np.ndarray, real: np.ndarray):
+    def _marginals(self, x: np.ndarray, real: np.ndarray, head: np.ndarray):
         n, length, _ = x.shape
         unary = x @ self.node
         a, b = np.empty((n, length, 2)), np.zeros((n, length, 2))
-        a[:, 0] = unary[:, 0] + self.start
+        a[:, 0] = unary[:, 0] + self.start * head[:, None]
         for i in range(1, length):
             step = np.logaddexp(a[:, i - 1, :1] + self.move[0], a[:, i - 1, 1:] + self.move[1]) + unary[:, i]
             a[:, i] = np.where(real[:, i, None], step, a[:, i - 1])
@@ -132,17 +133,18 @@ class Crf:
         pairs = np.exp(a[:, :-1, :, None] + self.move + (unary + b)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
         return nodes, pairs
 
-    def fit(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
-        """Adam on the penalised mean log-likelihood; ``y`` one label per line, ``real`` marks lines that exist."""
+    def fit(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, head: np.ndarray | None = None, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+        """Adam on the penalised mean log-likelihood; ``y`` one label per line, ``real`` marks lines that exist, ``head`` sequences that begin a text."""
+        head = np.ones(len(x), bool) if head is None else head
         want = np.eye(2)[y] * real[:, :, None]
         want_pairs = want[:, :-1, :, None] * want[:, 1:, None, :]
         params = [self.node, self.move, self.start]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         total = max(1, real.sum())
         for step in range(1, steps + 1):
-            nodes, pairs = self._marginals(x, real)
+            nodes, pairs = self._marginals(x, real, head)
             gap = want - nodes
-            grads = [np.einsum("nlf,nlk->fk", x, gap), (want_pairs - pairs).sum((0, 1)), gap[:, 0].sum(0)]
+            grads = [np.einsum("nlf,nlk->fk", x, gap), (want_pairs - pairs).sum((0, 1)), gap[head, 0].sum(0)]
             for i, (p, g) in enumerate(zip(params, grads, strict=True)):
                 g = g / total - ridge * p
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
@@ -173,7 +175,7 @@ class Crf:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000) -> Crf | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, max_sequences: int = 6000) -> Crf | None:
     """A CRF from documents labelled 1 (good) or 0 (bad); null without both kinds."""
     known = pick(labels, _id=(id_col, "bigint"), _label=(label_col, "int")).filter("_label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
@@ -182,8 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for t in words.chunks(batch.column(1)):
                 _, feats, _, first = measure(t)
-                rows = [feats[a : min(b, a + MAX_LINES)].ravel().tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.rows.start, len(rows)), pa.array(rows, pa.list_(pa.float32()))], ["_id", "lines"])
+                ids = batch.column(0).slice(t.rows.start, len(first) - 1).to_pylist()
+                rows = [(i, a - begin, feats[a : min(end, a + SEQUENCE)].ravel().tolist()) for i, begin, end in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True) for a in range(begin, end, SEQUENCE)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.float32())))], ["_id", "at", "lines"])
 
     # As many of either kind, so that the commoner one does not drown the other.
     half = max_labelled // 2
@@ -191,23 +194,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for kind in (0, 1):
         part = lowest(known.filter(F.col("_label") == kind), half, "_id")
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = texts.join(chosen.select("_id"), "_id", "left_semi").mapInArrow(lines, "_id bigint, lines array<float>").join(chosen, "_id").orderBy("_id", "lines").limit(2 * max_labelled).collect()
+    cut = stored(texts.join(chosen.select("_id"), "_id", "left_semi").mapInArrow(lines, "_id bigint, at bigint, lines array<float>"), "sequences")
+    rows = lowest(cut, max_sequences, "_id", "at", "lines").join(chosen, "_id").orderBy("_id", "at", "lines").collect()
     if {r["_label"] for r in rows} != {0, 1}:
         return None
-    x = np.zeros((len(rows), MAX_LINES, len(FEATURES)), np.float32)
-    real = np.zeros((len(rows), MAX_LINES), bool)
-    y = np.zeros((len(rows), MAX_LINES), np.int64)
+    x = np.zeros((len(rows), SEQUENCE, len(FEATURES)), np.float32)
+    real = np.zeros((len(rows), SEQUENCE), bool)
+    y = np.zeros((len(rows), SEQUENCE), np.int64)
     for i, r in enumerate(rows):
         f = np.array(r["lines"], np.float32).reshape(-1, len(FEATURES))
         x[i, : len(f)], real[i, : len(f)], y[i] = f, True, r["_label"]
-    first = Crf().fit(x, y, real)
+    head = np.array([r["at"] == 0 for r in rows])
+    first = Crf().fit(x, y, real, head)
     bad = np.flatnonzero(y[:, 0] == 0)
     at = np.concatenate([[0], np.cumsum(real[bad].sum(1))])
     good = first.decode(x[bad][real[bad]], at).astype(bool)
     again = y[bad]
     again[real[bad]] = good
     y[bad] = again
-    return Crf().fit(x, y, real)
+    return Crf().fit(x, y, real, head)
 
 
 def judge(docs: DataFrame, model: Crf | None, text_col: str = "text", least_words: int = 50, most_repeats: int = 50, least_share: float = 0.5) -> DataFrame:
