@@ -1,8 +1,8 @@
 """Sum-of-squares packing of tokenised documents into sequences.
 
 Texts are tokenised where they lie; only piece lengths are shuffled. Pieces are
-dealt by hash into groups of about ``GROUP`` pieces, and each group is packed in
-one task, longest first: a piece goes where the sum of the squared numbers of
+dealt by their row number in the stored table into groups of about ``GROUP``
+pieces, equal rows included, and each group is packed in one task, longest first: a piece goes where the sum of the squared numbers of
 open bins per residual gap becomes smallest, a new bin being one of the choices
 (ties: the smallest gap). The number of groups grows with the input, so a task
 never holds more; a group leaves a handful of bins partly filled, which is
@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     texts = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
     pieces = stored(texts.mapInArrow(_tokenise(tokenizer, capacity, end), _PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(_packer(capacity), _PIECES + ", sequence_id bigint, offset bigint")
 
 
