@@ -7,10 +7,12 @@ this template and of other common ones) get a backslash behind their opening
 bracket; one that already has backslashes there gets one more, which makes the
 escape reversible.
 
-One shuffle by conversation: running lengths give each text its place in the
-output, then the turn structs are collected, sorted and concatenated. A
-conversation is one output row, so its turns meet in one task whatever their
-number; all steps are linear in it.
+One shuffle by conversation: the turn structs are collected, sorted and folded
+with ``aggregate``, which puts a turn into the block before it if the roles are
+the same. A fold copies what it has so far at each step, so arrays are folded in
+slices first and the slices' results then: a long
+conversation costs a small multiple of its length. A conversation is one output
+row, so its turns meet in one task whatever their number.
 
 Defined cases: null text or role is empty; turns of one number are ordered by
 role and text; repeated rows are repeated turns; a null turn comes first; null
@@ -22,9 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from polislake.llm.common import pick
+from polislake.llm.common import bind, pick, slices, starts
 
 # Control strings that texts must not contain unescaped, after their opening bracket.
 _CONTROL = r"(/?(?:s>|INST\]|SYS>>)|\|)"
@@ -39,22 +40,36 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"([<\[])\\(\\*)" + _CONTROL, "$1$2$3")
 
 
+def blocks(turns: Column) -> Column:
+    """Sorted turns as blocks (role, texts): neighbours of one role share a block."""
+    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    block = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
+
+    def joined(done: Column, more: Column) -> Column:
+        """Two lists of blocks in a row; blocks at their border merge if they are of one role."""
+        last, first = F.element_at(done, -1), F.element_at(more, 1)
+        same = (F.size(done) > 0) & (F.size(more) > 0) & (F.get(done, F.size(done) - 1)["role"] == F.get(more, F.lit(0))["role"])
+        merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(block(last["role"], F.concat(last["texts"], first["texts"]))), F.slice(more, F.lit(2), F.size(more)))
+        return F.when(same, merged).otherwise(F.concat(done, more))
+
+    folded = F.transform(slices(turns), lambda part: F.aggregate(part, none, lambda done, t: joined(done, F.array(block(t["_role"], F.array(t["_text"]))))))
+    return F.aggregate(folded, none, joined)
+
+
 def format_chats(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
     """``(_conv, formatted, loss)``: the text, and the code-point spans (start, length) of the texts of role ``learn``."""
     rows = pick(chats, _conv=(conv_col, "bigint"), _turn=(turn_col, "bigint"), _role=(role_col, "string"), _text=(text_col, "string"))
-    rows = rows.select("_conv", "_turn", *[escape(F.coalesce(c, F.lit(""))).alias(c) for c in ("_role", "_text")])
-    order = Window.partitionBy("_conv").orderBy("_turn", "_role", "_text")
-    rows = rows.withColumn("_before", F.lag("_role").over(order)).withColumn("_at", F.row_number().over(order))
-    opening = F.concat(F.when(F.col("_at") > 1, F.lit(END)).otherwise(F.lit("")), F.lit(START), F.col("_role"), F.lit(TEXT))
-    lead = F.when(F.col("_role").eqNullSafe(F.col("_before")), F.lit(NEXT)).otherwise(opening)
-    rows = rows.withColumn("_lead", lead).withColumn("_size", (F.char_length("_lead") + F.char_length("_text")).cast("bigint"))
-    rows = rows.withColumn("_start", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.char_length("_text"))
-    turns = F.array_sort(F.collect_list(F.struct("_at", "_lead", "_role", "_text", "_start")))
-    chats = rows.groupBy("_conv").agg(turns.alias("turns"))
-    body = F.array_join(F.transform("turns", lambda t: F.concat(t["_lead"], t["_text"])), "")
-    learned = F.filter("turns", lambda t: t["_role"] == F.lit(learn))
-    loss = F.transform(learned, lambda t: F.struct(t["_start"].alias("start"), F.char_length(t["_text"]).cast("bigint").alias("length")))
-    return chats.select("_conv", F.concat(body, F.lit(END)).alias("formatted"), loss.alias("loss"))
+    turn = F.struct("_turn", *[escape(F.coalesce(c, F.lit(""))).alias(c) for c in ("_role", "_text")])
+    chats = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chats = bind(chats, "blocks", blocks(F.col("turns")))
+    # Every text with the length of what stands before it and after the text before.
+    lead = lambda b, i, j: F.when(j > 0, len(NEXT)).otherwise(F.when(i > 0, len(END)).otherwise(0) + len(START) + F.char_length(b["role"]) + len(TEXT))
+    pieces = F.flatten(F.transform("blocks", lambda b, i: F.transform(b["texts"], lambda x, j: F.struct(b["role"].alias("role"), lead(b, i, j).cast("bigint").alias("lead"), F.char_length(x).cast("bigint").alias("length")))))
+    chats = bind(chats.select("_conv", "blocks", pieces.alias("pieces")), "starts", starts(F.transform("pieces", lambda p: p["lead"] + p["length"])))
+    spans = F.zip_with("pieces", "starts", lambda p, at: F.struct(p["role"].alias("role"), (at + p["lead"]).alias("start"), p["length"].alias("length")))
+    loss = F.transform(F.filter(spans, lambda x: x["role"] == F.lit(learn)), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    body = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END))), "")
+    return chats.select("_conv", body.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

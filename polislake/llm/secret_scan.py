@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import LOWER, UPPER, bind, lowest, pick, stored
+from polislake.llm.common import LOWER, UPPER, bind, lowest, pick, slice_starts, start_at, starts, stored
 
 CANDIDATE = r"[A-Za-z0-9+/_-]"
 # Words that announce a secret, and path parts of examples and tests.
@@ -42,18 +42,19 @@ def candidates(docs: DataFrame, least: int) -> DataFrame:
     """``(_row, _path, start, value, word, before, after)``; ``start`` counts code points."""
     # One white-space character parts two words, so that places can be summed up.
     words = bind(docs.filter(F.regexp_like("_text", F.lit(f"{CANDIDATE}{{{least}}}"))), "_words", F.split("_text", r"[\x20\x09-\x0D]", -1))
-    sizes = bind(words, "_sizes", F.transform("_words", lambda w: F.char_length(w)))
-    at = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_sizes", i) >= least)
-    near = lambda k: F.coalesce(F.get("_words", F.col("_at") + k), F.lit(""))
-    start = F.aggregate(F.slice("_sizes", F.lit(1), F.col("_at")), F.lit(0), lambda a, x: a + x) + F.col("_at")
-    found = sizes.select("_row", "_path", "_words", "_sizes", F.explode(at).alias("_at"))
-    found = found.select("_row", "_path", "_words", "_sizes", "_at", near(0).alias("word")).filter(F.regexp_like("word", F.lit(f"{CANDIDATE}{{{least}}}")))
-    found = found.select("_row", "_path", "word", start.alias("_start"), F.concat_ws(" ", near(-2), near(-1)).alias("before"), near(1).alias("after"))
-    parts = F.regexp_extract_all("word", F.lit(f"{CANDIDATE}{{{least},}}"), F.lit(0))
-    found = found.select("*", F.posexplode(parts).alias("_nth", "value"))
-    # Equal parts of one word are told apart by their order.
-    lead = F.call_function("regexp_extract", F.col("word"), F.concat(F.lit(f"^((?:.*?{CANDIDATE}{{{least},}}){{"), F.col("_nth").cast("string"), F.lit("}.*?)" + f"{CANDIDATE}{{{least},}}")), F.lit(1))
-    return found.withColumn("start", (F.col("_start") + F.char_length(lead)).cast("bigint")).drop("_start")
+    words = bind(words, "_sizes", F.transform("_words", lambda w: F.char_length(w) + F.lit(1).cast("bigint")))
+    words = bind(words, "_before", slice_starts(F.col("_sizes")))
+    # Only a candidate's own struct is spread out, never the arrays of its text.
+    at = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get("_sizes", i) > least)
+    near = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
+    place = F.transform(at, lambda i: F.struct(near(i).alias("word"), start_at(F.col("_sizes"), F.col("_before"), i).alias("_start"), F.concat_ws(" ", near(i - 2), near(i - 1)).alias("before"), near(i + 1).alias("after")))
+    found = words.select("_row", "_path", F.explode(place).alias("_at")).select("_row", "_path", "_at.*").filter(F.regexp_like("word", F.lit(f"{CANDIDATE}{{{least}}}")))
+    # A word's parts and what stands before each, in one pass over the word.
+    found = bind(found, "_parts", F.regexp_extract_all("word", F.lit(f"{CANDIDATE}{{{least},}}"), F.lit(0)))
+    found = bind(found, "_between", F.transform(F.slice(F.split("word", f"{CANDIDATE}{{{least},}}", -1), F.lit(1), F.size("_parts")), lambda x: F.char_length(x).cast("bigint")))
+    before = F.zip_with(starts(F.zip_with("_between", "_parts", lambda gap, part: gap + F.char_length(part))), "_between", lambda s, gap: s + gap)
+    found = found.select("_row", "_path", "word", "_start", "before", "after", F.explode(F.arrays_zip(F.col("_parts").alias("value"), before.alias("lead"))).alias("_part"))
+    return found.select("_row", "_path", "word", "before", "after", F.col("_part.value").alias("value"), (F.col("_start") + F.col("_part.lead")).alias("start"))
 
 
 def bigram_table(words: DataFrame) -> list[float]:
