@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import LOWER, UPPER, annotate, pick
+from polislake.llm.common import LOWER, UPPER, annotate, pick, stored
 
 BLOCK = 4_000_000
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -121,29 +121,33 @@ def _finder(items: list[tuple[int, str]], rate: float):
     return find
 
 
-def blocks(bench: DataFrame, most: int = BLOCK):
-    """The folded items, in lists of at most ``most`` characters (one item at least)."""
-    block, size = [], 0
-    for r in bench.toLocalIterator():
-        text = fold(r["_text"] or "")
-        if not text:
-            continue
-        if block and size + len(text) > most:
-            yield block
-            block, size = [], 0
-        block.append((r["_item"], text))
-        size += len(text)
-    if block:
-        yield block
+def _folded(batches):
+    for batch in batches:
+        texts = [fold(x.as_py() or "") for x in batch.column(1)]
+        keep = [i for i, t in enumerate(texts) if t]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[i] for i in keep], pa.string()), pa.array([len(texts[i]) for i in keep], pa.int64())], ["_item", "_text", "_size"])
 
 
-def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05) -> DataFrame:
+def blocks(bench: DataFrame, most: int):
+    """The folded items, written in numbered blocks of about ``most`` characters and read one block after the other."""
+    items = stored(bench.mapInArrow(_folded, "_item bigint, _text string, _size bigint"), "items")
+    n = -(-(items.agg(F.sum("_size")).first()[0] or 0) // most)
+    if n > 1:
+        items = stored(items.withColumn("_block", F.pmod(F.xxhash64("_item", "_text"), F.lit(n))).repartition("_block"), "blocks")
+    for i in range(n):
+        # The driver holds the items of one block.
+        yield [(r["_item"], r["_text"]) for r in (items.filter(F.col("_block") == i) if n > 1 else items).orderBy("_item", "_text").collect()], i == n - 1
+
+
+def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05, block: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id, distance, start, length)``: each item a document holds, its best place in the folded text."""
     docs = pick(docs, _id=(id_col, "bigint"), _text=(text_col, "string"))
     bench = pick(bench, _item=(item_col, "bigint"), _text=(item_text_col, "string")).distinct()
     out = None
-    for block in blocks(bench):
-        found = docs.mapInArrow(_finder(block, rate), _FOUND)
+    for items, last in blocks(bench, block):
+        found = docs.mapInArrow(_finder(items, rate), _FOUND)
+        # A block's pass is run and its items let go before the next one is read.
+        found = found if last else stored(found, "found")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], _FOUND)
@@ -151,15 +155,16 @@ def find_items(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     return out.groupBy("doc_id", "item_id").agg(F.min(order).alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05) -> DataFrame:
+def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05, block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows that hold an item; row by row, nothing is shuffled."""
     bench = pick(bench, _item=(item_col, "bigint"), _text=(item_text_col, "string")).distinct()
     names = docs.columns
-    for block in blocks(bench):
+    for items, last in blocks(bench, block):
 
-        def make(column: pa.Array, block=block) -> list[pa.Array]:
-            items = Items(block, rate)
-            return [pa.array([x.is_valid and bool(items.find(fold(x.as_py()))) for x in column], pa.bool_())]
+        def make(column: pa.Array, items=items) -> list[pa.Array]:
+            known = Items(items, rate)
+            return [pa.array([x.is_valid and bool(known.find(fold(x.as_py()))) for x in column], pa.bool_())]
 
         docs = annotate(docs, text_col, [("_leaked", "boolean")], make).filter("not _leaked").select(*[f"`{c}`" for c in names])
+        docs = docs if last else stored(docs, "clean")
     return docs
