@@ -209,6 +209,8 @@ def recommendations(counts: DataFrame) -> DataFrame:
             F.when(c("politicians_without_party") > 0, say("politicians_without_party", " politicians have no party")),
             F.when((c("politicians_without_committees") * 2 > c("active_politicians")) & (c("active_politicians") > 0), F.lit("More than 50% of politicians have no committee")),
             F.when((c("pmg_documents_without_mentions") * 2 > c("total_pmg_documents")) & (c("total_pmg_documents") > 0), say("pmg_documents_without_mentions", " documents have no mentions")),
+            F.when(c("politicians_without_aliases") > 0, say("politicians_without_aliases", " politicians have no aliases")),
+            F.when(c("politicians_without_source_url") > 0, say("politicians_without_source_url", " politicians have no source URL")),
             F.when(c("parliamentary_questions_without_archive_path") > 0, say("parliamentary_questions_without_archive_path", " questions have no archive path")),
             F.when(c("unresolved_entities_open") > vocab.UNRESOLVED_FAIL_ABOVE, say("unresolved_entities_open", " unresolved entities are OPEN")),
             F.when(c("parliamentary_question_parse_failed") > 0, say("parliamentary_question_parse_failed", " question files failed to parse")),
@@ -258,12 +260,14 @@ def actions(domains: DataFrame, sources: DataFrame, risk_rows: DataFrame) -> Dat
     weak = domains.agg(F.max(F.struct("missing_url", "domain")).alias("w")).where("w.missing_url > 0")
     red = risk_rows.agg(F.count_if(F.col("level") == "red").alias("n"), F.max(F.when(F.col("risk") == "Open unresolved entities", F.col("value"))).alias("o"))
     act = lambda df, i, msg: df.select(F.lit(i).alias("position"), msg.alias("action"))
-    return union_all([
+    found = union_all([
         act(empty, 1, F.concat(F.lit("Ingest or validate the next empty source domain: "), "s", F.lit("."))),
         act(weak, 2, F.concat(F.lit("Repair missing source URLs in "), "w.domain", F.lit(" ("), F.col("w.missing_url").cast("string"), F.lit(" records)."))),
         act(red.where("o > 0"), 3, F.concat(F.lit("Review "), F.col("o").cast("string"), F.lit(" open unresolved entities before entity-level coverage claims."))),
         act(red.where("n > 0"), 4, F.lit("Keep public-facing completeness claims qualified until red risks are resolved.")),
     ])
+    nothing = found.agg(F.count("*").alias("k")).where("k = 0")
+    return found.unionByName(act(nothing, 5, F.lit("No immediate data coverage action is required.")))
 
 
 def launch_coverage(counts: DataFrame, sweep_totals: DataFrame, fallback: Mapping[str, int]) -> DataFrame:
@@ -382,16 +386,43 @@ def classify_runs(stages: DataFrame, red_errors: int = 10) -> DataFrame:
     return g.withColumns({"status": colour, "reasons": F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("real run, all streams advanced, no failures or errors")))})
 
 
+# The steps that follow from a run's facts.
+RUN_STEPS = {
+    "validation": "This was validation only. Enable real scheduled sweeps.",
+    "errors": "Errors occurred: keep the current page cursor (failed streams did not advance) and let the next scheduled run retry the same window.",
+    "larger": "Run is green at pages_per_run={p}. Keep this batch size; after two consecutive green runs, increase to pages_per_run={q}.",
+    "steady": "pages_per_run={p} is at the recommended steady state.",
+    "coverage": "Meeting coverage is {c}%: keep the daily scheduled sweeps running; coverage grows automatically.",
+    "no_votes": "vote_records is 0 while vote_events exist: records are never fabricated and appear when sources include explicit counts.",
+    "no_attendance": "No attendance rows despite ingested meetings: check whether the attendance source is reachable.",
+    "idle": "Check whether the source still publishes new records.",
+}
+STEADY_PAGES = 6
+
+
 def next_actions(classified: DataFrame) -> DataFrame:
-    """R-18: next steps and attention items per run."""
-    steps = F.array_compact(
-        F.array(
-            F.when(F.col("mode") != "real", "This was validation only."),
-            F.when(F.col("errors") > 0, "Errors occurred: keep the current page cursor and let the next run retry the same window."),
-            F.when(F.col("status") == "green", "Run is green: keep this batch size."),
-            F.when((F.col("new_records") == 0) & (F.col("advanced") > 0), "Check whether the source still publishes new records."),
-        )
-    )
+    """R-18: next steps and attention items per run.
+
+    Rows may carry what was known at the time of the run: ``pages_per_run``,
+    ``coverage_pct``, ``vote_events``, ``vote_records``, ``meetings`` and
+    ``attendance``; rules on missing columns do not apply.
+    """
+    has, c = set(classified.columns), F.col
+    text = lambda step, **v: F.concat(*[x for part in RUN_STEPS[step].split("{") for x in ([v[part[0]], F.lit(part[2:])] if part[1:2] == "}" else [F.lit(part)])])
+    pages = c("pages_per_run").cast("string") if "pages_per_run" in has else F.lit("3")
+    number = pages.cast("int")
+    rules = [
+        F.when(c("mode") != "real", text("validation")), F.when(c("errors") > 0, text("errors")),
+        F.when((c("status") == "green") & (number < STEADY_PAGES), text("larger", p=pages, q=F.least(number * 2, F.lit(STEADY_PAGES)).cast("string"))),
+        F.when((c("status") == "green") & (number >= STEADY_PAGES), text("steady", p=pages)),
+    ]
+    if "coverage_pct" in has:
+        rules.append(F.when(c("coverage_pct") < 50, text("coverage", c=c("coverage_pct").cast("string"))))
+    if {"vote_events", "vote_records"} <= has:
+        rules.append(F.when((c("vote_events") > 0) & (c("vote_records") == 0), text("no_votes")))
+    if {"meetings", "attendance"} <= has:
+        rules.append(F.when((c("meetings") > 0) & (c("attendance") == 0), text("no_attendance")))
+    steps = F.array_compact(F.array(*rules, F.when((c("new_records") == 0) & (c("advanced") > 0), text("idle"))))
     none = F.array(F.lit("No action required. Scheduled sweeps continue automatically."))
     return classified.withColumns(
         {"next_actions": F.when(F.size(steps) > 0, steps).otherwise(none), "attention": F.when(F.col("status") == "green", F.array().cast("array<string>")).otherwise(F.col("reasons"))}

@@ -203,19 +203,30 @@ def r01(t):
 
 
 _RECS = [("politicians_without_party", "{n} > 0", " politicians have no party"), ("parliamentary_questions_without_archive_path", "{n} > 0", " questions have no archive path"),
+         ("politicians_without_aliases", "{n} > 0", " politicians have no aliases"), ("politicians_without_source_url", "{n} > 0", " politicians have no source URL"),
          ("unresolved_entities_open", "{n} > 50", " unresolved entities are OPEN"), ("parliamentary_question_parse_failed", "{n} > 0", " question files failed to parse"),
          ("duplicate_politician_slug_count", "{n} > 0", " duplicate politician slugs"), ("duplicate_source_url_count", "{n} > 0", " duplicate document source URLs")]
 
 
-@query("R02_recommendations", " union all ".join(f"select concat({_c(m)}, '{msg}') as recommendation where {cond.format(n=_c(m))}" for m, cond, msg in _RECS)
+_LACKING = {"politicians_without_aliases": "from people where id not in (select person_id from aliases)", "politicians_without_source_url": "from people where profile_url is null"}
+
+
+def _rc(m):
+    return f"(select count(*) {_LACKING[m]})" if m in _LACKING else _c(m)
+
+
+@query("R02_recommendations", f"with {ALIAS_SQL} " + " union all ".join(f"select concat({_rc(m)}, '{msg}') as recommendation where {cond.format(n=_rc(m))}" for m, cond, msg in _RECS)
        + f" union all select 'More than 50% of politicians have no committee' where {_c('politicians_without_committees')} * 2 > {_c('active_politicians')} union all select concat({_c('pmg_documents_without_mentions')}, ' documents have no mentions') where {_c('pmg_documents_without_mentions')} * 2 > {_c('total_pmg_documents')}")
 def r02(t):
     need = [m for m, _, _ in _RECS] + ["politicians_without_committees", "active_politicians", "pmg_documents_without_mentions", "total_pmg_documents"]
-    return ql.recommendations(ql.wide(ql.quality_summary(_all(t)), need))
+    named = t.people.join(alias_table(t.people).select(F.col("person_id").alias("id")).distinct(), "id", "left_anti").agg(F.count("*").cast("double").alias("value")).select(F.lit("politicians_without_aliases").alias("metric"), "value")
+    sourced = t.people.agg(F.count_if(F.col("profile_url").isNull()).cast("double").alias("value")).select(F.lit("politicians_without_source_url").alias("metric"), "value")
+    return ql.recommendations(ql.wide(ql.union_all([ql.quality_summary(_all(t)).select("metric", "value"), named, sourced]), need))
 
 
 _DOMAINS = {"meetings": ("listing", "source_url", "date", "committee_id"), "attendance": ("listing", "source_url", None, "politician_id"), "bills": ("register", "source_url", None, "bill_number"),
-            "questions": ("register", "source_url", "asked_date", "asked_by_name"), "vote_events": ("listing", "source_url", "date", None)}
+            "questions": ("register", "source_url", "asked_date", "asked_by_name"), "vote_events": ("listing", "source_url", "date", None), "people": ("directory", "profile_url", None, "full_name"), "parties": ("directory", "source_url", None, "name"), "committees": ("directory", "source_url", None, "name"),
+            "docs": ("listing", "source_url", None, "title"), "vote_totals": ("results", "source_url", None, "party_name")}
 
 
 def _dom_sql(d):
@@ -244,7 +255,9 @@ def r04(t):
     return ql.combine_sources(_domains(t))
 
 
-_DUPN = "(select count(*) from (select slug from people group by 1 having count(*) > 1))"
+# Keys that must tell rows apart.
+_UNIQUE = {"people": "slug", "committees": "slug", "parties": "short_name", "docs": "source_url", "questions": "source_url"}
+_DUPN = "(" + " + ".join(f"(select count(*) from (select {k} from {v} group by 1 having count(*) > 1))" for v, k in _UNIQUE.items()) + ")"
 _OPEN = "(select count(*) from unresolved where status = 'OPEN')"
 _R05 = f"""with d as (select sum(missing_url)::bigint as u, coalesce(sum(missing_date), 0)::bigint as m, coalesce(sum(date_applicable), 0)::bigint as a from ({_R03}))
    select 'Missing source URLs' as risk, u as value, case when u > 0 then 'red' else 'green' end as level from d union all select 'Missing source dates', m, case when m * 4 > a then 'red' when m > 0 then 'yellow' else 'green' end from d
@@ -253,7 +266,7 @@ _R05 = f"""with d as (select sum(missing_url)::bigint as u, coalesce(sum(missing
 
 def _risks(t):
     open_ = t.unresolved.agg(F.count_if(F.col("status") == "OPEN").alias("n"))
-    dup = tb.duplicate_groups(t.people, "slug").agg(F.count("*").alias("n"))
+    dup = ql.union_all([tb.duplicate_groups(getattr(t, v), k).agg(F.count("*").alias("n")) for v, k in _UNIQUE.items()]).agg(F.sum("n").alias("n"))
     return ql.risks(_domains(t), open_, dup)
 
 
@@ -265,21 +278,33 @@ def r05(t):
 @query("R06_actions", f"""with r as ({_R05}), d as ({_R03})
    select 2 as position, concat('Repair missing source URLs in ', domain, ' (', missing_url, ' records).') as action from (select * from d order by missing_url desc, domain desc limit 1) where missing_url > 0
    union all select 3, concat('Review ', {_OPEN}, ' open unresolved entities before entity-level coverage claims.') where {_OPEN} > 0
-   union all select 4, 'Keep public-facing completeness claims qualified until red risks are resolved.' where exists (select 1 from r where level = 'red')""")
+   union all select 4, 'Keep public-facing completeness claims qualified until red risks are resolved.' where exists (select 1 from r where level = 'red')
+   union all select 5, 'No immediate data coverage action is required.' where not exists (select 1 from r where level = 'red') and {_OPEN} = 0 and (select max(missing_url) from d) = 0""")
 def r06(t):
     d = _domains(t)
     return ql.actions(d, ql.combine_sources(d), _risks(t))
 
 
+_COUNTED = ("bills", "vote_events", "vote_records", "meetings", "attendance", "questions")
+
+
 @query("R07_dashboard", f"""select 'source' as part, source as item, records::double as value, case when records > 0 then 'available' else 'unavailable' end as note from ({_R04}) union all select 'risk', risk, value::double, level from ({_R05})
-   union all select 'public_claim', 'safe', count(*) filter (where level = 'red')::double, case when count(*) filter (where level = 'red') > 0 then 'no' else 'yes' end from ({_R05})""")
+   union all select 'public_claim', 'safe', count(*) filter (where level = 'red')::double, case when count(*) filter (where level = 'red') > 0 then 'no' else 'yes' end from ({_R05})
+   union all select 'election', unnest(['vote totals', 'votes', 'manifests with totals']), unnest([n, v, k]), case when n > 0 then 'ingested' else 'missing' end from (select count(*)::double as n, coalesce(sum(vote_total), 0)::double as v, count(distinct manifest_key)::double as k from vote_totals)
+   union all select 'election', unnest(['manifests', 'reachable manifests']), unnest([n, r]), case when n > 0 then 'ingested' else 'missing' end from (select count(*)::double as n, count(*) filter (where reachable)::double as r from manifests)
+   union all """ + " union all ".join(f"select 'accountability', '{v}', count(*)::double, case when count(*) > 0 then 'available' else 'unavailable' end from {v}" for v in _COUNTED))
 def r07(t):
     d, r = ql.combine_sources(_domains(t)), _risks(t)
     red = r.agg(F.count_if(F.col("level") == "red").alias("n"))
+    totals = t.vote_totals.agg(F.count("*").alias("a"), F.coalesce(F.sum("vote_total"), F.lit(0)).alias("b"), F.count_distinct("manifest_key").alias("c"))
+    sources = t.manifests.agg(F.count("*").alias("a"), F.count_if("reachable").alias("b"))
     row = lambda df, part, item, value, note: df.select(F.lit(part).alias("part"), item.alias("item"), value.cast("double").alias("value"), note.alias("note"))
     return ql.union_all([
         row(d, "source", F.col("source"), F.col("records"), F.when(F.col("records") > 0, "available").otherwise("unavailable")), row(r, "risk", F.col("risk"), F.col("value"), F.col("level")),
         row(red, "public_claim", F.lit("safe"), F.col("n"), F.when(F.col("n") > 0, "no").otherwise("yes")),
+        *[row(totals, "election", F.lit(item), F.col(c), F.when(F.col("a") > 0, "ingested").otherwise("missing")) for item, c in (("vote totals", "a"), ("votes", "b"), ("manifests with totals", "c"))],
+        *[row(sources, "election", F.lit(item), F.col(c), F.when(F.col("a") > 0, "ingested").otherwise("missing")) for item, c in (("manifests", "a"), ("reachable manifests", "b"))],
+        *[row(getattr(t, v).agg(F.count("*").alias("n")), "accountability", F.lit(v), F.col("n"), F.when(F.col("n") > 0, "available").otherwise("unavailable")) for v in _COUNTED],
     ])
 
 
@@ -439,12 +464,19 @@ def r16(t):
     return some.unionByName(issues)
 
 
-@query("R18_next_actions", f"""with {_CLASS} select run_key, (case when mode <> 'real' then 1 else 0 end) + (case when errors > 0 then 1 else 0 end) + (case when status = 'green' then 1 else 0 end) + (case when new_records = 0 and advanced > 0 then 1 else 0 end) as n_actions,
-   status = 'green' as quiet from cl""")
+_RUN_FACTS = "1 + run_key % 7 as pages_per_run, run_key * 7 % 100 as coverage_pct, run_key % 3 as vote_events, run_key % 2 as vote_records, run_key % 5 as meetings, run_key % 4 as attendance"
+_STEP = {k: "'" + re.sub(r"\{(\w)\}", r"' || {\1} || '", v) + "'" for k, v in ql.RUN_STEPS.items()}
+
+
+@query("R18_next_actions", f"""with {_CLASS}, x as (select *, {_RUN_FACTS} from cl), s as (select run_key, status, list_filter([case when mode <> 'real' then {_STEP["validation"]} end, case when errors > 0 then {_STEP["errors"]} end,
+     case when status = 'green' and pages_per_run < 6 then {_STEP["larger"].format(p="pages_per_run", q="least(pages_per_run * 2, 6)")} end, case when status = 'green' and pages_per_run >= 6 then {_STEP["steady"].format(p="pages_per_run")} end,
+     case when coverage_pct < 50 then {_STEP["coverage"].format(c="coverage_pct")} end, case when vote_events > 0 and vote_records = 0 then {_STEP["no_votes"]} end, case when meetings > 0 and attendance = 0 then {_STEP["no_attendance"]} end,
+     case when new_records = 0 and advanced > 0 then {_STEP["idle"]} end], lambda v: v is not null) as steps from x)
+   select run_key, case when len(steps) > 0 then array_to_string(steps, chr(10)) else 'No action required. Scheduled sweeps continue automatically.' end as next_actions, status = 'green' as quiet from s""")
 def r18(t):
-    a = ql.next_actions(_classified(t))
-    n = F.when(F.element_at("next_actions", 1).startswith("No action"), 0).otherwise(F.size("next_actions"))
-    return a.select("run_key", n.alias("n_actions"), (F.size("attention") == 0).alias("quiet"))
+    facts = [F.expr(x.rsplit(" as ", 1)[0]).alias(x.rsplit(" as ", 1)[1]) for x in _RUN_FACTS.split(", ")]
+    a = ql.next_actions(_classified(t).select("*", *facts))
+    return a.select("run_key", F.array_join("next_actions", "\n").alias("next_actions"), (F.size("attention") == 0).alias("quiet"))
 
 
 @query("R20_recent_identity_runs", "select id, run_type, status from runs where run_type in ('identity_bootstrap', 'alias_regeneration', 'party_enrichment') order by started_at desc, id desc limit 20")

@@ -128,13 +128,13 @@ SEARCH_STOP_WORDS = [
     "mk", "ifp",
 ]
 DISPLAY_REPLACEMENTS = [
-    ("\u00e2\u0080\u0099", "'"), ("\u00c3\u00a2\u00c2\u0080\u00c2\u0099", "'"), ("\u00e2\u20ac\u2122", "'"),
-    ("\u2019", "'"), ("\u2018", "'"),
-    ("\u00e2\u0080\u00af", " "), ("\u202f", " "),
-    ("\u00e2\u0080\u0091", "-"), ("\u2011", "-"), ("\u00e2\u0080\u0093", "-"), ("\u2013", "-"),
-    ("\u00e2\u0080\u0094", "-"), ("\u00c3\u00a2\u00c2\u0080\u00c2\u0094", "-"), ("\u00e2\u20ac\u201d", "-"), ("\u2014", "-"),
-    ("\u00e2\u0080\u00a6", "..."), ("\u2026", "..."),
-    ("\u00e3\u0080\u0090", "["), ("\u00e3\u0080\u0091", "]"), ("\u3010source\u3011", ""), ("[source]", ""),
+    ("â\u0080\u0099", "'"), ("Ã¢Â\u0080Â\u0099", "'"), ("â€™", "'"),
+    ("’", "'"), ("‘", "'"),
+    ("â\u0080¯", " "), ("\u202f", " "),
+    ("â\u0080\u0091", "-"), ("‑", "-"), ("â\u0080\u0093", "-"), ("–", "-"),
+    ("â\u0080\u0094", "-"), ("Ã¢Â\u0080Â\u0094", "-"), ("â€”", "-"), ("—", "-"),
+    ("â\u0080¦", "..."), ("…", "..."),
+    ("ã\u0080\u0090", "["), ("ã\u0080\u0091", "]"), ("【source】", ""), ("[source]", ""),
 ]
 
 FORMAT_BY_EXTENSION = [
