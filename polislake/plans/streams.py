@@ -129,6 +129,24 @@ def st09b(t):
     return latest.groupBy("status").agg(F.count("*").alias("n"))
 
 
+_STUCK = f"""select run_id, ts as started_at from ({_EV.format(events='events')}) s where kind = 'start' and not exists (select 1 from ({_EV.format(events='events')}) f where f.kind = 'finish' and f.run_id = s.run_id and f.ts >= s.ts and f.ts <= s.ts + interval 24 hour)"""
+
+
+@query("ST09_stuck_runs", _STUCK)
+def st09c(t):
+    return runs.stuck(t.spark.sql(_EV, events=t.events), 24).withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
+@query("ST09_stuck_runs_stream", f"select * from ({_STUCK}) where started_at < timestamp '2024-01-20'")
+def st09d(t):
+    """Starts whose time was up well before the watermark."""
+    folder = _folder(t)
+    live = runs.stuck(t.spark.sql(_EV, events=_stream(t, "events")), 24, "1 day")
+    ingest.write_batches(live, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    done = t.spark.read.parquet(f"{folder}/out").select("run_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"))
+    return done.where("started_at < timestamp_ntz '2024-01-20 00:00:00'")
+
+
 _RATE = "select time_bucket(interval 7 day, started_at, timestamp '1970-01-01') as window_start, source_name, count(*) as runs, count(*) filter (where status = 'failed') as failed, max(started_at) filter (where status = 'completed') as last_completed from runs group by 1, 2"
 
 

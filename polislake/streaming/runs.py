@@ -29,6 +29,25 @@ def life_cycle(events: DataFrame) -> DataFrame:
     return g.withColumn("status", status)
 
 
+def stuck(events: DataFrame, hours: int, delay: str | None = None) -> DataFrame:
+    """U-16/ST-09: starts without a finish within ``hours``, for batch and stream alike.
+
+    ``events`` is ``(run_id, kind, ts)``. As a stream, starts are joined to
+    finishes by run and time range; with the watermark ``delay`` a start is
+    kept until its time is up, then it comes out as stuck once, and state of
+    finished runs is dropped. In append mode only starts whose time was up at
+    the watermark come out.
+    """
+    ts = F.col("ts").cast("timestamp")
+    starts = events.where("kind = 'start'").select("run_id", ts.alias("started_at"))
+    ends = events.where("kind = 'finish'").select(F.col("run_id").alias("_run"), ts.alias("finished_at"))
+    if delay:
+        starts, ends = starts.withWatermark("started_at", delay), ends.withWatermark("finished_at", delay)
+    in_time = (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= F.col("started_at") + F.expr(f"interval {int(hours)} hours"))
+    joined = starts.join(ends, (F.col("run_id") == F.col("_run")) & in_time, "left")
+    return joined.where("finished_at is null").select("run_id", "started_at")
+
+
 def transient(errors: DataFrame, keys: list[str]) -> DataFrame:
     """ST-14: an item is worth a retry when all its errors look transient."""
     soft = F.col("error_type").isin(TRANSIENT_TYPES) | contains_any(F.lower(F.coalesce("error", F.lit(""))), TRANSIENT_WORDS)

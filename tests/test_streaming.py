@@ -158,3 +158,27 @@ def test_merge_with_a_hot_null_key(spark):
     new = spark.createDataFrame([(None, 7), (5, 8), (500, 9)], "k int, v int")
     got = [tuple(r) for r in merge_upsert(old, new, ["k"], {}).collect()]
     assert len(got) == 151 and got.count((None, 7, "updated")) == 50 and (5, 8, "updated") in got and (500, 9, "created") in got
+
+
+def test_stuck_runs_of_a_log_in_three_files(spark, tmp_path):
+    from polislake.streaming import ingest, runs
+
+    hour = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    log = []
+    for run in range(30):
+        log.append((run, "start", 5 * run))
+        if run % 3:
+            log.append((run, "finish", 5 * run + (10 if run % 3 == 1 else 30)))
+    log += [(1000, "start", 600), (1000, "finish", 601), (1001, "progress", 602)]
+    log.sort(key=lambda e: e[2])
+    for i in range(3):
+        part = log[i * len(log) // 3 : (i + 1) * len(log) // 3]
+        spark.createDataFrame([(r, k, hour(h)) for r, k, h in part], "run_id int, kind string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    schema = "run_id int, kind string, ts timestamp"
+    whole = runs.stuck(spark.read.schema(schema).parquet(str(tmp_path / "log")), 24)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    ingest.write_batches(runs.stuck(stream, 24, "2 hours"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    want = {r for r in range(30) if r % 3 != 1}
+    assert {r["run_id"] for r in whole.collect()} == want
+    got = [r["run_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(want)
