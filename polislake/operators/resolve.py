@@ -60,7 +60,10 @@ def dictionaries(people: DataFrame, aliases: DataFrame) -> tuple[DataFrame, Data
     ).where(F.length("key") >= 5)
     tail = _unique(last, 6, "unique_surname", False)
     weak = alias.unionByName(short).unionByName(tail)
-    by_name = _best(strong, "strong").join(_best(weak, "weak"), "key", "full_outer")
+    # One aggregate with two conditional minima instead of an outer join of two dictionaries.
+    row = F.struct("priority", "person_id", "confidence", "reason")
+    first = F.col("priority") <= 2
+    by_name = strong.unionByName(weak).groupBy("key").agg(F.min(F.when(first, row)).alias("strong"), F.min(F.when(~first, row)).alias("weak"))
     by_slug = _best(_keyed(people, "id", F.col("slug"), 3, vocab.CONF_SLUG, F.lit("slug")), "by_slug")
     return by_name, by_slug
 
