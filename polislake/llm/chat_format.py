@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import bind, pick, slices, starts
+from polislake.functions.arrays import slices, starts
+from polislake.llm.common import bind, pick
 
 # Control strings that texts must not contain unescaped, after their opening bracket.
 _CONTROL = r"(/?(?:s>|INST\]|SYS>>)|\|)"

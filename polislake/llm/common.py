@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polislake.functions.arrays import SLICE, slices, starts
+
 #: The white space of the word and line rules: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Elements of an array that are folded in one go; a fold copies what it has so far at each step.
-SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,11 +89,6 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
-def slices(values: Column) -> Column:
-    """The array cut into slices of ``SLICE`` elements."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / SLICE).cast("int")), lambda i: F.slice(values, i * SLICE + 1, F.lit(SLICE)))
-
-
 def slice_starts(sizes: Column) -> Column:
     """The sum of all elements before each slice."""
     zero = F.lit(0).cast("bigint")
@@ -106,20 +101,6 @@ def start_at(sizes: Column, before: Column, i: Column) -> Column:
     return F.get(before, first) + F.aggregate(F.slice(sizes, first * SLICE + 1, i - first * SLICE), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def starts(sizes: Column) -> Column:
-    """The sum of all elements before each one."""
-    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
-    none = F.array().cast("array<bigint>")
-
-    def run(part: Column, begin: Column) -> Column:
-        return F.aggregate(part, state(begin, none), lambda s, x: state(s["at"] + x, F.concat(s["out"], F.array(s["at"]))))["out"]
-
-    parts = slices(sizes)
-    zero = F.lit(0).cast("bigint")
-    begins = run(F.transform(parts, lambda part: F.aggregate(part, zero, lambda a, x: a + x)), zero)
-    return F.flatten(F.zip_with(parts, begins, run))
-
-
 def annotate(docs: DataFrame, text_col: str, made: list[tuple[str, str]], make) -> DataFrame:
     """``docs`` plus the columns ``made`` (name, type), which ``make(text array)`` returns as Arrow arrays.
 

@@ -29,7 +29,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polislake.llm.common import LOWER, UPPER, bind, lowest, pick, slice_starts, start_at, starts, stored
+from polislake.functions.arrays import starts
+from polislake.llm.common import LOWER, UPPER, bind, lowest, pick, slice_starts, start_at, stored
 
 CANDIDATE = r"[A-Za-z0-9+/_-]"
 # Words that announce a secret, and path parts of examples and tests.

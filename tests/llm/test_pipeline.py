@@ -37,5 +37,17 @@ def test_stages(spark):
             assert not leaked & set(after) and set(before) - set(after) >= leaked
 
 
-def test_run_has_the_rows_of_the_last_stage(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+def test_run_has_the_rows_of_the_stages(spark):
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF), name)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == [*columns, "sequence_id", "offset"]
+    rows = got.collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(tuple(r)[:5] for r in docs.collect())
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096
