@@ -301,9 +301,10 @@ def u13(t):
     from polislake.operators.merge import merge_upsert
     from polislake.operators.tables import first_per_key
 
-    good = votes.keyed_totals(votes.validate(t.vote_csv)).select("result_key", "manifest_key", "contest_id", "party_id", "vote_total", "row_number")
-    old = first_per_key(good.where("row_number % 2 = 0"), ["result_key"], [F.desc("row_number")]).drop("row_number")
-    return merge_upsert(old, good.where("row_number % 3 = 0 or row_number % 2 = 1"), ["result_key"], {}, order=[F.desc("row_number")]).drop("result_key")
+    good = votes.keyed_totals(votes.validate(t.in_file_order("vote_csv", "lineitem"))).select("result_key", "manifest_key", "contest_id", "party_id", "vote_total", "row_number", "_at")
+    last = [F.desc("row_number"), F.col("_at")]
+    old = first_per_key(good.where("row_number % 2 = 0"), ["result_key"], last).drop("row_number", "_at")
+    return merge_upsert(old, good.where("row_number % 3 = 0 or row_number % 2 = 1"), ["result_key"], {}, order=last).drop("result_key")
 
 
 @query("V02_ingest_report", f"""with g as (select *, cast(replace(votes, ',', '') as bigint) as v, concat_ws('~', manifest_key, trim(contest_id), province_id, trim(party_id), coalesce(nullif(trim(candidate_id), ''), '-')) as k from vote_csv where {_V_FAIL} is null),

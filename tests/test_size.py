@@ -50,3 +50,15 @@ def test_shifted_ids_that_meet_stored_ones(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "part.parquet"))
     for name in ("X04_snapshot_changes", "U01_bucketed_upsert"):
         same_as_sql(spark, tmp_path, name, ["part"])
+
+
+def test_the_first_of_rows_with_one_id_is_the_first_in_the_file(spark, tmp_path):
+    i = F.col("id")
+    lines = spark.range(3000).coalesce(1).select(
+        (i * 7 % 40).alias("l_orderkey"), (i * 13 % 9 * 11 + 9).alias("l_partkey"), (i * 31 % 17).alias("l_suppkey"), (i % 7 + 1).cast("int").alias("l_linenumber"), (i * 17 % 50 + 1).cast("double").alias("l_quantity"),
+        F.element_at(F.array(*map(F.lit, "ANR")), (i * 5 % 3 + 1).cast("int")).alias("l_returnflag"), F.element_at(F.array(*map(F.lit, "FO")), (i % 2 + 1).cast("int")).alias("l_linestatus"), F.lit("1995-01-01 00:00:00").cast("timestamp").alias("l_shipdate"))
+    # Later rows first, so that the order of the file is none that a sort by its columns gives.
+    lines.orderBy(F.sha2(F.concat_ws(",", *lines.columns), 256)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(40).select(i.alias("o_orderkey"), (i * 3 % 25).alias("o_custkey"), F.lit("2-HIGH").alias("o_orderpriority")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("U11_attendance_upsert", "U13_vote_total_upsert"):
+        same_as_sql(spark, tmp_path, name, ["lineitem", "orders"])
