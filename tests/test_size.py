@@ -35,6 +35,28 @@ def test_a_smaller_broadcast_threshold_stays_and_a_larger_one_is_lowered(spark):
         spark.conf.set(BROADCAST, before)
 
 
+def test_a_name_of_all_rows_is_dealt_to_many_tasks(spark):
+    facts = spark.range(4000).select("id", F.expr("case when id % 50 = 0 then null when id % 10 = 0 then concat('n', id) else 'staff' end").alias("name"))
+    found = spark.createDataFrame([("staff", 1), ("n10", 2), ("n999999", 3)], "name string, person_id long")
+    held = {k: spark.conf.get(k) for k in (BROADCAST, "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set(BROADCAST, "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = resolve.with_found(facts, resolve.counted(facts, "name"), found, "name")
+        assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+        want = facts.join(found, "name", "left").select("id", "name", "person_id")
+        assert sorted(map(str, out.select("id", "name", "person_id").collect())) == sorted(map(str, want.collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_people_of_one_file_are_spread_before_their_names_multiply(spark):
+    people = spark.range(2000).coalesce(1).select("id", *[F.concat(F.lit("Ann B"), "id").alias(c) for c in ("full_name", "display_name", "slug")])
+    per_task = resolve.alias_table(people).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("person_id").alias("p"))
+    assert per_task.agg(F.max("p")).first()[0] < 2000
+
+
 def test_snapshots_that_repeat_a_key(spark, tmp_path):
     schema = "id long, v string"
     a = BucketedTable(spark, str(tmp_path / "a"), ("id",), 4).create(spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "n")], schema))
