@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from polislake import session
-from polislake.operators import resolve
+from polislake.operators import mentions, resolve
 from polislake.operators.buckets import BucketedTable, snapshot_changes
 
 BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
@@ -84,3 +84,22 @@ def test_the_first_of_rows_with_one_id_is_the_first_in_the_file(spark, tmp_path)
     spark.range(40).select(i.alias("o_orderkey"), (i * 3 % 25).alias("o_custkey"), F.lit("2-HIGH").alias("o_orderpriority")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
     for name in ("U11_attendance_upsert", "U13_vote_total_upsert"):
         same_as_sql(spark, tmp_path, name, ["lineitem", "orders"])
+
+
+def test_runs_of_all_texts_stay_where_they_are_read(spark):
+    texts = spark.range(3000).select("id", F.concat(F.lit("the chair of the house met "), F.when(F.col("id") % 3 == 0, "Ann Bo").otherwise("Staff")).alias("body"))
+    keys = spark.createDataFrame([("ann bo",), ("staff",), ("of the moon",)], "_key string")
+    held = {k: spark.conf.get(k) for k in (BROADCAST, "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set(BROADCAST, "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        toks = texts.select(F.col("id").alias("_tid"), F.posexplode(F.split(F.lower("body"), r"\b")).alias("_pos", "_run"))
+        ways = spark.createDataFrame([("staff", [(0, 1)]), ("ann", [(0, 3)])], "_run string, _ways array<struct<o:int,n:int>>")
+        met = mentions._anchored(toks, toks.groupBy("_run").agg(F.count("*").alias("_n")), ways)
+        assert met.groupBy("_run").count().orderBy("_run").collect() == [("ann", 1000), ("staff", 2000)]
+        assert met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1500
+        hits = mentions.word_hits(texts, "id", "body", keys).groupBy("_key", "_at").count()
+        assert sorted(map(tuple, hits.collect())) == [("ann bo", 27, 1000), ("staff", 27, 2000)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
