@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from polislake import session
 from polislake.operators import mentions, resolve
 from polislake.operators.buckets import BucketedTable, snapshot_changes
+from polislake.plans.bindings import Tables
 
 BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
@@ -86,6 +87,12 @@ def test_the_first_of_rows_with_one_id_is_the_first_in_the_file(spark, tmp_path)
         same_as_sql(spark, tmp_path, name, ["lineitem", "orders"])
 
 
+def test_pages_of_one_small_file_are_built_by_many_tasks(spark, tmp_path):
+    spark.range(2000).coalesce(1).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    pages = Tables(spark, str(tmp_path)).profile_pages
+    assert pages.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+
+
 def test_runs_of_all_texts_stay_where_they_are_read(spark):
     texts = spark.range(3000).select("id", F.concat(F.lit("the chair of the house met "), F.when(F.col("id") % 3 == 0, "Ann Bo").otherwise("Staff")).alias("body"))
     keys = spark.createDataFrame([("ann bo",), ("staff",), ("of the moon",)], "_key string")
