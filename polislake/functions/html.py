@@ -63,7 +63,8 @@ def balanced(rest: Column, name: Column) -> Column:
     def step(acc: Column, piece: Column) -> Column:
         move = F.when(F.regexp_like(piece, F.concat(F.lit("(?is)</"), name, F.lit(r"\b[^>]*>\z"))), -1).when(F.regexp_like(piece, F.concat(F.lit("(?is)<"), name, F.lit(r"\b[^>]*>\z"))), 1).otherwise(0)
         open_ = acc["depth"] > 0
-        return F.struct(F.when(open_, acc["depth"] + move).otherwise(0).alias("depth"), F.when(open_, F.concat(acc["text"], piece)).otherwise(acc["text"]).alias("text"))
+        held = F.when(acc["depth"] + move == 0, F.regexp_replace(piece, F.concat(F.lit("(?is)</"), name, F.lit(r"\b[^>]*>\z")), F.lit(""))).otherwise(piece)
+        return F.struct(F.when(open_, acc["depth"] + move).otherwise(0).alias("depth"), F.when(open_, F.concat(acc["text"], held)).otherwise(acc["text"]).alias("text"))
 
     return F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")), step, lambda acc: acc["text"])
 
@@ -94,9 +95,10 @@ def elements(c: Column, name: str, attributes: str = "") -> Column:
     heads = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.regexp_like(x["p"], F.lit(opened)))
 
     def inner(x: Column) -> Column:
-        # Elements without nested ones, nearly all, need only their own part.
-        whole = F.when(F.regexp_like(x["p"], F.lit(rf"(?i)</{name}\s*>")), x["p"]).otherwise(F.array_join(F.slice(parts, x["i"] + 1, F.size(parts) - x["i"]), ""))
-        return balanced(F.regexp_replace(whole, opened, ""), F.lit(name))
+        # Elements without nested ones, nearly all, end in their own part at its first end tag.
+        rest = F.array_join(F.slice(parts, x["i"] + 1, F.size(parts) - x["i"]), "")
+        own = F.regexp_extract(x["p"], rf"{opened}(.*?)</{name}\b[^>]*>", 1)
+        return F.when(F.regexp_like(x["p"], F.lit(rf"(?i)</{name}\b[^>]*>")), own).otherwise(balanced(F.regexp_replace(rest, opened, ""), F.lit(name)))
 
     return F.transform(heads, inner)
 
