@@ -384,7 +384,9 @@ def d08(t):
         .unionByName(t.attendance.select(F.col("name_raw").alias("name"), F.lit("committee_attendance_party_link").alias("evidence"), "id"))
         .unionByName(t.questions.select(F.col("asked_by_name").alias("name"), F.lit("parliamentary_question_party_label").alias("evidence"), "id"))
     )
-    return merge_party_members(rows, []).select("key", "evidence", "name")
+    # A spelling is made readable once, not for each row that has it.
+    spelled = rows.groupBy("name", "evidence").agg(F.min("id").alias("id"))
+    return merge_party_members(spelled, []).select("key", "evidence", "name")
 
 
 @query("X01_evidence_union", """select 'link' as evidence, display_name as name, profile_url as source_url, null as asked_date from people where party = 'BUILDING'

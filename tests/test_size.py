@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from polislake import session
-from polislake.operators import mentions, resolve
+from polislake.operators import evidence, mentions, resolve
 from polislake.operators.buckets import BucketedTable, snapshot_changes
 from polislake.plans.bindings import Tables
 
@@ -110,3 +110,11 @@ def test_runs_of_all_texts_stay_where_they_are_read(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_best_evidence_reads_a_spelling_once(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(evidence, "merge_party_members", lambda rows, keys: given.append(rows) or rows.withColumn("key", F.lit("")))
+    entry.queries()["D08_best_evidence"](spark, "/root/testdata/sf0.001")
+    rows = given[0]
+    assert rows.count() == rows.select("name", "evidence").distinct().count()
