@@ -36,6 +36,16 @@ def test_a_smaller_broadcast_threshold_stays_and_a_larger_one_is_lowered(spark):
         spark.conf.set(BROADCAST, before)
 
 
+def test_the_default_broadcast_threshold_is_lowered_where_a_session_names_none(spark):
+    before = spark.conf.get(BROADCAST)
+    try:
+        spark.conf.unset(BROADCAST)
+        session.configure(spark)
+        assert spark.conf.get(BROADCAST) == str(session.BROADCAST)
+    finally:
+        spark.conf.set(BROADCAST, before)
+
+
 def test_a_name_of_all_rows_is_dealt_to_many_tasks(spark):
     facts = spark.range(4000).select("id", F.expr("case when id % 50 = 0 then null when id % 10 = 0 then concat('n', id) else 'staff' end").alias("name"))
     found = spark.createDataFrame([("staff", 1), ("n10", 2), ("n999999", 3)], "name string, person_id long")
