@@ -46,6 +46,19 @@ def test_the_default_broadcast_threshold_is_lowered_where_a_session_names_none(s
         spark.conf.set(BROADCAST, before)
 
 
+def test_a_small_file_whose_rows_multiply_is_not_broadcast_by_its_size(spark, tmp_path):
+    spark.range(20000).coalesce(1).select("id", F.concat(F.lit("part "), "id").alias("name")).write.parquet(str(tmp_path / "part.parquet"))
+    words = spark.read.parquet(str(tmp_path / "part.parquet")).select("id", F.explode(F.split(F.repeat(F.concat("name", F.lit(" ")), F.lit(50)), " ")).alias("word"))
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        session.configure(spark)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        met = spark.range(1 << 30).select(F.col("id").cast("string").alias("word")).join(words, "word")
+        assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+
+
 def test_a_name_of_all_rows_is_dealt_to_many_tasks(spark):
     facts = spark.range(4000).select("id", F.expr("case when id % 50 = 0 then null when id % 10 = 0 then concat('n', id) else 'staff' end").alias("name"))
     found = spark.createDataFrame([("staff", 1), ("n10", 2), ("n999999", 3)], "name string, person_id long")
