@@ -141,3 +141,10 @@ def test_best_evidence_reads_a_spelling_once(spark, monkeypatch):
     entry.queries()["D08_best_evidence"](spark, "/root/testdata/sf0.001")
     rows = given[0]
     assert rows.count() == rows.select("name", "evidence").distinct().count()
+
+
+def test_hits_of_a_term_search_are_stored(spark):
+    corpus = spark.createDataFrame([(1, "water budget"), (2, "health"), (3, "the water and budget vote")], "id long, body string")
+    hits = evidence.term_hits(corpus, "id", ["body"], spark.createDataFrame([(7, "water"), (7, "budget vote"), (8, "heal")], "question_id long, term string"))
+    assert "regexp_extract_all" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, hits.collect())) == [("budget vote", 3, False), ("heal", 2, False), ("water", 1, True), ("water", 3, True)]
