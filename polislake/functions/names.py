@@ -240,7 +240,7 @@ def without_party_label(c: Column, short_name: Column) -> Column:
     """P-37: a name without its ``(PARTY)`` label, whatever its case."""
     label = F.concat(F.lit(r"(?i)\s*\(\s*\Q"), short_name, F.lit(r"\E\s*\)\s*"))
     cleaned = clean_display(strip_chars(collapse(F.regexp_replace(c, label, F.lit(" "))), " ,.;"))
-    return F.when(cleaned != "", cleaned)
+    return F.nullif(cleaned, F.lit(""))
 
 
 def is_unknown_label(c: Column) -> Column:
