@@ -21,11 +21,13 @@ def identifier_rollup(totals: DataFrame, id_col: str, name_col: str, extra: Sequ
 
 def validate(rows: DataFrame) -> DataFrame:
     """V-01: verdict per raw result row; ``vote_total`` is set on valid rows only."""
-    contest, party = blank_to_null(F.col("contest_id")), blank_to_null(F.col("party_id"))
     digits = F.replace(F.coalesce(blank_to_null(F.col("votes")), F.lit("")), F.lit(","), F.lit(""))
-    failure = F.when(contest.isNull() | party.isNull(), "Contest_ID and Party_ID are required").when(~digits.rlike(r"^\d+$") | digits.try_cast("bigint").isNull(), "Votes must be a non-negative integer")
-    df = rows.withColumns({"contest_id": contest, "party_id": party, "candidate_id": blank_to_null(F.col("candidate_id")), "failure": failure, "_d": digits})
-    return df.withColumn("vote_total", F.when(F.col("failure").isNull(), F.col("_d").try_cast("bigint"))).drop("_d")
+    clean = {c: blank_to_null(F.col(c)) for c in ("contest_id", "party_id", "candidate_id")}
+    # Column by column in steps of their own: a step reads the values of the one before instead of computing them again.
+    df = rows.withColumns({**clean, "_d": digits}).withColumn("_n", F.when(F.col("_d").rlike(r"^\d+$"), F.col("_d").try_cast("bigint")))
+    failure = F.when(F.col("contest_id").isNull() | F.col("party_id").isNull(), "Contest_ID and Party_ID are required").when(F.col("_n").isNull(), "Votes must be a non-negative integer")
+    df = df.withColumn("failure", failure)
+    return df.withColumn("vote_total", F.when(F.col("failure").isNull(), F.col("_n"))).drop("_d", "_n")
 
 
 def keyed_totals(valid: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from polislake import session
-from polislake.operators import evidence, mentions, resolve
+from polislake.operators import evidence, mentions, resolve, votes
 from polislake.operators.buckets import BucketedTable, snapshot_changes
 from polislake.plans.bindings import Tables
 
@@ -148,3 +148,14 @@ def test_hits_of_a_term_search_are_stored(spark):
     hits = evidence.term_hits(corpus, "id", ["body"], spark.createDataFrame([(7, "water"), (7, "budget vote"), (8, "heal")], "question_id long, term string"))
     assert "regexp_extract_all" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, hits.collect())) == [("budget vote", 3, False), ("heal", 2, False), ("water", 1, True), ("water", 3, True)]
+
+
+def test_a_result_row_is_cleaned_once(spark):
+    rows = spark.createDataFrame([("m", " c ", "C", "1", "P", " 1,0 ", None), ("m", "c", "C", "1", " ", "5", "x"), ("m", "c", "C", "1", "p", "-5", " "), ("m", "c", "C", "1", "p", "99999999999999999999", "x")],
+                                 "manifest_key string, contest_id string, contest_name string, province_id string, party_id string, votes string, candidate_id string")
+    checked = votes.validate(rows)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and "regexp_replace" not in plan
+    bad = "Votes must be a non-negative integer"
+    assert [tuple(r) for r in checked.select("contest_id", "party_id", "candidate_id", "failure", "vote_total").collect()] == [
+        ("c", "P", None, None, 10), ("c", None, "x", "Contest_ID and Party_ID are required", None), ("c", "p", None, bad, None), ("c", "p", "x", bad, None)]
