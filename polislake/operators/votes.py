@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polislake.functions.text import blank_to_null, is_blank
@@ -48,13 +48,23 @@ def ingest_report(checked: DataFrame, stored_keys: DataFrame) -> DataFrame:
     good = keyed_totals(checked)
     per_key = good.groupBy("result_key").agg(F.sum("vote_total").alias("votes")).join(stored_keys.select("result_key").distinct().withColumn("_old", F.lit(True)), "result_key", "left")
     changes = per_key.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old").isNotNull()).alias("updated"), F.coalesce(F.sum("votes"), F.lit(0)).alias("vote_sum"))
-    base = checked.agg(F.count("*").alias("input_rows"), F.count_if(F.col("failure").isNull()).alias("valid_rows"), F.count_if(F.col("failure").isNotNull()).alias("failed_rows"))
-
-    def pairs(id_col: str, name_col: str, out: str) -> DataFrame:
-        return good.where(F.col(id_col).isNotNull() | F.col(name_col).isNotNull()).select(id_col, name_col).distinct().agg(F.count("*").alias(out))
-
-    rows = [base, changes, pairs("party_id", "party_name", "unresolved_parties"), pairs("candidate_id", "candidate_name", "unresolved_candidates")]
-    return one_row(rows).withColumn("exit_code", F.when(F.col("valid_rows") == 0, 1).otherwise(0))
+    # Rows and identifiers are counted in one pass: a row counts itself, its party and its candidate; equal ones combine before the shuffle.
+    ok = F.col("failure").isNull()
+
+    def part(kind: str, holds: Column, id_col: str | None = None, name_col: str | None = None) -> Column:
+        value = lambda c: F.col(c) if c else F.lit(None).cast("string")
+        return F.when(holds, F.struct(F.lit(kind).alias("kind"), value(id_col).alias("id"), value(name_col).alias("name")))
+
+    pairs = {"party": ("party_id", "party_name"), "candidate": ("candidate_id", "candidate_name")}
+    parts = F.array_compact(F.array(part("valid", ok), part("failed", ~ok), *[part(k, ok & (F.col(i).isNotNull() | F.col(n).isNotNull()), i, n) for k, (i, n) in pairs.items()]))
+    seen = checked.select(F.explode(parts).alias("p")).groupBy("p.kind", "p.id", "p.name").agg(F.count("*").alias("n"))
+    total = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+    base = seen.agg(
+        total("valid", "failed").alias("input_rows"), total("valid").alias("valid_rows"), total("failed").alias("failed_rows"),
+        *[F.count_if(F.col("kind") == k).alias(f"unresolved_{plural}") for k, plural in (("party", "parties"), ("candidate", "candidates"))],
+    )
+    out = one_row([base, changes]).withColumn("exit_code", F.when(F.col("valid_rows") == 0, 1).otherwise(0))
+    return out.select("input_rows", "valid_rows", "failed_rows", "created", "updated", "vote_sum", "unresolved_parties", "unresolved_candidates", "exit_code")
 
 
 def one_row(parts: Sequence[DataFrame]) -> DataFrame:

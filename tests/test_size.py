@@ -159,3 +159,15 @@ def test_a_result_row_is_cleaned_once(spark):
     bad = "Votes must be a non-negative integer"
     assert [tuple(r) for r in checked.select("contest_id", "party_id", "candidate_id", "failure", "vote_total").collect()] == [
         ("c", "P", None, None, 10), ("c", None, "x", "Contest_ID and Party_ID are required", None), ("c", "p", None, bad, None), ("c", "p", "x", bad, None)]
+
+
+def test_rows_and_identifiers_of_a_report_are_counted_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, "a", "P", "Party", None, None, 5), (2, "a", "P", "Party", None, "Cand", 6), (3, "b", "P", None, "C", "Cand", 7), (4, None, "P", "Party", None, None, None)],
+                                 "row_number int, contest_id string, party_id string, party_name string, candidate_id string, candidate_name string, vote_total long").withColumns(
+        {"failure": F.when(F.col("contest_id").isNull(), "bad"), "manifest_key": F.lit("m"), "province_id": F.lit("1"), "province_name": F.lit("N"), "contest_name": F.lit("x"), "votes": F.lit("1")})
+    stored = votes.keyed_totals(rows).where("row_number = 1").select("result_key")
+    report = votes.ingest_report(rows, stored)
+    assert [tuple(r) for r in report.collect()] == [(4, 3, 1, 1, 1, 18, 2, 2, 0)]
+    # Rows, stored keys and counted parts: three readings of the input.
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    assert [tuple(r) for r in votes.ingest_report(rows.limit(0), stored.limit(0)).collect()] == [(0, 0, 0, 0, 0, 0, 0, 0, 1)]
