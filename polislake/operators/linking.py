@@ -11,6 +11,7 @@ from polislake.functions import names, text
 from polislake.operators.merge import insert_only
 from polislake.operators.resolve import from_index
 from polislake.operators.tables import first_by_alternatives, longest_contained
+from polislake.session import cut_lineage
 
 
 def people_hints(attendance: DataFrame, questions: DataFrame) -> DataFrame:
@@ -19,13 +20,15 @@ def people_hints(attendance: DataFrame, questions: DataFrame) -> DataFrame:
     Names are made readable once per distinct spelling, and both unions and
     counts combine before the shuffle.
     """
-    att = attendance.where(~text.is_blank(F.col("name_raw"))).groupBy("name_raw").agg(
+    att = attendance.groupBy("name_raw").agg(
         F.min("source_url").alias("source_url"), F.min("party_id").alias("p_min"), F.max("party_id").alias("p_max")
     ).withColumn("rank", F.lit(0))
-    ask = questions.where(~text.is_blank(F.col("asked_by_name"))).groupBy(F.col("asked_by_name").alias("name_raw")).agg(
+    ask = questions.groupBy(F.col("asked_by_name").alias("name_raw")).agg(
         F.min("source_url").alias("source_url")
     ).withColumn("rank", F.lit(1))
-    named = att.unionByName(ask, allowMissingColumns=True).withColumn("name", names.attendee_name(F.col("name_raw"))).where("name is not null")
+    # Stored, as Catalyst would move the test for a name below the counts, to every row. Blank spellings give no name.
+    spelled = cut_lineage(att.unionByName(ask, allowMissingColumns=True))
+    named = spelled.withColumn("name", names.attendee_name(F.col("name_raw"))).where("name is not null")
     keyed = named.withColumn("slug", names.slug(F.col("name")))
     g = keyed.groupBy("slug").agg(
         F.min(F.struct("rank", "name_raw", "name", "source_url")).alias("b"), F.min("p_min").alias("_lo"), F.max("p_max").alias("_hi")

@@ -468,7 +468,7 @@ def e25(t):
     """All bootstrap steps in order with one count each; each step has its own check."""
     from polislake.operators import linking, resolve
 
-    people = linking.people_hints(t.attendance, t.questions).withColumn("id", F.xxhash64("slug"))
+    people = cut_lineage(linking.people_hints(t.attendance, t.questions).withColumn("id", F.xxhash64("slug")))  # three steps read them
     committees = linking.committee_hints(t.docs).withColumn("id", F.xxhash64("slug"))
     index = resolve.name_index(people, resolve.alias_table(people))
     mm = t.meetings.withColumn("summary_document_id", F.lit(None).cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from polislake import session
-from polislake.operators import evidence, mentions, resolve, votes
+from polislake.operators import evidence, linking, mentions, resolve, votes
 from polislake.operators.buckets import BucketedTable, snapshot_changes
 from polislake.plans.bindings import Tables
 
@@ -171,3 +171,13 @@ def test_rows_and_identifiers_of_a_report_are_counted_in_one_pass(spark):
     # Rows, stored keys and counted parts: three readings of the input.
     assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
     assert [tuple(r) for r in votes.ingest_report(rows.limit(0), stored.limit(0)).collect()] == [(0, 0, 0, 0, 0, 0, 0, 0, 1)]
+
+
+def test_a_spelling_is_made_readable_once_not_for_each_row(spark):
+    att = spark.range(300).select(F.element_at(F.array(*map(F.lit, ("Mr Ann Bo", "Bo, Ms Ann", "  ", " ", "Staff"))), (F.col("id") % 5 + 1).cast("int")).alias("name_raw"), F.concat(F.lit("u"), "id").alias("source_url"), F.lit(3).alias("party_id"))
+    att = att.unionByName(spark.createDataFrame([(None, "x", 9)], "name_raw string, source_url string, party_id int"))
+    asks = spark.createDataFrame([("Cy Dee", "v"), (" ", "w"), (None, "w")], "asked_by_name string, source_url string")
+    hints = linking.people_hints(att, asks)
+    plan = hints._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and plan.count("Aggregate") == 1  # only the stored spellings are read
+    assert sorted(map(tuple, hints.collect())) == [("ann-bo", "Ann Bo", "Ann Bo", "u1", 3), ("cy-dee", "Cy Dee", "Cy Dee", "v", None)]
