@@ -181,3 +181,8 @@ def test_a_spelling_is_made_readable_once_not_for_each_row(spark):
     plan = hints._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan and plan.count("Aggregate") == 1  # only the stored spellings are read
     assert sorted(map(tuple, hints.collect())) == [("ann-bo", "Ann Bo", "Ann Bo", "u1", 3), ("cy-dee", "Cy Dee", "Cy Dee", "v", None)]
+
+
+def test_actions_read_the_domains_once(spark):
+    plan = entry.queries()["R06_actions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan  # only the stored rows of domains and risks
