@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from polislake.functions.text import collapse
+from polislake.functions.text import collapse, let
 
 #: Named references of HTML 4 and ``&apos;``, by name without the marks.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
@@ -30,8 +30,12 @@ def _reference(part: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Every reference decoded once, in one pass: ``&#38;lt;`` and ``&amp;lt;`` both give ``&lt;``."""
-    parts = F.split(c, "&")
-    return F.when(F.contains(c, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), ""))).otherwise(c)
+
+    def decoded(v: Column) -> Column:
+        parts = F.split(v, "&")
+        return F.when(F.contains(v, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), ""))).otherwise(v)
+
+    return let(c, decoded)
 
 
 def strip_tags(c: Column) -> Column:
@@ -79,10 +83,12 @@ def meta_content(c: Column, key: str) -> Column:
 def links(c: Column) -> Column:
     """``array<struct(href, label)>`` in page order."""
     tags = F.regexp_extract_all(c, F.lit(r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a\s*>"), F.lit(0))
-    href = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.transform(tags, lambda a: F.struct(
-        F.trim(unescape(F.concat(*[F.regexp_extract(a, href, i) for i in (1, 2, 3)]))).alias("href"), strip_tags(a).alias("label"),
-    ))
+    href = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+    def bare(v: Column) -> Column:
+        return F.when(v.rlike("^[\"']"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+
+    return F.transform(tags, lambda a: F.struct(F.trim(unescape(let(F.regexp_extract(a, href, 1), bare))).alias("href"), strip_tags(a).alias("label")))
 
 
 def elements(c: Column, name: str, attributes: str = "") -> Column:
@@ -92,13 +98,16 @@ def elements(c: Column, name: str, attributes: str = "") -> Column:
     """
     opened = rf"(?is)^<{name}\b" + (rf"(?=[^>]*{attributes})" if attributes else "") + r"[^>]*>"
     parts = F.split(c, rf"(?i)(?=<{name}\b)")
-    heads = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.regexp_like(x["p"], F.lit(opened)))
+    cut = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p).alias("n"), F.regexp_replace(p, opened, "").alias("p")))
+    heads = F.filter(cut, lambda x: F.length(x["p"]) < x["n"])
 
     def inner(x: Column) -> Column:
         # Elements without nested ones, nearly all, end in their own part at its first end tag.
         rest = F.array_join(F.slice(parts, x["i"] + 1, F.size(parts) - x["i"]), "")
-        own = F.regexp_extract(x["p"], rf"{opened}(.*?)</{name}\b[^>]*>", 1)
-        return F.when(F.regexp_like(x["p"], F.lit(rf"(?i)</{name}\b[^>]*>")), own).otherwise(balanced(F.regexp_replace(rest, opened, ""), F.lit(name)))
+        return let(
+            F.split(x["p"], rf"(?i)</{name}\b[^>]*>", 2),
+            lambda own: F.when(F.size(own) > 1, F.get(own, F.lit(0))).otherwise(balanced(F.regexp_replace(rest, opened, ""), F.lit(name))),
+        )
 
     return F.transform(heads, inner)
 

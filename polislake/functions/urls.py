@@ -30,21 +30,21 @@ def query_string(c: Column) -> Column:
 
 def absolute(href: Column, base: Column) -> Column:
     """A link as seen from the page at ``base``."""
-    parts = F.struct(scheme(base).alias("scheme"), netloc(base).alias("host"), path(base).alias("path"), F.trim(href).alias("h"))
 
-    def joined(x: Column) -> Column:
-        h, root = x["h"], F.concat(x["scheme"], F.lit("://"), x["host"])
-        folder = F.regexp_replace(x["path"], r"[^/]*$", "")
+    def joined(h: Column) -> Column:
+        # The base is taken apart only where a branch asks for it.
+        root = F.concat(scheme(base), F.lit("://"), netloc(base))
+        folder = let(F.regexp_replace(path(base), r"[^/]*$", ""), lambda f: F.when(f == "", F.lit("/")).otherwise(f))
         return (
             F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-            .when(F.startswith(h, F.lit("//")), F.concat(x["scheme"], F.lit(":"), h))
+            .when(F.startswith(h, F.lit("//")), F.concat(scheme(base), F.lit(":"), h))
             .when(F.startswith(h, F.lit("/")), F.concat(root, h))
             .when(h == "", base)
-            .when(h.rlike(r"^[?#]"), F.concat(root, x["path"], h))
-            .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), h))
+            .when(h.rlike(r"^[?#]"), F.concat(root, path(base), h))
+            .otherwise(F.concat(root, folder, h))
         )
 
-    return let(parts, joined)
+    return let(F.trim(href), joined)
 
 
 def canonical(c: Column) -> Column:
@@ -61,6 +61,19 @@ def canonical(c: Column) -> Column:
     return let(F.trim(c), built)
 
 
+def canonical_path(c: Column) -> Column:
+    """The path of ``canonical(c)``, without building the rest of it."""
+    single = let(F.concat(path(F.trim(c)), F.lit("/")), lambda p: F.when(F.contains(p, F.lit("//")), F.regexp_replace(p, "/+", "/")).otherwise(p))
+    # Without a host, what comes before the first slash is taken for one.
+    return let(single, lambda p: F.substr(p, F.instr(p, "/")))
+
+
+def linked_path(href: Column, base: Column) -> Column:
+    """The canonical path of a link on the page at ``base``, which a path from the root does not ask for."""
+    rooted = lambda h: F.startswith(h, F.lit("/")) & ~F.startswith(h, F.lit("//"))
+    return let(F.trim(href), lambda h: F.when(rooted(h), canonical_path(h)).otherwise(canonical_path(absolute(h, base))))
+
+
 def stable(c: Column) -> Column:
     """P-13: lower-case scheme and host, no fragment, no trailing slash, query kept."""
     u = F.trim(c)

@@ -301,10 +301,12 @@ def committee_members(pages: DataFrame) -> DataFrame:
     """T-22: members listed on a committee page with the role shown next to them."""
     items = pages.select("page_id", "url", F.posexplode(html.list_items(F.col("html"))).alias("pos", "item"))
     one = items.select("page_id", "url", "pos", "item", F.explode(F.slice(html.links(F.col("item")), 1, 1)).alias("l"))
-    one = one.where(urls.path(urls.canonical(urls.absolute(F.col("l.href"), F.col("url")))).rlike(r"^/person/[a-z0-9-]+/$"))
+    one = one.where(urls.linked_path(F.col("l.href"), F.col("url")).rlike(r"^/person/[a-z0-9-]+/$"))
     rest = F.replace(html.strip_tags(F.col("item")), F.col("l.label"), F.lit(" "))
     near = F.regexp_extract(rest, r"(?i)\b(chairperson|chair|alternate member|alternate|whip|minister|deputy minister|member)\b", 1)
-    named = one.select("page_id", "pos", names.person_name(names.strip_honorific(F.col("l.label"))).alias("name"), names.role(near).alias("role"))
+    # Exploded, a name is made once: a test of a column is computed again below the projection that makes it.
+    member = F.struct(names.person_name(names.strip_honorific(F.col("l.label"))).alias("name"), text.let(near, lambda v: names.role(v)).alias("role"))
+    named = one.select("page_id", "pos", F.explode(F.array(member)).alias("m")).select("page_id", "pos", "m.*")
     named = named.where(~F.lower("name").isin("", "profile", "person"))
     g = named.groupBy("page_id", F.lower("name").alias("_n"), "role").agg(F.min(F.struct("pos", "name")).alias("b"))
     return g.select("page_id", F.col("b.name").alias("name"), names.slug(F.col("b.name")).alias("slug"), "role")

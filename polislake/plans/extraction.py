@@ -422,7 +422,8 @@ def v12(t):
 def e22(t):
     from polislake.operators import resolve
 
-    members = ex.committee_members(t.member_pages).join(t.member_pages.select("page_id", "committee_id"), "page_id")
+    members = cut_lineage(ex.committee_members(t.member_pages).drop("slug"))  # their names are counted before they are looked up
+    members = members.join(t.member_pages.select("page_id", "committee_id"), "page_id")
     r = cut_lineage(resolve.resolve(members, t.people, resolve.alias_table(t.people), "name"))
     linked = r.where("person_id is not null")
     parts = {

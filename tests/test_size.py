@@ -186,3 +186,12 @@ def test_a_spelling_is_made_readable_once_not_for_each_row(spark):
 def test_actions_read_the_domains_once(spark):
     plan = entry.queries()["R06_actions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" not in plan  # only the stored rows of domains and risks
+
+
+def test_members_of_a_page_are_extracted_once(spark, tmp_path, monkeypatch):
+    spark.range(30).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(10).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment"), F.lit(1).alias("c_nationkey"), F.lit(0.5).alias("c_acctbal")).write.parquet(str(tmp_path / "customer.parquet"))
+    looked_up, resolved = [], resolve.resolve
+    monkeypatch.setattr(resolve, "resolve", lambda facts, *more: looked_up.append(facts) or resolved(facts, *more))
+    same_as_sql(spark, tmp_path, "E22_committee_page_ingest", ["orders", "customer"])
+    assert "Generate" not in looked_up[0]._jdf.queryExecution().optimizedPlan().toString()
