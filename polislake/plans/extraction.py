@@ -447,7 +447,7 @@ def e23(t):
         "page_id", "url", html.title(h).alias("title"), html.visible_text(h).alias("raw_text"), ex.publication_date(h, html.visible_text(h)).alias("publication_date"),
     ).withColumn("document_type", ex.document_type(F.col("url"), F.col("title"), F.col("raw_text")))
     docs = cut_lineage(docs.select("page_id", "raw_text", "document_type"))  # pages are extracted once, their texts are read several times
-    found = mentions.detect(docs, "page_id", "raw_text", t.people, resolve.alias_table(t.people)).groupBy("page_id").agg(F.count("*").alias("mentions"))
+    found = mentions.detect(docs, "page_id", "raw_text", t.people, resolve.alias_table(t.people), snippets=False).groupBy("page_id").agg(F.count("*").alias("mentions"))
     return docs.join(found, "page_id", "left").groupBy("document_type").agg(F.count("*").alias("documents"), F.coalesce(F.sum("mentions"), F.lit(0)).alias("mentions"), F.count_if(F.col("mentions").isNull()).alias("skipped"))
 
 

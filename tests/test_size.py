@@ -195,3 +195,19 @@ def test_members_of_a_page_are_extracted_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(resolve, "resolve", lambda facts, *more: looked_up.append(facts) or resolved(facts, *more))
     same_as_sql(spark, tmp_path, "E22_committee_page_ingest", ["orders", "customer"])
     assert "Generate" not in looked_up[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_snippets_are_cut_only_where_they_are_shown(spark, tmp_path):
+    spark.createDataFrame([(1, "Ann Bo.\nx"), (2, "Cy"), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(7, "then ANN BO met cy, Ann Bo"), (8, "Anne Bo; Cyx"), (9, None), (10, "cy")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    same_as_sql(spark, tmp_path, "E10_mentions_in_documents", ["benchmark", "documents"])
+    plan = entry.queries()["E10_mentions_in_documents"](spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert "..." not in plan
+
+
+def test_a_place_in_a_long_text_does_not_copy_its_runs(spark):
+    texts = spark.createDataFrame([(1, "x y " * 500 + "Ann Bo")], "id long, body string")
+    hits = mentions.word_hits(texts, "id", "body", spark.createDataFrame([("ann bo",), ("x y",)], "_key string"), shown=False)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "aggregate(" not in plan
+    assert sorted(map(tuple, hits.groupBy("_tid", "_key").count().collect())) == [(1, "ann bo", 1), (1, "x y", 500)]
