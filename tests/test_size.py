@@ -211,3 +211,19 @@ def test_a_place_in_a_long_text_does_not_copy_its_runs(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and "aggregate(" not in plan
     assert sorted(map(tuple, hits.groupBy("_tid", "_key").count().collect())) == [(1, "ann bo", 1), (1, "x y", 500)]
+
+
+def test_few_words_looked_for_leave_the_runs_where_they_are_read(spark):
+    corpus = spark.range(2000).select("id", F.concat(F.lit("water budget "), "id").alias("body"))
+    held = spark.conf.get(BROADCAST)
+    terms = spark.createDataFrame([(7, "water"), (8, "1999")], "question_id long, term string")
+    found = []
+    try:
+        for most in ("1m", "-1"):
+            spark.conf.set(BROADCAST, most)
+            stored = session.cut_lineage(terms.select("term"))
+            assert ("Broadcast" in spark.range(9).selectExpr("'x' as term").join(session.if_small(stored), "term")._jdf.queryExecution().executedPlan().toString()) == (most == "1m")
+            found.append(sorted(map(tuple, evidence.term_hits(corpus, "id", ["body"], terms).groupBy("term").count().collect())))
+    finally:
+        spark.conf.set(BROADCAST, held)
+    assert found == [[("1999", 1), ("water", 2000)]] * 2
