@@ -227,3 +227,10 @@ def test_few_words_looked_for_leave_the_runs_where_they_are_read(spark):
     finally:
         spark.conf.set(BROADCAST, held)
     assert found == [[("1999", 1), ("water", 2000)]] * 2
+
+
+def test_mentions_are_counted_without_their_places(spark, monkeypatch):
+    given, search = [], mentions.word_hits
+    monkeypatch.setattr(mentions, "word_hits", lambda texts, text_id, body, keys, shown=True: given.append(shown) or search(texts, text_id, body, keys, shown))
+    entry.queries()["E23_document_ingest"](spark, "/root/testdata/sf0.001")
+    assert given == [False]
